@@ -22,7 +22,7 @@ GENDER = r"(?iuU)\b(\p{L}+)@s\b"
 LAUGH = r"(?iuU)\b(mua)?j[ja]+a?\b"
 LAUGH_WORD = "jajaja"
 ELONGATION = r"(?d)(.)\1{2,}"
-RUN_MARKS = "!¡?¿"
+MARK_RUN = r"([!¡?¿])\1+"
 VOWELS = ("aá", "eé", "ií", "oó", "uú")
 CAMEL_PART = r"(?d).+?(?:(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|[0-9]+|$)"
 STRIP_CHARACTERS = " \r\n\t,.?"
@@ -35,6 +35,8 @@ SYNDICATED = r"(?d)((a través de|v[íi]a)) @+[\[A-Za-zÑñ\d_]+$|\||#endirecto"
 HANDLE = r"@([A-Za-z0-9_]+)"
 MERGE_SEPARATOR = " [SEP] "
 MULTI_LABEL_SEPARATOR = "; "
+WORD_RUN = r"(?U)\w+"
+BETWEEN_WORDS = r"(?U)\W+"
 
 # --- Fixed values: vocabulary tokenizer -------------------------------------
 TOKEN_FILTER = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n¡¿"

@@ -6,8 +6,10 @@ on batch and streaming frames alike.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +40,15 @@ def remove_mentions(text: Column, placeholder: str = lx.USER_PLACEHOLDER, collap
 
 def expand_hashtags(text: Column) -> Column:
     """Replace each hashtag by its words, split where the case or a number says so."""
-    tags = F.regexp_extract_all(text, F.lit(lx.HASHTAG), 1)
-    words = F.transform(tags, lambda tag: F.regexp_replace(F.regexp_replace(tag, lx.CAMEL_PART, "$0 "), " $", ""))
-    between = F.split(text, lx.HASHTAG, -1)
-    woven = F.zip_with(between, words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit(""))))
-    return F.array_join(woven, "")
+
+    def apply(text: Column) -> Column:
+        tags = F.regexp_extract_all(text, F.lit(lx.HASHTAG), 1)
+        words = F.transform(tags, lambda tag: F.regexp_replace(F.regexp_replace(tag, lx.CAMEL_PART, "$0 "), " $", ""))
+        between = F.split(text, lx.HASHTAG, -1)
+        woven = F.zip_with(between, words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit(""))))
+        return F.when(F.contains(text, F.lit("#")), F.array_join(woven, "")).otherwise(text)
+
+    return _once(text, apply)
 
 
 def remove_hashtags(text: Column, template: str = lx.HASHTAG_TEMPLATE) -> Column:
@@ -83,17 +89,24 @@ def remove_elongations(text: Column, accent_vowels: bool = True) -> Column:
     its case, so ``leer`` turns into ``lér``.
     """
     text = F.regexp_replace(text, lx.LAUGH, lx.LAUGH_WORD)
-    for mark in lx.RUN_MARKS:
-        text = F.regexp_replace(text, rf"\{mark}{{2,}}" if mark in "?!" else f"{mark}{{2,}}", mark)
+    text = F.regexp_replace(text, lx.MARK_RUN, "$1")
     text = F.regexp_replace(text, lx.ELONGATION, "$1")
     if not accent_vowels:
         return text
-    for low in lx.VOWELS:
-        up = low.upper()
-        capital = f"(?<![{low}{up}])[{up}](?:[{up}]+|[{low}]+)(?![{low}{up}])"
-        text = F.regexp_replace(text, capital, up[1])
-        text = F.regexp_replace(text, f"[{low}{up}]{{2,}}", low[1])
-    return text
+    pairs = [(low, low.upper()) for low in lx.VOWELS]
+
+    def capitals(text: Column) -> Column:
+        def one(text: Column, pair: tuple[str, str]) -> Column:
+            low, up = pair
+            run = f"(?<![{low}{up}])[{up}](?:[{up}]+|[{low}]+)(?![{low}{up}])"
+            return F.regexp_replace(text, run, up[1])
+
+        # Few texts double a vowel after a capital one; the others skip five passes.
+        gate = "|".join(f"[{up}][{low}{up}]" for low, up in pairs)
+        return F.when(text.rlike(gate), reduce(one, pairs, text)).otherwise(text)
+
+    text = _once(text, capitals)
+    return reduce(lambda t, pair: F.regexp_replace(t, f"[{pair[0]}{pair[1]}]{{2,}}", pair[0][1]), pairs, text)
 
 
 def to_lower(text: Column) -> Column:
@@ -119,19 +132,50 @@ def term_pattern(key: str) -> str:
 def expand_terms(text: Column, terms: Mapping[str, str]) -> Column:
     """Replace terms in the order given; later terms see earlier replacements.
 
-    One combined test skips the whole chain for texts without any term: the
-    first rule to fire must match the text as it came in, so the skip is exact.
+    Neighbouring plain words are replaced together: a whole word can equal only
+    one of them, and what later words of the run do to a replacement is worked
+    out beforehand. Neighbouring patterns run one after another. A run starts
+    with one combined test, because most texts contain none of its terms; the
+    first term to fire must match the text as the run got it, so skipping is exact.
     """
-    chain = reduce(lambda t, kv: F.regexp_replace(t, term_pattern(kv[0]), kv[1]), terms.items(), text)
-    plain = [k for k in terms if not k.endswith(r"\+")]
-    plus = [k[:-2] for k in terms if k.endswith(r"\+")]
-    either = []
-    if plain:
-        either.append("(?:" + "|".join(plain) + r")\b")
-    if plus:
-        either.append("(?:" + "|".join(plus) + r")[\x08+]")
-    gate = rf"(?iuU)\b(?:{'|'.join(either)})"
-    return F.when(text.rlike(gate), chain).otherwise(text)
+    runs = [(plain, dict(run)) for plain, run in groupby(terms.items(), lambda kv: re.fullmatch(r"\w+", kv[0]) is not None)]
+    return reduce(lambda t, run: _once(t, _words_run(run[1]) if run[0] else _patterns_run(run[1])), runs, text)
+
+
+def _words_run(terms: Mapping[str, str]) -> Cleaner:
+    items, written = list(terms.items()), {}
+    for i, (key, value) in enumerate(items):
+        for later, replacement in items[i + 1 :]:
+            value = re.sub(rf"(?i)\b{later}\b", replacement, value)
+        written.setdefault(key.lower(), value)
+    keys = F.array(*[F.lit(key) for key in written])
+
+    def apply(text: Column) -> Column:
+        lookup = F.create_map(*[F.lit(v) for pair in written.items() for v in pair])
+        said = F.zip_with(
+            F.split(text, lx.WORD_RUN, -1), F.regexp_extract_all(text, F.lit(lx.WORD_RUN), 0),
+            lambda gap, hit: F.concat(gap, F.coalesce(F.element_at(lookup, F.lower(hit)), hit, F.lit(""))),
+        )
+        present = F.arrays_overlap(F.split(F.lower(text), lx.BETWEEN_WORDS), keys)
+        return F.when(present, F.array_join(said, "")).otherwise(text)
+
+    return apply
+
+
+def _patterns_run(terms: Mapping[str, str]) -> Cleaner:
+    def apply(text: Column) -> Column:
+        chain = reduce(lambda t, kv: F.regexp_replace(t, term_pattern(kv[0]), kv[1]), terms.items(), text)
+        if len(terms) == 1:
+            return chain
+        gate = "|".join(f"(?:{term_pattern(key)})" for key in terms)
+        return F.when(text.rlike(gate), chain).otherwise(text)
+
+    return apply
+
+
+def _once(value: Column, step: Cleaner) -> Column:
+    """Apply a step that reads its input several times to a value computed once."""
+    return F.get(F.transform(F.array(value), step), F.lit(0))
 
 
 def replace_substring(text: Column, substring: str, replacement: str = "") -> Column:
@@ -187,14 +231,9 @@ def clean(
     Spanish text first has its chat terms and acronyms written out; a custom
     list is applied exactly as given.
     """
-    target = into or column
     if pipeline is None:
-        # Terms read their input twice (test, then chain), so each is a projection of its own.
-        for step in SPANISH_TERMS if language == "es" else ():
-            df = df.withColumn(target, step(F.col(column)))
-            column = target
-        pipeline = DEFAULT_STEPS
-    return df.withColumn(target, reduce(lambda text, step: step(text), pipeline, F.col(column)))
+        pipeline = (*SPANISH_TERMS, *DEFAULT_STEPS) if language == "es" else DEFAULT_STEPS
+    return df.withColumn(into or column, reduce(lambda text, step: step(text), pipeline, F.col(column)))
 
 
 def add_clean_columns(

@@ -39,24 +39,34 @@ def union_features(sets: Mapping[str, DataFrame], doc_id: str, features: str = "
     return assembled.select(doc_id, name)
 
 
-def logistic_regression(features: str = "features", label: str = "label_index", fit_intercept: bool = True, max_iter: int = 4000, weight: str | None = None) -> LogisticRegression:
-    out = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter, fitIntercept=fit_intercept)
+def logistic_regression(
+    features: str = "features", label: str = "label_index", fit_intercept: bool = True, max_iter: int = 4000, c: float = 1.0,
+    rows: int | None = None, weight: str | None = None,
+) -> LogisticRegression:
+    """With the number of training rows, ``c`` sets the strength of the penalty as 1 / (c * rows)."""
+    out = LogisticRegression(
+        featuresCol=features, labelCol=label, maxIter=max_iter, fitIntercept=fit_intercept,
+        regParam=1.0 / (c * rows) if rows else 0.0, standardization=False,
+    )
     return out.setWeightCol(weight) if weight else out
 
 
 def random_forest(
     features: str = "features", label: str = "label_index", trees: int = 200, depth: int | None = 10, min_leaf: int = 1, seed: int = 0,
+    rows: int | None = None,
 ) -> RandomForestClassifier:
-    """Spark limits the depth to 30, which also stands for no limit."""
+    """Spark limits the depth to 30, which also stands for no limit; ``rows`` is not used."""
     return RandomForestClassifier(
         featuresCol=features, labelCol=label, numTrees=trees, maxDepth=min(depth or 30, 30), minInstancesPerNode=min_leaf,
         featureSubsetStrategy="sqrt", seed=seed,
     )
 
 
-def linear_svm(features: str = "features", label: str = "label_index", c: float = 1.0, max_iter: int = 100) -> OneVsRest:
-    """Linear kernel, one model per label."""
-    return OneVsRest(classifier=LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / c if c else 0.0, maxIter=max_iter), featuresCol=features, labelCol=label)
+def linear_svm(features: str = "features", label: str = "label_index", c: float = 1.0, max_iter: int = 100, rows: int | None = None) -> OneVsRest:
+    """Linear kernel, one model per label; the penalty follows ``c`` as in logistic regression."""
+    one = LinearSVC(
+        featuresCol=features, labelCol=label, regParam=1.0 / (c * rows) if rows else 0.0, maxIter=max_iter, standardization=False)
+    return OneVsRest(classifier=one, featuresCol=features, labelCol=label)
 
 
 def layer_sizes(shape: str, layers: int, first: int) -> list[int]:
@@ -132,17 +142,17 @@ def random_search(
     indexer = encode_label(data.where(F.col(split) == "train"), label)
     coded = indexer.transform(data).persist()
     train, val = (coded.where(F.col(split) == name) for name in ("train", "val"))
-    log = []
+    log, rows = [], train.count()
     for trial in sampled_trials(grid, draws, seed):
         begin = time.monotonic()
-        model = _build(builders, trial).fit(train)
+        model = _build(builders, trial, rows).fit(train)
         fitted = time.monotonic()
         scores = scheme_scores(model.transform(val), "label_index", "prediction").first()
         log.append((trial["kind"], {k: str(v) for k, v in trial.items() if k != "kind"}, float(scores[f"f1_{average}"]),
                     float(scores["accuracy"]), fitted - begin, time.monotonic() - fitted, trial))
     best = max(log, key=lambda row: row[2])[-1]
     final = train_and_val(coded, split) if refit_with_val else train
-    refitted = _build(builders, best).fit(final)
+    refitted = _build(builders, best, rows).fit(final)
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     coded.unpersist()
     ranked = sorted(log, key=lambda row: -row[2])
@@ -153,8 +163,8 @@ def random_search(
     return Search(PipelineModel([refitted, names]), trials, best)
 
 
-def _build(builders: Mapping, trial: Mapping) -> Estimator:
-    return builders[trial["kind"]](**{k: v for k, v in trial.items() if k != "kind"})
+def _build(builders: Mapping, trial: Mapping, rows: int) -> Estimator:
+    return builders[trial["kind"]](rows=rows, **{k: v for k, v in trial.items() if k != "kind"})
 
 
 def run_summary(train: DataFrame, label: str, trials: DataFrame, metric: str = "score") -> DataFrame:
