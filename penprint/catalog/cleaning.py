@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from penprint.catalog.base import query, table
+from penprint.catalog.base import query, table, texts
 from penprint.functions import text as t
 from penprint.functions.arrays import (
     argmax, f1, month_number, month_period, name_category, parse_time, row_max, row_mean, row_mode, split_labels,
@@ -11,7 +11,7 @@ from penprint.operators import curate, stats
 
 
 def _cleaned(spark, sf, step, name="documents", key=("doc_id",)):
-    return table(spark, sf, name).select(*key, step(F.col("text")).alias("text"))
+    return texts(spark, sf, name).select(*key, step(F.col("text")).alias("text"))
 
 
 def _each(sql: str, name="documents", key="doc_id") -> str:
@@ -109,7 +109,7 @@ def trim_ending_ellipsis(spark, sf):
 
 @query()
 def clean_text(spark, sf):
-    return t.add_clean_columns(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "text_clean", "text_clean_lowercase")
+    return t.add_clean_columns(texts(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "text_clean", "text_clean_lowercase")
 
 
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\s\x0b]+'), lambda w: w <> '')) AS words FROM documents")
@@ -121,7 +121,7 @@ def word_count(spark, sf):
                 big AS (SELECT source FROM kept GROUP BY 1 HAVING count(*) >= 5)
            SELECT source, lang, count(*) AS count FROM kept WHERE source IN (SELECT source FROM big) GROUP BY 1, 2""")
 def writers_by_language(spark, sf):
-    documents = curate.drop_syndicated(table(spark, sf, "documents"), "text")
+    documents = curate.drop_syndicated(texts(spark, sf, "documents"), "text")
     cleaned = t.clean(documents, "text", into="text_clean")
     kept = curate.min_documents(cleaned.where(F.col("text_clean") != ""), "source", 5)
     return stats.docs_per_author_language(kept, "source", "lang")

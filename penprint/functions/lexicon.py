@@ -95,8 +95,8 @@ MONTHS = (
     "enero", "febrero", "marzo", "abril", "mayo", "junio",
     "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre",
 )
-# A day followed by a month cut to three letters, for each month in turn.
-CHAT_TERMS |= {rf"([0-3][0-9])(\s?de\s?)?{month[:3]}": f"$1 de {month}" for month in MONTHS}
+# A day followed by a month cut to three letters becomes "day de month".
+SHORT_DATE = rf"(?iuU)\b[0-3][0-9](?:\s?de\s?)?(?:{'|'.join(month[:3] for month in MONTHS)})\b"
 
 # --- Fixed values: acronyms, applied in this order ---------------------------
 ACRONYMS = {

@@ -195,7 +195,17 @@ def word_count(text: Column) -> Column:
 
 
 def expand_chat_terms(text: Column) -> Column:
-    return expand_terms(text, lx.CHAT_TERMS)
+    """Chat terms, then short dates. No written-out date is a short one again, so
+    all months are replaced in one pass."""
+
+    def dates(text: Column) -> Column:
+        months = F.create_map(*[F.lit(v) for month in lx.MONTHS for v in (month[:3], month)])
+        hits = F.regexp_extract_all(text, F.lit(lx.SHORT_DATE), 0)
+        said = F.zip_with(F.split(text, lx.SHORT_DATE, -1), hits, lambda gap, hit: F.concat(gap, F.coalesce(
+            F.concat(F.substring(hit, 1, 2), F.lit(" de "), F.element_at(months, F.lower(F.right(hit, F.lit(3))))), F.lit(""))))
+        return F.when(text.rlike(lx.SHORT_DATE), F.array_join(said, "")).otherwise(text)
+
+    return _once(expand_terms(text, lx.CHAT_TERMS), dates)
 
 
 def expand_acronyms(text: Column) -> Column:

@@ -53,10 +53,10 @@ def term_counts(df: DataFrame, keys: Sequence[str], array: str = "_grams") -> Da
     document needs no shuffle and only distinct terms leave the row.
     """
     place = F.col("_starts")
-    starts = F.filter(
+    starts = F.when(F.size("_sorted") > 0, F.filter(
         F.sequence(F.lit(0), F.size("_sorted") - 1),
         lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)),
-    )
+    ))
     runs = F.transform(
         place,
         lambda start, k: F.struct(
@@ -65,8 +65,7 @@ def term_counts(df: DataFrame, keys: Sequence[str], array: str = "_grams") -> Da
         ),
     )
     return (
-        df.where(F.size(array) > 0)
-        .select(*keys, F.sort_array(array).alias("_sorted"))
+        df.select(*keys, F.sort_array(array).alias("_sorted"))
         .select(*keys, "_sorted", starts.alias("_starts"))
         .select(*keys, F.explode(runs).alias("_run"))
         .select(*keys, "_run.term", "_run.tf")

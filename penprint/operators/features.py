@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ from penprint.functions.tokens import characters, term_counts, vocabulary_tokens
 # --- Weighted n-grams ------------------------------------------------------------
 @dataclass(frozen=True)
 class GramWeights:
-    """A fitted n-gram vocabulary: columns ``term``, ``index``, ``df``, ``idf``, at most ``max_features`` rows."""
+    """A fitted n-gram vocabulary: columns ``term``, ``index``, ``total``, ``df``, ``idf``, at most ``max_features`` rows."""
 
     table: DataFrame
     kind: str
@@ -74,7 +72,13 @@ def _fit_grams(
     # A window without partitions, over at most max_features rows.
     index = F.row_number().over(Window.orderBy("term")) - 1
     idf = F.ln((1 + documents) / (1 + F.col("df"))) + 1
-    return GramWeights(kept.select("term", index.alias("index"), "tf", "df", idf.alias("idf")), kind, n, max_features, sublinear)
+    table = _held(kept.select("term", index.alias("index"), F.col("tf").alias("total"), "df", idf.alias("idf")))
+    return GramWeights(table, kind, n, max_features, sublinear)
+
+
+def _held(fitted: DataFrame) -> DataFrame:
+    """A fitted table whose size is bounded by a parameter, computed once and kept as literal rows."""
+    return fitted.sparkSession.createDataFrame(fitted.collect(), fitted.schema)
 
 
 def word_tfidf(
@@ -140,11 +144,23 @@ class Reduction:
 def fit_svd(train: DataFrame, vectors: str, k: int = 100) -> Reduction:
     """Truncated singular value decomposition; the columns of the result are the ``k`` strongest directions.
 
-    Spark adds up the small Gram matrix over the cluster. The sign of a direction is arbitrary.
+    One pass: every task adds up the Gram matrix of its rows, and the sums of the
+    small square matrices are decomposed. The sign of a direction is arbitrary.
     """
-    rows = train.select(vectors).rdd.map(lambda r: OldVectors.fromML(r[0]))
-    v = RowMatrix(rows).computeSVD(k).V
-    return Reduction(v.toArray().tolist())
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                rows = np.stack(batch["row"].to_list())
+                total = rows.T @ rows + (0 if total is None else total)
+        if total is not None:
+            yield pd.DataFrame({"place": range(len(total)), "sums": list(total)})
+
+    partial = train.select(vector_to_array(F.col(vectors)).alias("row")).mapInPandas(gram, "place int, sums array<double>")
+    rows = partial.groupBy("place").agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).orderBy("place").collect()
+    values, directions = np.linalg.eigh(np.stack([r["sums"].toArray() for r in rows]))
+    return Reduction(directions[:, np.argsort(-values)[:k]].tolist())
 
 
 def reduce_svd(train: DataFrame, df: DataFrame, doc_id: str, text: str, k: int = 100, max_features: int = 100) -> DataFrame:
@@ -289,7 +305,7 @@ def fit_language_profiles(df: DataFrame, text: str, language: str, n: tuple[int,
     total = {r[language]: r["n"] for r in totals}
     size = per_language * len(languages)
     logs = [F.ln((F.coalesce(F.col(f"`{v}`"), F.lit(0)) + 1) / float(total[v] + size)) for v in languages]
-    return LanguageProfiles(wide.select("term", F.array(*logs).alias("logs")), languages, n)
+    return LanguageProfiles(_held(wide.select("term", F.array(*logs).alias("logs"))), languages, n)
 
 
 def detect_language(

@@ -38,3 +38,12 @@ def durable(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="penprint-checkpoint-")
         context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a table that was scanned in fewer tasks.
+
+    A large table already has more tasks than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

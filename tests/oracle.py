@@ -59,7 +59,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = 0
-    chosen = {n: q for n, q in queries().items() if len(sys.argv) < 3 or n in sys.argv[2:]}
+    chosen = {n: q for n, q in queries().items() if len([a for a in sys.argv[2:] if a != "-v"]) == 0 or n in sys.argv[2:]}
     for name, query in chosen.items():
         begin = time.time()
         try:
@@ -68,6 +68,6 @@ if __name__ == "__main__":
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         took = time.time() - begin
         bad += problem is not None
-        if problem or took > 5:
-            print(f"{'FAIL' if problem else 'slow'} {name} {took:.1f}s {problem or ''}", flush=True)
+        if problem or took > 5 or "-v" in sys.argv:
+            print(f"{'FAIL' if problem else 'ok'} {name} {took:.1f}s {problem or ''}", flush=True)
     print(f"{len(chosen) - bad} of {len(chosen)} agree")
