@@ -232,7 +232,7 @@ def ensemble_regression(spark, sf):
 @query(f"""{WITH}, a AS (SELECT o_orderkey, model, list(p ORDER BY label) AS ps FROM probabilities GROUP BY 1, 2)
            SELECT o_orderkey, model, {_NAMES}[list_position(ps, list_max(ps))] AS predicted,
                   CASE WHEN ps[1] >= 0.5 THEN 'yes' ELSE 'no' END AS binary FROM a""")
-def predict_labels_query(spark, sf):
+def labels_from_probabilities(spark, sf):
     listed = probabilities(spark, sf).groupBy("o_orderkey", "model").agg(F.array_sort(F.collect_list(F.struct("label", "p"))).alias("_c")).select(
         "o_orderkey", "model", F.col("_c.p").alias("ps"))
     out = predict_labels(listed, "ps", LABELS).withColumn("one", F.slice("ps", 1, 1))
