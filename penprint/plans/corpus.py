@@ -51,11 +51,12 @@ def compile_corpus(
 ) -> CompiledCorpus:
     """Filter, select, mask, enrich and split.
 
-    The selection is stored once: it holds at most some hundreds of documents per
-    author, and masks, traits and both splits are built from it.
+    Two stages are stored. The cleaned texts are read for scoring the language, for
+    counting authors and for selecting. The selection holds at most some hundreds of
+    documents per author; masks, traits and both splits are built from it.
     """
     c, s = columns, settings
-    kept = clean(curate.drop_syndicated(documents, c.text), c.text, into="text_clean", language=s.language)
+    kept = durable(clean(curate.drop_syndicated(documents, c.text), c.text, into="text_clean", language=s.language))
     spoken = detect_language(kept, c.doc_id, "text_clean", profiles)
     enough = curate.min_documents(curate.keep_language(spoken.drop("confidence"), "language", s.language), c.author, s.minimum)
     flagged = curate.flag_topic(enough, c.text, topics)
