@@ -24,7 +24,9 @@ def remove_urls(spark, sf):
     return _cleaned(spark, sf, t.remove_urls)
 
 
-@query()
+# A handle that ends in "user" stays: its sign is set aside while the others are replaced.
+@query(_each(r"""replace(regexp_replace(regexp_replace(regexp_replace(text, '^(@[A-Za-z0-9_]+\s?)+', ''), '\B@([A-Za-z0-9_]*user)\b', chr(1) || '\1', 'g'),
+    '\B@([A-Za-z0-9_]+)\b', '[USUARIO]', 'g'), chr(1), '@')"""))
 def remove_mentions(spark, sf):
     return _cleaned(spark, sf, t.remove_mentions)
 
@@ -83,7 +85,7 @@ def remove_punctuation(spark, sf):
     return _cleaned(spark, sf, t.remove_punctuation)
 
 
-@query()
+@query(_each(r"regexp_replace(text, '(?i)\b([\p{L}]+)@s\b', '\1os y \1as', 'g')"))
 def expand_gender(spark, sf):
     return _cleaned(spark, sf, t.expand_gender)
 

@@ -264,3 +264,27 @@ def test_decisions(spark):
 def test_mad_is_rounded(spark):
     df = spark.createDataFrame([("a",)] * 2 + [("b",)] * 9 + [("c",)] * 30, "author string")
     assert stats.author_mad(df, "author").first()["mad"] == round(7 / (2 / math.sqrt(3)))
+
+
+def test_merged_experiment_and_saving(spark, tmp_path):
+    from penprint.plans.experiment import run_experiment
+    from penprint.spec import Columns, TaskSpec
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(240):
+        author = i % 24
+        side = "left" if author % 2 else "right"
+        shift = 1.0 if side == "left" else -1.0
+        rows.append((i, f"a{author}", side, ("train", "train", "val", "test")[author // 2 % 4], [rng.gauss(shift, 0.3), rng.gauss(0, 1), rng.gauss(shift, 0.5), 5.0]))
+    df = spark.createDataFrame(rows, "doc_id long, author string, side string, s string, features array<double>")
+    sets = {"lf": df.select("doc_id", "features"), "se": df.select("doc_id", F.slice("features", 1, 1).alias("features"))}
+    spec = TaskSpec("side", "side", "s", merge=True, columns=Columns())
+    out = run_experiment(df.drop("features"), sets, spec, {"lr": {"fit_intercept": [True], "max_iter": [20]}}, draws=1)
+    assert out.predictions.count() == len({r[1] for r in rows if r[3] == "test"})
+    report = {r["label"]: r["f1_score"] for r in out.report.collect()}
+    assert report["accuracy"] == 100.0
+    model.save_stage(out.search.model, str(tmp_path / "m"))
+    again = model.predict(model.load_stage(str(tmp_path / "m")), out.selection.variants(
+        df.select("doc_id", F.concat("features", F.slice("features", 1, 1)).alias("features")))["minmax_anova"], ["doc_id"])
+    assert again.count() == 240
