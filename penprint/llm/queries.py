@@ -3,13 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from penprint.llm import sharding
+from penprint.llm import decontaminate, language, sharding, simhash
 from penprint.llm.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+OP3_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, unnest(w) AS word, unnest(range(len(w))) AS at, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+  UNION ALL
+  SELECT 'b', item_id, unnest(w), unnest(range(len(w))), len(w)
+  FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+runs AS (
+  SELECT kind, id, at, n, k, string_agg(word, ' ') OVER (PARTITION BY kind, id, k ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS long_run, word
+  FROM (SELECT *, 0 AS k FROM words)),
+windows AS (
+  SELECT DISTINCT id AS item_id, long_run AS run, least(n, 13) AS width FROM runs WHERE kind = 'b' AND at + least(n, 13) <= n),
+sizes AS (SELECT DISTINCT width FROM windows),
+spots AS (
+  SELECT r.id AS doc_id, r.at, s.width,
+         CASE WHEN s.width = 13 THEN r.long_run ELSE array_to_string(string_split(r.long_run, ' ')[1:s.width], ' ') END AS run
+  FROM runs r, sizes s WHERE r.kind = 'd' AND r.at + s.width <= r.n),
+found AS (SELECT p.doc_id, p.at, p.width, w.item_id FROM spots p JOIN windows w ON p.run = w.run AND p.width = w.width),
+hit AS (SELECT doc_id, count(DISTINCT at + i) AS n_hit FROM (SELECT DISTINCT doc_id, at, width FROM found), range(13) AS g(i) WHERE i < width GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id),
+counts AS (SELECT id, max(n) AS n_words FROM words WHERE kind = 'd' GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) AS contaminated
+FROM documents d LEFT JOIN counts c ON c.id = d.doc_id LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
+"""
+
+
+@query(OP3_SQL)
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.judged(decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op4_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.where(~language.is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    found = language.identify(docs, model, carry=["doc_id"])
+    return found.select("doc_id", language.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op9_weighted_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
