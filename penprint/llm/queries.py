@@ -13,7 +13,7 @@ __all__ = ["ORACLES", "QUERIES"]
 
 OP3_SQL = r"""
 WITH words AS (
-  SELECT 'd' AS kind, doc_id AS id, unnest(w) AS word, unnest(range(len(w))) AS at, len(w) AS n
+  SELECT 'd' AS kind, doc_id AS id, unnest(w) AS word, unnest(range(len(w))) AS pos, len(w) AS n
   FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
   UNION ALL
@@ -21,17 +21,17 @@ WITH words AS (
   FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
 runs AS (
-  SELECT kind, id, at, n, k, string_agg(word, ' ') OVER (PARTITION BY kind, id, k ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS long_run, word
+  SELECT kind, id, pos, n, k, string_agg(word, ' ') OVER (PARTITION BY kind, id, k ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS long_run, word
   FROM (SELECT *, 0 AS k FROM words)),
 windows AS (
-  SELECT DISTINCT id AS item_id, long_run AS run, least(n, 13) AS width FROM runs WHERE kind = 'b' AND at + least(n, 13) <= n),
+  SELECT DISTINCT id AS item_id, long_run AS run, least(n, 13) AS width FROM runs WHERE kind = 'b' AND pos + least(n, 13) <= n),
 sizes AS (SELECT DISTINCT width FROM windows),
 spots AS (
-  SELECT r.id AS doc_id, r.at, s.width,
+  SELECT r.id AS doc_id, r.pos, s.width,
          CASE WHEN s.width = 13 THEN r.long_run ELSE array_to_string(string_split(r.long_run, ' ')[1:s.width], ' ') END AS run
-  FROM runs r, sizes s WHERE r.kind = 'd' AND r.at + s.width <= r.n),
-found AS (SELECT p.doc_id, p.at, p.width, w.item_id FROM spots p JOIN windows w ON p.run = w.run AND p.width = w.width),
-hit AS (SELECT doc_id, count(DISTINCT at + i) AS n_hit FROM (SELECT DISTINCT doc_id, at, width FROM found), range(13) AS g(i) WHERE i < width GROUP BY doc_id),
+  FROM runs r, sizes s WHERE r.kind = 'd' AND r.pos + s.width <= r.n),
+found AS (SELECT p.doc_id, p.pos, p.width, w.item_id FROM spots p JOIN windows w ON p.run = w.run AND p.width = w.width),
+hit AS (SELECT doc_id, count(DISTINCT pos + i) AS n_hit FROM (SELECT DISTINCT doc_id, pos, width FROM found), range(13) AS g(i) WHERE i < width GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id),
 counts AS (SELECT id, max(n) AS n_words FROM words WHERE kind = 'd' GROUP BY id)
