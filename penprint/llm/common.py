@@ -9,6 +9,7 @@ from uuid import uuid4
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -49,6 +50,11 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     return spark.table(name)
 
 
+def extended(schema: StructType, columns: str) -> StructType:
+    """``schema`` and more columns, in SQL."""
+    return StructType([*schema.fields, *StructType.fromDDL(columns).fields])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
-from penprint.llm.common import small_batches, text_bytes
+from penprint.llm.common import extended, small_batches, text_bytes
 
 #: Lower-cases A-Z; every other ASCII character but letters and digits separates words.
 NORMAL = bytes(
@@ -165,9 +164,7 @@ def find_contamination(
     blocks = int(total // block_bytes) + 1
     context = docs.sparkSession.sparkContext
     n = len(carry)
-    schema = docs.select(*carry).schema
-    for name, kind in (("_text", "string"), ("n_words", "bigint"), ("spans", "array<array<int>>"), ("items", "array<string>")):
-        schema = schema.add(name, DataType.fromDDL(kind))
+    schema = extended(docs.select(*carry).schema, "_text string, n_words long, spans array<array<int>>, items array<string>")
     kinds = [("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))]
     found = docs.select(
         *carry, F.col(text).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penprint.llm.common import small_batches, stored
+from penprint.llm.common import extended, small_batches, stored
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry: l
     """
     carry = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
+    schema = extended(docs.select(*carry).schema, "lang_pred string, score double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penprint.llm.common import small_batches, stored
+from penprint.llm.common import extended, small_batches, stored
 from penprint.llm.sharding import number_slots
 from penprint.llm.tokens import IDS, word_encoder
 
@@ -55,7 +55,7 @@ def _taken(last: np.ndarray, room: int) -> Counter:
     return found
 
 
-def price(histogram: dict[int, int], capacity: int, rounds: int = 48, step: float = 0.25, near: float = 0.02) -> dict[Configuration, float]:
+def price(histogram: dict[int, int], capacity: int, rounds: int = 24, step: float = 0.25, near: float = 0.002) -> dict[Configuration, float]:
     """A fractional cover of the histogram: how often to use which configuration."""
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[n] for n in lengths.tolist()], float)
@@ -89,11 +89,14 @@ def price(histogram: dict[int, int], capacity: int, rounds: int = 48, step: floa
 
 
 def round_down(used: dict[Configuration, float], histogram: dict[int, int]) -> tuple[list[tuple[Configuration, int]], dict[int, int]]:
-    """Whole multiplicities that stay within the histogram, and what they leave."""
+    """Whole multiplicities that stay within the histogram, fullest configurations first, and what they leave.
+
+    The prices stop short of a full cover, so amounts are doubled before they are cut to whole numbers.
+    """
     left = dict(histogram)
     plan = []
     for items, amount in sorted(used.items(), key=lambda x: (-sum(n * k for n, k in x[0]), -x[1], x[0])):
-        times = min([int(amount), *(left[length] // n for length, n in items)])
+        times = min([int(2 * amount), *(left[length] // n for length, n in items)])
         if times > 0:
             plan.append((items, times))
             for length, n in items:
@@ -134,16 +137,22 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Configurati
     return [(tuple(sorted(Counter(items).items(), reverse=True)), times) for groups in open_.values() for items, times in groups]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = 48) -> list[tuple[Configuration, int]]:
-    """Configurations with multiplicities that hold exactly the histogram; the better of the rounded program and best fit alone."""
-    if not histogram:
-        return []
-    if min(histogram) < 1 or max(histogram) > capacity:
+def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = 24, passes: int = 6) -> list[tuple[Configuration, int]]:
+    """Configurations with multiplicities that hold exactly the histogram.
+
+    The program is solved and rounded down again for what the pass before left over, until a pass adds little.
+    """
+    if histogram and (min(histogram) < 1 or max(histogram) > capacity):
         raise ValueError("lengths must be from 1 to the capacity")
-    rounded, left = round_down(price(histogram, capacity, rounds), histogram)
-    plan = rounded + best_fit(left, capacity)
-    simple = best_fit(histogram, capacity)
-    return min(plan, simple, key=lambda p: sum(times for _, times in p))
+    plan: list[tuple[Configuration, int]] = []
+    left = dict(histogram)
+    for _ in range(passes if histogram else 0):
+        rounded, rest = round_down(price(left, capacity, rounds), left)
+        if sum(t for _, t in rounded) <= 0.01 * sum(t for _, t in plan):
+            break
+        plan += rounded
+        left = rest
+    return plan + best_fit(left, capacity)
 
 
 def slot_table(plan: list[tuple[Configuration, int]]) -> dict[str, np.ndarray]:
@@ -178,13 +187,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_
             kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    schema = docs.select(F.col(doc_id).alias("doc_id")).schema
-    for name, kind in (("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")):
-        schema = schema.add(name, kind)
+    schema = extended(docs.select(F.col(doc_id).alias("doc_id")).schema, "piece int, start long, length long, ids_crc32 long")
     return docs.select(doc_id, text).mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", rounds: int = 48) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", rounds: int = 24) -> DataFrame:
     """One row per piece of a document, with the sequence it is packed into and its offset there.
 
     A null or empty text is one piece that holds the end id. Only documents over ``capacity`` are cut; every piece but the last is
@@ -211,5 +218,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
             names = [f.name for f in batch.schema if f.name != "_rank"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    schema = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(ranked.drop("_rank").schema, "sequence_id long, offset long")
     return ranked.mapInArrow(seat, schema)

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penprint.llm import decontaminate, language, sharding, simhash
+from penprint.llm import decontaminate, language, packing, sharding, simhash, tokenfiles
 from penprint.llm.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+WORDS_49K = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), WORDS_49K, capacity=4096, end_id=1)
+
+
+@query()
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    # The vocabulary has fewer than 65,536 entries, so two bytes hold an id.
+    return tokenfiles.token_files(table(spark, folder, "documents"), WORDS_49K, end_id=2, width=2)
+
+
 OP3_SQL = r"""
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, unnest(w) AS word, unnest(range(len(w))) AS pos, len(w) AS n

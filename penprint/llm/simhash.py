@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penprint.llm.common import small_batches, stored, text_bytes
+from penprint.llm.common import extended, small_batches, stored, text_bytes
 from penprint.llm.graph import components
 
 SHINGLE = 3
@@ -53,7 +53,7 @@ def with_fingerprint(docs: DataFrame, carry: Sequence[str], text: str = "text")
             marks = pa.array([fingerprint(t) for t in text_bytes(batch.column(n))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [marks], names=[*carry, "_fp"])
 
-    schema = docs.select(*carry).schema.add("_fp", "long")
+    schema = extended(docs.select(*carry).schema, "_fp long")
     return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(compute, schema)
 
 
