@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penprint.llm import chat, decontaminate, language, packing, sharding, simhash, tokenfiles, topk
+from penprint.llm import chat, decontaminate, html, language, packing, sharding, simhash, tokenfiles, topk
 from penprint.llm.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -120,3 +120,8 @@ def op7_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op9_weighted_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return sharding.assign_shards(docs, sharding.even_tree(8), sharding.even_tree(9))
+
+
+@query()
+def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
