@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penprint.llm import chat, decontaminate, html, language, packing, sharding, simhash, tokenfiles, topk
+from penprint.llm import chat, decontaminate, html, language, packing, repeats, sharding, simhash, tokenfiles, topk
 from penprint.llm.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -116,6 +116,12 @@ def op7_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query()
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.summarise(repeats.find_repeats(table(spark, folder, "documents")))
+    return found.select("_doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query()
 def op9_weighted_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
