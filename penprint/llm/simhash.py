@@ -90,20 +90,38 @@ def link_pairs(nodes: DataFrame, bits: int = 3) -> DataFrame:
     return left.join(right, matched).select("u", "v")
 
 
+def components_of(marks: DataFrame, bits: int = 3) -> DataFrame:
+    """``_fp`` and ``component_id`` of every distinct fingerprint of ``marks`` (doc_id, _fp)."""
+    nodes = stored(marks.groupBy("_fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("_fp")), "nodes")
+    reached = components(link_pairs(nodes, bits))
+    grouped = nodes.join(reached, "node", "left").select("_fp", "least", F.coalesce("component", "node").alias("_group"))
+    return grouped.join(grouped.groupBy("_group").agg(F.min("least").alias("component_id")), "_group").select("_fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
     """``doc_id``, ``fingerprint`` (long) and ``component_id`` of every row of ``docs``.
 
     Rows are connected through chains of fingerprints that differ in at most ``bits`` bits; the component is named
     by its smallest id. A text without words has the fingerprint zero and is linked like any other. Copies meet in one distinct
-    fingerprint before anything is paired. A null id is kept and never names a component, unless all its ids are null.
+    fingerprint before anything is paired. A null id is kept and names a component only if all its ids are null.
     Repeated rows stay. Other columns are not carried.
     """
     marks = stored(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"]), "marks")
-    nodes = stored(marks.groupBy("_fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("_fp")), "nodes")
-    reached = components(link_pairs(nodes, bits))
-    grouped = nodes.join(reached, "node", "left").select("_fp", "least", F.coalesce("component", "node").alias("_group"))
-    named = grouped.join(grouped.groupBy("_group").agg(F.min("least").alias("component_id")), "_group").select("_fp", "component_id")
-    return marks.join(named, "_fp").select("doc_id", F.col("_fp").alias("fingerprint"), "component_id")
+    return marks.join(components_of(marks, bits), "_fp").select("doc_id", F.col("_fp").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
+    """One row of each component of near-duplicates, with all columns of ``docs``: the one with the smallest id.
+
+    Of rows that share that id, the first in the order of the stored rows stays. Null ids come last.
+    The choice is made on ids alone; the documents are joined to it by the row's number.
+    """
+    columns = docs.columns
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = stored(with_fingerprint(rows, ["_row", "_doc", "doc_id"]), "marked")
+    named = marked.select("_row", "doc_id", "_fp").join(components_of(marked.select("doc_id", "_fp"), bits), "_fp")
+    first = named.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
+    return marked.join(first, "_row", "left_semi").select("_doc.*")
 
 
 def hex_digits(mark: Column) -> Column:
