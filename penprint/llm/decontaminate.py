@@ -7,7 +7,6 @@ occurrence of an item, and its words are hit.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 from itertools import compress
 
@@ -227,16 +226,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     With ``long_span``, the hit spans of at least so many words are cut from the texts of the documents that stay.
     Columns stay as they are.
     """
-    columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("_row"), F.col("text"))
-    found = judged(find_contamination(packed, benchmark, width, carry=["_row"]), share).where(~F.col("contaminated"))
-    kept = found.select("_row.*", "spans")
+    packed = docs.select(F.struct("*").alias("_doc"), F.col("text"))
+    kept = judged(find_contamination(packed, benchmark, width, carry=["_doc"]), share).where(~F.col("contaminated"))
+    text = F.col("_doc.text")
     if long_span is not None:
         long = F.filter("spans", lambda s: s[1] - s[0] >= long_span)
-        cut = F.udf(remove_spans, "string")
-        kept = kept.withColumn("text", F.when(F.size(long) > 0, cut("text", long)).otherwise(F.col("text")))
-    return kept.select(*columns)
-
-
-def digest(items: Sequence[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        text = F.when(F.size(long) > 0, F.udf(remove_spans, "string")(text, long)).otherwise(text)
+    return kept.select(*[(text if c == "text" else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

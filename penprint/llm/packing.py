@@ -146,7 +146,9 @@ def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = 24, p
         raise ValueError("lengths must be from 1 to the capacity")
     plan: list[tuple[Configuration, int]] = []
     left = dict(histogram)
-    for _ in range(passes if histogram else 0):
+    for _ in range(passes):
+        if not left:
+            break
         rounded, rest = round_down(price(left, capacity, rounds), left)
         if sum(t for _, t in rounded) <= 0.01 * sum(t for _, t in plan):
             break

@@ -91,11 +91,14 @@ def link_pairs(nodes: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def components_of(marks: DataFrame, bits: int = 3) -> DataFrame:
-    """``_fp`` and ``component_id`` of every distinct fingerprint of ``marks`` (doc_id, _fp)."""
+    """``_fp``, ``_group`` and ``component_id`` of every distinct fingerprint of ``marks`` (doc_id, _fp).
+
+    A group is known by one of its fingerprints; components may have the same smallest id where ids repeat.
+    """
     nodes = stored(marks.groupBy("_fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("_fp")), "nodes")
     reached = components(link_pairs(nodes, bits))
     grouped = nodes.join(reached, "node", "left").select("_fp", "least", F.coalesce("component", "node").alias("_group"))
-    return grouped.join(grouped.groupBy("_group").agg(F.min("least").alias("component_id")), "_group").select("_fp", "component_id")
+    return grouped.join(grouped.groupBy("_group").agg(F.min("least").alias("component_id")), "_group").select("_fp", "_group", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
@@ -119,8 +122,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits
     columns = docs.columns
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = stored(with_fingerprint(rows, ["_row", "_doc", "doc_id"]), "marked")
-    named = marked.select("_row", "doc_id", "_fp").join(components_of(marked.select("doc_id", "_fp"), bits), "_fp")
-    first = named.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
+    grouped = marked.select("_row", "doc_id", "_fp").join(components_of(marked.select("doc_id", "_fp"), bits), "_fp")
+    first = grouped.groupBy("_group").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
     return marked.join(first, "_row", "left_semi").select("_doc.*")
 
 
