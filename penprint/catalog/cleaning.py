@@ -19,9 +19,11 @@ def _each(sql: str, name="documents", key="doc_id") -> str:
     return f"SELECT {key}, {sql} AS text FROM {name}"
 
 
-@query(_each(r"regexp_replace(text, 'https?://[^\s\x0b\x1c-\x1f\x85\p{Z}]+', '', 'g')"))
+@query(r"SELECT page_id, regexp_replace('see ' || url || ' or ' || url || chr(10) || 'end', 'https?://[^\s\x0b\x1c-\x1f\x85\p{Z}]+', '', 'g') AS text FROM pages")
 def remove_urls(spark, sf):
-    return _cleaned(spark, sf, t.remove_urls)
+    """Texts that quote the address of each page twice."""
+    said = F.concat(F.lit("see "), "url", F.lit(" or "), "url", F.lit("\nend"))
+    return table(spark, sf, "pages").select("page_id", t.remove_urls(said).alias("text"))
 
 
 # A handle that ends in "user" stays: its sign is set aside while the others are replaced.
@@ -31,14 +33,20 @@ def remove_mentions(spark, sf):
     return _cleaned(spark, sf, t.remove_mentions)
 
 
-@query()
+@query("""SELECT p_partkey, 'a ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')
+                 || p_size || ', ' || p_size || '.' AS text FROM part""")
 def expand_hashtags(spark, sf):
-    return _cleaned(spark, sf, t.expand_hashtags)
+    """Hashtags in camel case made of the words of a part's name and its size, and one of digits alone."""
+    tag = F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.col("p_size").cast("string"))
+    said = F.concat(F.lit("a #"), tag, F.lit(", #"), F.col("p_size").cast("string"), F.lit("."))
+    return table(spark, sf, "part").select("p_partkey", t.expand_hashtags(said).alias("text"))
 
 
-@query(_each(r"regexp_replace(text, '#([\p{L}0-9_]+)', '#[HASHTAG]_\1', 'g')"))
+@query(r"SELECT p_partkey, regexp_replace(p_brand || ' #' || p_type || ' ' || p_name, '#([\p{L}0-9_]+)', '#[HASHTAG]_\1', 'g') AS text FROM part")
 def remove_hashtags(spark, sf):
-    return _cleaned(spark, sf, t.remove_hashtags)
+    """A brand, in which a number sign stands, and a type with one put before it."""
+    said = F.concat("p_brand", F.lit(" #"), "p_type", F.lit(" "), "p_name")
+    return table(spark, sf, "part").select("p_partkey", t.remove_hashtags(said).alias("text"))
 
 
 @query(_each(r"regexp_replace(text, '\b(\d+[.,]?\d*|\d{2}[AP]M)%', '[PORCENTAJE]', 'g')"))
@@ -60,14 +68,21 @@ def remove_whitespaces(spark, sf):
     return _cleaned(spark, sf, t.remove_whitespaces)
 
 
-@query(_each(r"regexp_replace(text, '[\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{2600}-\x{2604}\x{2764}\x{2728}\x{A9}\x{AE}]', '', 'g')"))
+_EMOJIS = ("\U0001F600", "\U0001F680", "☀️", "\U0001F44D\U0001F3FD", "\U0001F469‍\U0001F680", "")
+
+
+@query(_each("text || ' ' || ' end'"))
 def remove_emojis(spark, sf):
-    return _cleaned(spark, sf, t.remove_emojis)
+    """An emoji, plain or joined of several signs, is put behind every text; the texts hold none themselves."""
+    emoji = F.get(F.array(*[F.lit(e) for e in _EMOJIS]), (F.col("doc_id") % len(_EMOJIS)).cast("int"))
+    return texts(spark, sf).select("doc_id", t.remove_emojis(F.concat("text", F.lit(" "), emoji, F.lit(" end"))).alias("text"))
 
 
-@query(_each("""translate(text, '"“”''«»‘’', '')""", "conversations", "conv_id, turn"))
+@query("""SELECT page_id, translate(html || ' «a» “b” ‘c’ ' || chr(39), '"“”''«»‘’', '') AS text FROM pages""")
 def remove_quotations(spark, sf):
-    return _cleaned(spark, sf, t.remove_quotations, "conversations", ("conv_id", "turn"))
+    """The source of each page, which quotes its attributes."""
+    said = F.concat("html", F.lit(" «a» “b” ‘c’ '"))
+    return texts(spark, sf, "pages").select("page_id", t.remove_quotations(said).alias("text"))
 
 
 @query()
@@ -85,9 +100,11 @@ def remove_punctuation(spark, sf):
     return _cleaned(spark, sf, t.remove_punctuation)
 
 
-@query(_each(r"regexp_replace(text, '(?i)\b([\p{L}]+)@s\b', '\1os y \1as', 'g')"))
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w || 'os y ' || w || 'as'), ' ') || ' a@sb' AS text FROM part""")
 def expand_gender(spark, sf):
-    return _cleaned(spark, sf, t.expand_gender)
+    """Every word of a part's name written for both genders, and one that only looks so."""
+    said = F.concat(F.replace("p_name", F.lit(" "), F.lit("@s ")), F.lit("@s a@sb"))
+    return table(spark, sf, "part").select("p_partkey", t.expand_gender(said).alias("text"))
 
 
 @query()
@@ -105,9 +122,12 @@ def strip(spark, sf):
     return _cleaned(spark, sf, t.strip)
 
 
-@query(_each("rtrim(text, '…')", "conversations", "conv_id, turn"))
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '… ' ELSE '' END || rtrim(text, '…') AS text FROM conversations")
 def trim_ending_ellipsis(spark, sf):
-    return _cleaned(spark, sf, t.trim_ending_ellipsis, "conversations", ("conv_id", "turn"))
+    """Texts with none, one or two signs of omission at the end, and some with one at the start."""
+    before = F.when(F.col("turn") % 3 == 0, "… ").otherwise("")
+    said = F.concat(before, "text", F.repeat(F.lit("…"), (F.col("turn") % 3).cast("int")))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", t.trim_ending_ellipsis(said).alias("text"))
 
 
 @query()

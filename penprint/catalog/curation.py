@@ -229,12 +229,14 @@ def number_authors(spark, sf):
     return curate.number_authors(table(spark, sf, "orders"), "o_custkey", seed=7)
 
 
-@query()
+@query("""SELECT d.doc_id, text || ' ' || mask || ' x' || mask || ', @' || source || 'x' AS text FROM documents d JOIN (
+            SELECT source, '@user' || row_number() OVER (ORDER BY md5('0:' || source)) AS mask FROM (SELECT DISTINCT source FROM documents)) USING (source)""")
 def mask_handles(spark, sf):
+    """Every text followed by its source as a handle, in capitals and inside a word, and by a longer handle that stays."""
     documents = table(spark, sf, "documents")
-    handles = documents.select(F.explode(F.regexp_extract_all("text", F.lit(lx.HANDLE), 1)).alias("account"))
-    masks = curate.number_authors(handles.select(F.lower("account").alias("account")), "account")
-    return curate.mask_handles(documents, "doc_id", "text", masks, "account").select("doc_id", "text")
+    said = F.concat("text", F.lit(" @"), F.upper("source"), F.lit(" x@"), "source", F.lit(", @"), "source", F.lit("x"))
+    masks = curate.number_authors(documents, "source")
+    return curate.mask_handles(documents.withColumn("text", said), "doc_id", "text", masks, "source").select("doc_id", "text")
 
 
 @query("""SELECT d.doc_id, n.mask AS label FROM documents d JOIN (SELECT source, '@user' || row_number() OVER (ORDER BY md5('0:' || source)) AS mask

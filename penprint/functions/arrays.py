@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def parse_time(column: Column, pattern: str = "yyyy/MM/dd HH:mm:ss", strict: bool = False) -> Column:
     """Text to timestamp; unreadable text is null unless ``strict``."""
-    pattern = F.lit(pattern)
-    return F.to_timestamp(column, "yyyy/MM/dd HH:mm:ss") if strict else F.try_to_timestamp(column, pattern)
+    return F.to_timestamp(column, pattern) if strict else F.try_to_timestamp(column, F.lit(pattern))
 
 
 def month_number(ts: Column) -> Column:

@@ -17,7 +17,6 @@ from penprint.session import durable
 
 BUCKET_DIGITS = 3
 BUCKETS = 16**BUCKET_DIGITS
-SPARK_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 SLICES = 256
 
 
@@ -74,12 +73,13 @@ def first_per_group(
 ) -> DataFrame:
     """Rows ranked up to ``n`` in their group, with the rank in ``name``.
 
-    Up to ``SPARK_LIMIT`` Spark itself drops rows ranked past ``n`` before the
+    Up to its own limit, a setting of the session, Spark itself drops rows ranked past ``n`` before the
     shuffle. Beyond, rows are first limited inside slices of their group, so that
     even a group holding a third of the table is ranked by many tasks;
     ``spread`` is a value that differs between rows, as the document id.
     """
-    if n > SPARK_LIMIT:
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limit:
         slice_ = F.pmod(F.xxhash64(spread), F.lit(SLICES))
         inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
         df = df.withColumn("_slice", slice_).withColumn(name, F.row_number().over(inside))
@@ -137,6 +137,27 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank"
     )
 
 
+def characters_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], length: str, name: str = "_before") -> DataFrame:
+    """Add the sum of ``length`` over the rows before each row in the order of its group.
+
+    Rows are sorted in ranges and stored, since range bounds are sampled anew by every job. Sums run inside
+    a group's share of a range and are shifted by its shares of earlier ranges, so a group that holds a third of the rows is
+    summed by many tasks. Null keys are groups.
+    """
+    columns = df.columns
+    ranged = durable(
+        df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shares = ranged.groupBy(*keys, "_range").agg(F.sum(length).alias("_sum"))
+    shifts = shares.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    summed = ranged.withColumn("_sum", F.coalesce(F.sum(length).over(inside), F.lit(0)))
+    return summed.join(shifts, [F.col("_range") == F.col("_r"), *same]).withColumn(name, F.col("_sum") + F.col("_shift")).select(*columns, name)
+
+
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -211,7 +211,8 @@ def mask_handles(df: DataFrame, doc_id: str, text: str, masks: DataFrame, accoun
     mentioned = F.contains(F.col(text), F.lit("@"))
     plain = df.where(~F.coalesce(mentioned, F.lit(False)))
     tagged = df.where(mentioned).withColumn("_handles", handles)
-    lookup = masks.select(F.lower(account).alias("_handle"), F.col(mask).alias("_mask")).dropDuplicates(["_handle"])
+    # Accounts that differ only in case share the smallest of their masks, in every run.
+    lookup = masks.groupBy(F.lower(account).alias("_handle")).agg(F.min(mask).alias("_mask"))
     found = (
         tagged.select(doc_id, F.explode(F.array_distinct(F.transform("_handles", lambda h: F.lower(h)))).alias("_handle"))
         .join(lookup, "_handle")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from penprint.functions import lexicon as lx
 from penprint.functions.order import first_per_group, global_rank
 from penprint.functions.tokens import characters, term_counts, vocabulary_tokens, with_ngrams, words
+from penprint.session import durable
 
 
 # --- Weighted n-grams ------------------------------------------------------------
@@ -294,18 +295,21 @@ class LanguageProfiles:
     n: tuple[int, int]
 
 
-def fit_language_profiles(df: DataFrame, text: str, language: str, n: tuple[int, int] = (1, 3), per_language: int = 1000) -> LanguageProfiles:
-    """Count the n-grams of labelled texts and keep the most frequent ones of each language."""
+def fit_language_profiles(df: DataFrame, text: str, language: str, n: tuple[int, int] = (1, 3), per_language: int | None = None) -> LanguageProfiles:
+    """Count all n-grams of labelled texts; ``per_language`` keeps only the most frequent ones of each language."""
     counts = gram_counts(df.where(F.col(language).isNotNull()), [language], text, "char", n).groupBy(language, "term").agg(F.sum("tf").alias("n"))
     languages = [r[0] for r in counts.groupBy(language).agg(F.lit(1)).orderBy(language).select(language).collect()]
-    frequent = first_per_group(counts, [language], [F.desc("n"), F.col("term")], per_language, F.col("term")).select("term").distinct()
-    shared = counts.join(frequent, "term", "left_semi")
+    shared = counts
+    if per_language is not None:
+        frequent = first_per_group(counts, [language], [F.desc("n"), F.col("term")], per_language, F.col("term")).select("term").distinct()
+        shared = counts.join(frequent, "term", "left_semi")
     wide = shared.groupBy("term").pivot(language, languages).agg(F.sum("n"))
-    totals = shared.groupBy(language).agg(F.sum("n").alias("n")).collect()
+    totals = shared.groupBy(language).agg(F.sum("n").alias("n"), F.count("*").alias("terms")).collect()
     total = {r[language]: r["n"] for r in totals}
-    size = per_language * len(languages)
+    size = sum(r["terms"] for r in totals)
     logs = [F.ln((F.coalesce(F.col(f"`{v}`"), F.lit(0)) + 1) / float(total[v] + size)) for v in languages]
-    return LanguageProfiles(_held(wide.select("term", F.array(*logs).alias("logs"))), languages, n)
+    # As many rows as the corpus has n-grams: stored, not gathered.
+    return LanguageProfiles(durable(wide.select("term", F.array(*logs).alias("logs"))), languages, n)
 
 
 def detect_language(
@@ -313,11 +317,10 @@ def detect_language(
 ) -> DataFrame:
     """Most likely language of each document, null unless its probability exceeds the threshold.
 
-    The profile table has at most a fixed number of rows per language and is
-    broadcast; one row of sums per document is shuffled.
+    Documents meet the profiles by n-gram; Spark broadcasts the profiles if their measured size allows.
     """
     sums = (
-        gram_counts(df, [doc_id], text, "char", profiles.n).join(F.broadcast(profiles.table), "term")
+        gram_counts(df, [doc_id], text, "char", profiles.n).join(profiles.table, "term")
         .groupBy(doc_id)
         .agg(F.array(*[F.sum(F.col("tf") * F.get("logs", F.lit(i))) for i in range(len(profiles.languages))]).alias("_s"))
     )

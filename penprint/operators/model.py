@@ -6,10 +6,12 @@ import random
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from penprint.operators.evaluate import scheme_scores
 from penprint.operators.split import train_and_val
 from penprint.spec import SPLIT
 
+DEEPEST = 30
 FEATURE_SETS = ("lf", "se", "we", "be", "ne", "bf", "cf", "fe", "pr", "ng", "cg")
 
 
@@ -26,17 +29,33 @@ def encode_label(df: DataFrame, label: str, name: str = "label_index") -> String
     return StringIndexer(inputCol=label, outputCol=name, stringOrderType="alphabetAsc", handleInvalid="skip").fit(df)
 
 
-def union_features(sets: Mapping[str, DataFrame], doc_id: str, features: str = "features", name: str = "features") -> DataFrame:
-    """The chosen feature sets side by side, in the fixed order, joined by document id."""
+def union_features(
+    sets: Mapping[str, DataFrame], doc_id: str, rows: DataFrame | None = None, fill: float | None = None, features: str = "features", name: str = "features"
+) -> DataFrame:
+    """The chosen feature sets side by side, in the fixed order, for every document of ``rows``.
+
+    Without ``rows``, for every document of any set. A document that a set does not know is an error that names it, unless
+    ``fill`` gives the value of its missing features; null and NaN cells are filled alike. No document is dropped.
+    """
     chosen = [s for s in FEATURE_SETS if s in sets] + [s for s in sets if s not in FEATURE_SETS]
-    out = None
+    sides = {}
     for key in chosen:
         column = F.col(features)
-        vector = column if sets[key].schema[features].dataType.typeName() == "vectorudt" else array_to_vector(column.cast("array<double>"))
-        side = sets[key].select(doc_id, vector.alias(f"_{key}"))
-        out = side if out is None else out.join(side, doc_id)
-    assembled = VectorAssembler(inputCols=[f"_{key}" for key in chosen], outputCol=name).transform(out)
-    return assembled.select(doc_id, name)
+        array = vector_to_array(column) if sets[key].schema[features].dataType.typeName() == "vectorudt" else column.cast("array<double>")
+        sides[key] = sets[key].select(doc_id, array.alias(f"_{key}"))
+    if rows is None:
+        rows = reduce(DataFrame.union, [side.select(doc_id) for side in sides.values()]).distinct()
+    out = rows.select(doc_id)
+    for key, side in sides.items():
+        width = side.agg(F.max(F.size(f"_{key}"))).first()[0] or 0
+        column = F.col(f"_{key}")
+        if fill is None:
+            told = F.concat(F.lit(f"no features in set {key} for document "), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+            whole = F.when(column.isNotNull() & F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v)), column).otherwise(F.raise_error(told))
+        else:
+            whole = F.coalesce(F.transform(column, lambda v: F.coalesce(F.nanvl(v, F.lit(fill)), F.lit(fill))), F.array_repeat(F.lit(fill), width))
+        out = out.join(side, doc_id, "left").withColumn(f"_{key}", whole)
+    return out.select(doc_id, array_to_vector(F.concat(*[f"_{key}" for key in chosen])).alias(name))
 
 
 def logistic_regression(
@@ -55,9 +74,11 @@ def random_forest(
     features: str = "features", label: str = "label_index", trees: int = 200, depth: int | None = 10, min_leaf: int = 1, seed: int = 0,
     rows: int | None = None,
 ) -> RandomForestClassifier:
-    """Spark limits the depth to 30, which also stands for no limit; ``rows`` is not used."""
+    """No depth means as deep as Spark goes, 30; more is an error. ``rows`` is not used."""
+    if depth is not None and depth > DEEPEST:
+        raise ValueError(f"trees are at most {DEEPEST} deep")
     return RandomForestClassifier(
-        featuresCol=features, labelCol=label, numTrees=trees, maxDepth=min(depth or 30, 30), minInstancesPerNode=min_leaf,
+        featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth or DEEPEST, minInstancesPerNode=min_leaf,
         featureSubsetStrategy="sqrt", seed=seed,
     )
 
@@ -110,17 +131,12 @@ class Search:
 
 
 def sampled_trials(grid: Mapping[str, Mapping[str, Sequence]], draws: int, seed: int = 0) -> list[dict]:
-    """Distinct random settings: an estimator name and a value for each of its parameters."""
-    rng, out, seen = random.Random(seed), [], set()
-    for _ in range(20 * draws):
-        kind = rng.choice(sorted(grid))
-        trial = {"kind": kind} | {name: rng.choice(list(values)) for name, values in grid[kind].items()}
-        if str(trial) not in seen:
-            seen.add(str(trial))
-            out.append(trial)
-        if len(out) == draws:
-            break
-    return out
+    """Distinct random settings, each an estimator name and a value for each of its parameters; all settings if there are fewer."""
+    every = [
+        {"kind": kind} | dict(zip(grid[kind], values))
+        for kind in sorted(grid) for values in product(*(dict.fromkeys(v) for v in grid[kind].values()))
+    ]
+    return random.Random(seed).sample(every, min(draws, len(every)))
 
 
 BUILDERS = {"lr": logistic_regression, "rf": random_forest, "svm": linear_svm}
@@ -132,16 +148,19 @@ def random_search(
 ) -> Search:
     """Fit each drawn setting on train, score it on val and refit the best.
 
-    The cached table holds only label, split and features. Each trial leaves one
-    row in the log, best first. ``features`` may be an array or a vector.
+    The cached table holds only label, split and features; rows without a label take no part. A label of val that train lacks counts as
+    an error in every score. Each trial leaves one row in the log, best first. ``features`` may be an array or a vector.
     """
     vector = F.col(features)
     if df.schema[features].dataType.typeName() == "array":
         vector = array_to_vector(vector.cast("array<double>"))
     data = df.select(label, split, vector.alias("features"))
-    indexer = encode_label(data.where(F.col(split) == "train"), label)
-    coded = indexer.transform(data).persist()
+    known = data.where(F.col(label).isNotNull())
+    indexer = encode_label(known.where(F.col(split) == "train"), label)
+    # A label that train does not have gets a code of its own: no model predicts it, so such rows count as errors.
+    coded = indexer.copy().setHandleInvalid("keep").transform(known).persist()
     train, val = (coded.where(F.col(split) == name) for name in ("train", "val"))
+    train = indexer.transform(train.drop("label_index"))
     log, rows = [], train.count()
     for trial in sampled_trials(grid, draws, seed):
         begin = time.monotonic()
@@ -151,7 +170,11 @@ def random_search(
         log.append((trial["kind"], {k: str(v) for k, v in trial.items() if k != "kind"}, float(scores[f"f1_{average}"]),
                     float(scores["accuracy"]), fitted - begin, time.monotonic() - fitted, trial))
     best = max(log, key=lambda row: row[2])[-1]
-    final = train_and_val(coded, split) if refit_with_val else train
+    final = train
+    if refit_with_val:
+        both = train_and_val(coded.drop("label_index"), split)
+        indexer = encode_label(both, label)
+        final = indexer.transform(both)
     refitted = _build(builders, best, rows).fit(final)
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     coded.unpersist()

@@ -96,19 +96,19 @@ def anova_scores(df: DataFrame, label: str, features: str = "features") -> DataF
     return sums.select("index", F.when((F.col("k") > 1) & (F.col("within") > 0), score).alias("score"))
 
 
-def mutual_information(df: DataFrame, label: str, features: str = "features", bins: int = 10, label_bins: int | None = None, accuracy: int = 10000) -> DataFrame:
+def mutual_information(df: DataFrame, label: str, features: str = "features", bins: int = 10, label_bins: int | None = None) -> DataFrame:
     """Mutual information of each feature, cut into quantile bins, with the label.
 
-    A continuous label is cut as well when ``label_bins`` is given. Counts of
-    (feature, bin, label) combine on the map side; the bin edges, ``bins - 1``
+    A continuous label is cut as well when ``label_bins`` is given. Edges are exact quantiles, the same in every run and
+    whatever the partitioning. Counts of (feature, bin, label) combine on the map side; the bin edges, ``bins - 1``
     numbers per feature, are broadcast.
     """
     rows = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_label"), F.col(features).cast("array<double>").alias("_f"))
     if label_bins:
-        edges = rows.agg(F.percentile_approx("_label", _inner(label_bins), accuracy)).first()[0]
-        rows = rows.withColumn("_label", sum(((F.col("_label") > e).cast("int") for e in edges), F.lit(0)))
+        cuts = grouped_quantiles(rows, [], "_label", _inner(label_bins)).orderBy("probability").collect()
+        rows = rows.withColumn("_label", sum(((F.col("_label") > r["quantile"]).cast("int") for r in cuts), F.lit(0)))
     long = rows.select("_label", F.posexplode("_f").alias("index", "value"))
-    edges = long.groupBy("index").agg(F.percentile_approx("value", _inner(bins), accuracy).alias("_edges"))
+    edges = grouped_quantiles(long, ["index"], "value", _inner(bins)).groupBy("index").agg(F.sort_array(F.collect_list("quantile")).alias("_edges"))
     counts = (
         long.join(F.broadcast(edges), "index")
         .groupBy("index", "_label", F.size(F.filter("_edges", lambda e: e < F.col("value"))).alias("_bin")).count()
@@ -209,9 +209,11 @@ def sorted_scores(scores: DataFrame, by: str = "score") -> DataFrame:
     return scores.orderBy("feature") if by == "name" else scores.orderBy(F.desc("score"), "feature")
 
 
-def top_per_category(scores: DataFrame, n: int = 5) -> DataFrame:
+def top_per_category(scores: DataFrame, n: int | None = 5) -> DataFrame:
+    """Features ranked inside their category, the first ``n`` or all."""
     place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("score"), "feature"))
-    return scores.withColumn("place", place).where(F.col("place") <= n)
+    ranked = scores.withColumn("place", place)
+    return ranked if n is None else ranked.where(F.col("place") <= n)
 
 
 def feature_means_by_label(df: DataFrame, label: str, names: Sequence[str], features: str = "features", labels: Sequence | None = None) -> DataFrame:
@@ -248,7 +250,7 @@ def information_gain_report(df: DataFrame, label: str, names: Sequence[str], fea
     report = {
         "top": top_features(scores, top), "worst": worst_features(scores, 10),
         "by-coefficient": sorted_scores(scores), "by-name": sorted_scores(scores, "name"),
-        "by-category-5": top_per_category(scores, 5), "by-category-all": top_per_category(scores, 1000),
+        "by-category-5": top_per_category(scores, 5), "by-category-all": top_per_category(scores, None),
     }
     if not regression:
         means = feature_means_by_label(df, label, names, features).join(scores.select("feature", "score"), "feature")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from penprint.functions.order import hash_fraction, order_key
+from penprint.functions.order import characters_before, order_key
+from penprint.session import durable
 from penprint.spec import SPLITS
 
 
@@ -22,8 +23,9 @@ def read_corpus(spark: SparkSession, path: str, schema: StructType | str | None
 
 def read_or_compute(spark: SparkSession, path: str, compute, refresh: bool = False, fmt: str = "parquet", schema=None) -> DataFrame:
     """Read a stored table, computing and storing it when it is missing or ``refresh`` is set."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stored = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    # A table whose writing was broken off has no success mark and is computed again.
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    stored = done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
     if refresh or not stored:
         write_corpus(compute(), path, fmt=fmt)
     return read_corpus(spark, path, schema=schema, fmt=fmt)
@@ -81,35 +83,36 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+PART_CHARACTERS = 2**26
+
+
 def author_documents(
-    df: DataFrame, split: str, label: str, doc_id: str, text: str, seed: int = 0, part_documents: int = 10_000
+    df: DataFrame, split: str, label: str, doc_id: str, text: str, seed: int = 0, part_characters: int = PART_CHARACTERS
 ) -> DataFrame:
-    """One row per author element: split, label, part, ids and texts in a seeded order.
+    """One row per author and part: split, label, ``part``, ids and texts in a seeded order.
 
-    An author with more than ``part_documents`` documents is cut into
-    consecutive parts. The order is a hash order, so a document's part follows
-    from its key and its author's count, and parts are of nearly equal size.
+    Characters are counted along the order, ids as ten each, and a document belongs to the part in which it starts, by the same rule
+    at every size (``merge_by_author``). An author of a third of the documents is cut into parts by many tasks.
     """
-    rows = df.where(F.col(split).isin(*SPLITS))
-    sizes = rows.groupBy(split, label).agg(F.ceil(F.count("*") / part_documents).alias("_parts"))
-    key = order_key(seed, doc_id)
+    length = F.char_length(F.coalesce(F.col(text), F.lit(""))) + 10
+    rows = df.where(F.col(split).isin(*SPLITS)).select(
+        split, label, order_key(seed, doc_id).alias("_key"), F.col(doc_id).alias("id"), F.col(text).alias("text"), length.cast("long").alias("_length"))
     return (
-        rows.withColumn("_key", key)
-        .join(sizes, [split, label])
-        .withColumn("part", F.floor(hash_fraction(F.col("_key")) * F.col("_parts")).cast("int"))
+        characters_before(rows, [split, label], ["_key", "id"], "_length")
+        .withColumn("part", F.floor(F.col("_before") / part_characters).cast("int"))
         .groupBy(split, label, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_key", F.col(doc_id).alias("id"), F.col(text).alias("text")))).alias("_docs"))
+        .agg(F.array_sort(F.collect_list(F.struct("_key", "id", "text"))).alias("_docs"))
         .select(split, label, "part", F.col("_docs.id").alias("ids"), F.col("_docs.text").alias("texts"))
     )
 
 
 def export_author_documents(
     df: DataFrame, path: str, task: str, split: str, label: str, doc_id: str, text: str,
-    seed: int = 0, part_documents: int = 10_000,
+    seed: int = 0, part_characters: int = PART_CHARACTERS,
 ) -> None:
     """Write ``<author id=…>`` elements with ``<document>`` children, ids and texts apart,
-    one folder per task and split."""
-    elements = author_documents(df, split, label, doc_id, text, seed, part_documents)
+    one folder per task and split. The elements are put together once and stored for the six folders."""
+    elements = durable(author_documents(df, split, label, doc_id, text, seed, part_characters))
     for name in SPLITS:
         rows = elements.where(F.col(split) == name)
         for content, column in (("ids", F.col("ids").cast("array<string>")), ("texts", F.col("texts"))):

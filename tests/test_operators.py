@@ -93,6 +93,12 @@ def test_masks_replace_whole_handles(spark):
     assert out == {1: "@user1 y @anabel, @user1", 2: "nada", 3: "@otro", 4: None}
 
 
+def test_accounts_that_differ_in_case_share_a_mask(spark):
+    masks = spark.createDataFrame([("Ana", "@user9"), ("ana", "@user1"), ("ANA", "@user5")], "account string, mask string").repartition(3)
+    df = spark.createDataFrame([(1, "@aNa")], "id long, text string")
+    assert curate.mask_handles(df, "id", "text", masks, "account").first()["text"] == "@user1"
+
+
 def test_min_documents_keeps_the_exact_count(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2, "author string")
     assert {r["author"] for r in curate.min_documents(df, "author", 3).collect()} == {"a"}
@@ -224,6 +230,37 @@ def test_language(spark):
     assert {r["id"]: r["language"] for r in features.detect_language(new, "id", "t", profiles).collect()} == {1: "en", 2: "es", 3: None}
 
 
+def test_missing_features_are_left_out_of_means(spark):
+    nan = float("nan")
+    rows = [("a", [1.0, None, nan]), ("a", [3.0, 4.0, None]), ("a", None), ("b", None), ("c", [nan, 1.0, 2.0])]
+    out = merge.merge_features_by_author(spark.createDataFrame([(*r, "train") for r in rows], "author string, features array<double>, __split string"), "author")
+    assert {r["author"]: r["features"] for r in out.collect()} == {"a": [2.0, 4.0, None], "b": None, "c": [None, 1.0, 2.0]}
+
+
+def test_features_with_gaps(spark):
+    sets = {"se": spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, None])], "id long, features array<double>"), "lf": spark.createDataFrame([(1, [5.0])], "id long, features array<double>")}
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    filled = {r["id"]: list(r["features"]) for r in model.union_features(sets, "id", rows, fill=0.0).collect()}
+    assert filled == {1: [5.0, 1.0, 2.0], 2: [0.0, 3.0, 0.0], 3: [0.0, 0.0, 0.0]}
+    with pytest.raises(Exception, match="no features in set lf for document 2"):
+        model.union_features(sets, "id").where("id = 2").collect()
+
+
+def test_labels_unseen_in_train_count_as_errors(spark):
+    rows = [(i, "ab"[i % 2], "train", [float(i % 2)]) for i in range(40)] + [(50, "a", "val", [0.0]), (51, "b", "val", [1.0]), (52, "c", "val", [1.0]), (53, "c", "val", [0.0])]
+    df = spark.createDataFrame(rows, "id long, y string, __split string, features array<double>")
+    grid = {"lr": {"fit_intercept": [True], "max_iter": [20]}}
+    search = model.random_search(df, "y", grid, draws=3)
+    assert [r["accuracy"] for r in search.trials.collect()] == [0.5]
+    refitted = model.random_search(df, "y", grid, draws=1, refit_with_val=True)
+    assert set(model.predict(refitted.model, df, ["id"]).toPandas()["predicted"]) <= {"a", "b", "c"}
+
+
+def test_trees_deeper_than_spark_goes_are_an_error():
+    with pytest.raises(ValueError):
+        model.random_forest(depth=35)
+
+
 # --- Selection and models -----------------------------------------------------------------------------
 def test_scalers_and_saving(spark, tmp_path):
     df = spark.createDataFrame([([1.0, 5.0, 0.0], "a"), ([3.0, 5.0, 9.0], "b"), ([2.0, 5.0, 1.0], "a"), ([4.0, 5.0, 7.0], "b")], "features array<double>, label string")

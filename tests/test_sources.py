@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+
 from penprint.functions.arrays import parse_time
 from penprint.operators import features
 from penprint.sources import corpus
@@ -31,7 +33,7 @@ def test_compute_only_when_missing(spark, tmp_path):
 def test_author_export(spark, tmp_path):
     rows = [(i, "train", f"@user{i % 2}", f"a < b & {i}") for i in range(40)]
     df = spark.createDataFrame(rows, "id long, s string, label string, text string")
-    parts = corpus.author_documents(df, "s", "label", "id", "text", part_documents=5).collect()
+    parts = corpus.author_documents(df, "s", "label", "id", "text", part_characters=60).collect()
     assert len(parts) > 2 and sorted(i for r in parts for i in r["ids"]) == list(range(40))
     corpus.export_author_documents(df, str(tmp_path), "one", "s", "label", "id", "text")
     back = spark.read.format("xml").option("rowTag", "author").load(str(tmp_path / "task=one/split=train/texts"))
@@ -55,6 +57,27 @@ def test_vocabulary_is_stored(spark, tmp_path):
     assert sorted(map(tuple, back.table.collect())) == sorted(map(tuple, vocabulary.table.collect()))
 
 
+def test_a_table_without_a_success_mark_is_computed_again(spark, tmp_path):
+    corpus.write_corpus(spark.range(2), str(tmp_path / "t"))
+    (tmp_path / "t" / "_SUCCESS").rename(tmp_path / "gone")
+    assert corpus.read_or_compute(spark, str(tmp_path / "t"), lambda: spark.range(5)).count() == 5
+
+
+def test_strict_times_follow_the_pattern(spark):
+    df = spark.createDataFrame([("02.01.2020",)], "w string")
+    assert df.select(parse_time(F.col("w"), "dd.MM.yyyy", strict=True)).first()[0] == datetime(2020, 1, 2)
+    with pytest.raises(Exception, match="CANNOT_PARSE"):
+        df.select(parse_time(F.col("w"), strict=True)).collect()
+
+
+def test_counts_and_helpers_come_back(spark, tmp_path):
+    table = spark.createDataFrame([("a", 3), ("b", 1)], "author string, count long")
+    corpus.export_counts({"authors": table, "again": table.where("count > 1")}, str(tmp_path))
+    back = corpus.read_helper(spark, str(tmp_path / "authors"), "author string, count long")
+    assert sorted(map(tuple, back.collect())) == [("a", 3), ("b", 1)]
+    assert corpus.read_helper(spark, str(tmp_path / "again"), table.schema).count() == 1
+
+
 def test_unreadable_times_are_null(spark):
     df = spark.createDataFrame([("2020/01/02 03:04:05",), ("no",)], "w string").select(parse_time(F.col("w")).alias("t"))
     assert [r["t"] for r in df.collect()] == [datetime(2020, 1, 2, 3, 4, 5), None]
