@@ -147,7 +147,7 @@ def hits(automaton: ItemAutomaton, words: Sequence[bytes]) -> tuple[list[tuple[i
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = 13, carry: Sequence[str] = ("doc_id",), text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", block_bytes: int = 16 << 20,
+    item_text: str = "text", block_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Hit word spans and items of every document.
 
@@ -155,8 +155,8 @@ def find_contamination(
     ``items`` array of item ids as strings, sorted. Null or empty texts have no words and no hits; items without words have no
     window; repeated items count by their id; a null item id takes no part. An empty benchmark gives no hits.
 
-    The benchmark is taken in blocks of about ``block_bytes`` of text, one automaton per block, built in the driver and
-    broadcast. Documents pass one block after the other in the same task; texts are not shuffled.
+    The benchmark is taken in blocks of about ``block_bytes`` of text, one automaton per block (some 100 MB for a block of 1 MB), built
+    in the driver and broadcast. Documents pass one block after the other in the same task; texts are not shuffled.
     """
     tests = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0

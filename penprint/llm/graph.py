@@ -38,13 +38,13 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _large_star(links: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node with the node's smallest neighbour, or itself."""
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
     return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Connect every smaller neighbour of a node, and the node, with the smallest of them. ``links`` has v < u."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = links.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
@@ -54,12 +54,12 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has the columns u and v, both long; order, repeats and links of a node to itself do not matter. Each
     round is written to the shared folder; only a count and a checksum reach the driver. A node with very many
-    links is a skewed join key, which Spark splits.
+    links is a skewed join key, which Spark splits: smallest neighbours are stored first, so both sides are plain shuffles.
     """
-    links = links.where("u != v").mapInArrow(local_forest, LINKS)
+    links = stored(links.where("u != v").mapInArrow(local_forest, LINKS), "links")
     state = None
     while True:
-        links = stored(_small_star(_large_star(links).distinct()).distinct(), "stars")
+        links = stored(_small_star(stored(_large_star(links).distinct(), "large")).distinct(), "stars")
         row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -235,13 +235,14 @@ def find_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Dat
     others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("string").alias("_none")]
     source = bucketed(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_doc"), utf8(F.col(text)).alias("data")), "_row", "texts")
     runs = stored(source.select("_row", "data").mapInArrow(find_runs(width), RUNS), "runs")
-    repeated = runs.groupBy("key").count().where("count > 1").select("key")
+    # Counts are stored before they are joined: a join of two plain shuffles is one whose skewed keys Spark splits.
+    repeated = stored(runs.groupBy("key").count().where("count > 1").select("key"), "repeated")
     per_row = runs.join(repeated, "key").groupBy("_row").agg(F.collect_list(F.struct("key", "first", "last", "pivot")).alias("runs"))
     with_runs = source.select("_row", "data").join(per_row, "_row")
     segments = stored(with_runs.mapInArrow(cut_segments(width), SEGMENTS), "segments")
     settled = []
     for fine in (FINE, 1):
-        busy = segments.groupBy("key").count().where(F.col("count") > BUSY).select("key", F.lit(True).alias("busy"))
+        busy = stored(segments.groupBy("key").count().where(F.col("count") > BUSY).select("key", F.lit(True).alias("busy")), "busy")
         marked = segments.join(busy, "key", "left")
         settled.append(marked.where("busy IS NULL").drop("busy"))
         segments = stored(marked.where("busy").drop("busy").mapInArrow(split_segments(width, fine), SEGMENTS), "segments")
