@@ -29,7 +29,7 @@ from penprint.llm.tokens import IDS, word_encoder
 
 MAGIC = b"TOKENEF1"
 HEAD = struct.Struct("<8sIIIQQQ")
-FILE_IDS = 4 << 20  # a file is closed when it holds so many ids; documents are never split
+FILE_IDS = 2 << 20  # a file is closed when it holds so many ids; documents are never split
 MANIFEST = "shard int, number int, documents long, ids long"
 
 

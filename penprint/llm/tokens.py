@@ -10,7 +10,7 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 IDS = np.dtype("<u4")
-REMEMBERED = 600_000  # words whose ids a worker keeps; others are encoded each time
+REMEMBERED = 150_000  # words whose ids a worker keeps, about 50 MB; others are encoded each time
 LONGEST = 40
 
 #: A run of these characters up to a blank is cut into the same pieces by any text around it: ASCII but for
