@@ -7,7 +7,7 @@ combination is a plain aggregate per document. Ties go to the smallest label.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penprint.operators.evaluate import scheme_scores
@@ -28,9 +28,9 @@ def ensemble_weights(validation: DataFrame, model: str, actual: str, predicted:
 
 def ensemble_weighted(votes: DataFrame, weights: DataFrame, doc_id: str, model: str, predicted: str = "predicted") -> DataFrame:
     """Prediction with the largest total weight. Sums are compared to 12 decimals, so that
-    the order of addition cannot decide a tie."""
+    the order of addition cannot decide a tie. Votes are dealt by document once, for both sums and choice."""
     totals = (
-        votes.join(weights, model).groupBy(doc_id, predicted)
+        votes.join(weights, model).select(doc_id, predicted, "weight").repartition(doc_id).groupBy(doc_id, predicted)
         .agg(F.round(F.sum("weight"), 12).alias("weight"))
     )
     return totals.groupBy(doc_id).agg(F.min_by(predicted, F.struct(-F.col("weight"), F.col(predicted))).alias(predicted))
@@ -38,7 +38,7 @@ def ensemble_weighted(votes: DataFrame, weights: DataFrame, doc_id: str, model:
 
 def ensemble_mean(probabilities: DataFrame, doc_id: str, label: str = "label", p: str = "p") -> DataFrame:
     """Label with the largest mean probability over the models."""
-    means = probabilities.groupBy(doc_id, label).agg(F.round(F.avg(p), 12).alias("_p"))
+    means = probabilities.select(doc_id, label, p).repartition(doc_id).groupBy(doc_id, label).agg(F.round(F.avg(p), 12).alias("_p"))
     return means.groupBy(doc_id).agg(F.min_by(label, F.struct(-F.col("_p"), F.col(label))).alias("predicted"))
 
 
@@ -51,9 +51,28 @@ def vote_probabilities(
     winners: DataFrame, votes: DataFrame, probabilities: DataFrame, doc_id: str, model: str, label: str = "label", p: str = "p",
     predicted: str = "predicted",
 ) -> DataFrame:
-    """Mean probability of every label over the models that voted for the winner."""
-    agreeing = votes.join(winners, [doc_id, predicted]).select(doc_id, model)
-    return probabilities.join(agreeing, [doc_id, model]).groupBy(doc_id, label).agg(F.avg(p).alias(p))
+    """Mean probability of every label over the models that voted for the winner.
+
+    The few cells, votes and the winner of a document meet in one grouping; the rest happens inside the row.
+    """
+    cell = F.struct(F.col(model).alias("model"), F.col(label).alias("label"), F.col(p).cast("double").alias("p"))
+    vote = F.struct(F.col(model).alias("model"), F.col(predicted).alias("predicted"))
+    parts = (
+        probabilities.select(doc_id, cell.alias("_cell"))
+        .unionByName(votes.select(doc_id, vote.alias("_vote")), allowMissingColumns=True)
+        .unionByName(winners.select(doc_id, F.col(predicted).alias("_winner")), allowMissingColumns=True)
+    )
+    rows = parts.groupBy(doc_id).agg(F.collect_list("_cell").alias("_cells"), F.collect_list("_vote").alias("_votes"), F.max("_winner").alias("_winner"))
+    agreeing = F.transform(F.filter("_votes", lambda v: v["predicted"] == F.col("_winner")), lambda v: v["model"])
+    kept = rows.select(doc_id, "_cells", agreeing.alias("_agreeing")).select(
+        doc_id, F.filter("_cells", lambda c: F.array_contains(F.col("_agreeing"), c["model"]) & c["p"].isNotNull()).alias("_cells"))
+
+    def mean(name: Column) -> Column:
+        own = F.filter("_cells", lambda c: c["label"].eqNullSafe(name))
+        return F.struct(name.alias(label), (F.aggregate(own, F.lit(0.0), lambda s, c: s + c["p"]) / F.size(own)).alias(p))
+
+    means = F.transform(F.array_distinct("_cells.label"), mean)
+    return kept.select(doc_id, F.explode(means).alias("_mean")).select(doc_id, "_mean.*")
 
 
 def ensemble_regression(predictions: DataFrame, doc_id: str, predicted: str = "predicted") -> DataFrame:

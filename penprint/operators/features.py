@@ -36,7 +36,9 @@ class GramWeights:
         """
         tf = F.col("tf").cast("double")
         raw = (1 + F.ln(tf) if self.sublinear else tf) * F.col("idf")
-        grams = gram_counts(df, [doc_id], text, self.kind, self.n)
+        # The vocabulary has at most ``size`` terms: what is not among them goes before a text's n-grams are sorted and counted.
+        terms = [r["term"] for r in self.table.select("term").collect()]
+        grams = gram_counts(df, [doc_id], text, self.kind, self.n, terms)
         found = grams.join(F.broadcast(self.table), "term").select(doc_id, "index", "term", raw.alias("_raw"))
         cells = found.groupBy(doc_id).agg(
             F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"), F.collect_list(F.struct("index", "term", "_raw")).alias("_cells")
@@ -52,9 +54,12 @@ class GramWeights:
         return GramWeights(spark.read.parquet(path), self.kind, self.n, self.size, self.sublinear)
 
 
-def gram_counts(df: DataFrame, keys: Sequence[str], text: str, kind: str, n: tuple[int, int]) -> DataFrame:
+def gram_counts(df: DataFrame, keys: Sequence[str], text: str, kind: str, n: tuple[int, int], terms: Sequence[str] | None = None) -> DataFrame:
+    """Distinct n-grams of each row with their counts, all or those among a few ``terms``."""
     tokens, separator = (words, " ") if kind == "word" else (characters, "")
     rows = with_ngrams(df.select(*keys, text), tokens(F.coalesce(F.col(text), F.lit(""))), n, separator)
+    if terms is not None:
+        rows = rows.withColumn("_grams", F.filter("_grams", lambda g: g.isin(list(terms))))
     return term_counts(rows, keys)
 
 
