@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penprint.session import durable
+from penprint.session import durable, stored
 
 BUCKET_DIGITS = 3
 BUCKETS = 16**BUCKET_DIGITS
@@ -87,6 +87,17 @@ def first_per_group(
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
+def sliced_join(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", slices: int = 16) -> DataFrame:
+    """Join a table with one row per key, so that rows of a frequent key are dealt over ``slices`` tasks.
+
+    Rows are sliced by the partition they are in; the table is repeated for each slice. What follows can still combine or
+    limit the rows of a key inside a task before they are brought together.
+    """
+    each = table.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
+    return sliced.join(each, [*keys, "_slice"], how).drop("_slice")
+
+
 def hash_rank(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
     """Add the 1-based rank of each row by a hex hash column, without a global sort.
 
@@ -206,6 +217,8 @@ def grouped_quantiles(
             .otherwise(F.element_at("_b", F.col("_i") + 1 + len(low))).alias("_hi"),
         )
     )
+    if keys:  # a few numbers for each group; stored, so that Spark broadcasts them if they are small and shuffles no row
+        brackets = stored(brackets)
     inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
     matched = rows.join(brackets, keys) if keys else _with_all(rows, brackets)
     # One partial aggregate: rows under a bracket collapse into a single count.

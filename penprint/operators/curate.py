@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.functions import lexicon as lx
-from penprint.functions.order import first_per_group, hash_rank, order_key
+from penprint.functions.order import first_per_group, hash_rank, order_key, sliced_join
 from penprint.functions.text import word_count
 from penprint.spec import SPLIT, SPLITS, TaskSpec
 
@@ -51,11 +51,11 @@ def keep_language(df: DataFrame, language_column: str, language: str = "es") ->
 def min_documents(df: DataFrame, author: str, n: int = lx.MIN_DOCUMENTS) -> DataFrame:
     """Keep authors with at least ``n`` documents.
 
-    Counting combines on the map side; the join then sends only author names
-    around, never gathering one author's documents as a window would.
+    Counting combines on the map side; the join sends author names around, or deals the documents in slices of their
+    authors where there are too many names, so no task gets all documents of an author.
     """
     kept = df.groupBy(author).count().where(F.col("count") >= n).select(author)
-    return df.join(kept, author, "left_semi")
+    return sliced_join(df, kept, [author], "left_semi")
 
 
 def topic_pattern(topics: DataFrame) -> list[str]:
@@ -214,8 +214,7 @@ def mask_handles(df: DataFrame, doc_id: str, text: str, masks: DataFrame, accoun
     # Accounts that differ only in case share the smallest of their masks, in every run.
     lookup = masks.groupBy(F.lower(account).alias("_handle")).agg(F.min(mask).alias("_mask"))
     found = (
-        tagged.select(doc_id, F.explode(F.array_distinct(F.transform("_handles", lambda h: F.lower(h)))).alias("_handle"))
-        .join(lookup, "_handle")
+        sliced_join(tagged.select(doc_id, F.explode(F.array_distinct(F.transform("_handles", lambda h: F.lower(h)))).alias("_handle")), lookup, ["_handle"])
         .groupBy(doc_id)
         .agg(F.map_from_entries(F.collect_list(F.struct("_handle", "_mask"))).alias("_masks"))
     )

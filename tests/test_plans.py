@@ -24,6 +24,21 @@ def test_limits_come_before_the_shuffle(spark):
     assert shown.rindex("WindowGroupLimit") > shown.rindex("Exchange")
 
 
+def test_a_frequent_author_is_limited_before_it_is_gathered(spark):
+    """With names that are too many to broadcast, documents meet them in slices, and the limit comes before the author-only shuffle."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 400).cast("string")).alias("author"), F.current_timestamp().alias("ts"))
+        kept = curate.min_documents(rows, "author", 5)
+        shown = plan(curate.balanced_month_sample(kept, "author", "ts", F.lit(1), F.col("id"), ["id"], maximum=8))
+        join = shown.index("SortMergeJoin")
+        assert "_slice" in shown[join:] and "Exchange" in shown[:join]
+        assert shown.rindex("WindowGroupLimit", 0, join) > shown.rindex("Exchange", 0, join)
+        assert kept.where("author = 'hot'").count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_splitting_needs_no_shuffle(spark):
     assert "Exchange" not in plan(QUERIES["random_split"](spark, FOLDER))
 
