@@ -15,10 +15,11 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penprint.llm.common import partitions, small_batches, stored
+from penprint.llm.common import partitions, small_batches, stored, text_bytes
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -158,7 +159,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Null or empty html gives an empty text; a null URL is a host of its own. Repeated rows are one page to their neighbours and keep a row
     each. Only hashes of lines are sorted by host and path, in ranges: a host with a third of all pages is spread over tasks, and the pages next to
-    a boundary of ranges, two for each range, are carried over it. The html itself is shuffled once. Other columns are not carried.
+    a boundary of ranges, two for each range, are carried over it. The html itself is shuffled once, compressed. Other columns are not carried.
     """
     spark = pages.sparkSession
     key = [F.xxhash64(F.lit(seed), page_id, url, html).alias(f"k{seed}") for seed in (1, 2)]
@@ -199,12 +200,23 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     shared = stored(paired.mapInArrow(differ, "k1 long, k2 long, shared array<int>"), "shared")
 
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor()
+        for batch in small_batches(batches):
+            packed = [press.compress(h or b"") for h in text_bytes(batch.column("html"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "page_id", "url")), pa.array(packed, pa.binary())], names=["k1", "k2", "page_id", "url", "packed"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
         for batch in small_batches(batches):
-            texts = [main_text(lines_of(h), s or ()) for h, s in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist())]
+            pages_ = (unpress.decompress(p).decode() for p in text_bytes(batch.column("packed")))
+            texts = [main_text(lines_of(h), s or ()) for h, s in zip(pages_, batch.column("shared").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))],
                 names=["page_id", "url", "text", "n_chars"])
 
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-    return rows.join(shared, ["k1", "k2"], "left").select("page_id", "url", "html", "shared").mapInArrow(cut, schema)
+    packed = rows.mapInArrow(compress, f"k1 long, k2 long, {schema.split(', ')[0]}, url string, packed binary")
+    # Both sides are dealt by the key whatever their size, so that small and large inputs take the same way.
+    joined = packed.join(shared.hint("merge"), ["k1", "k2"], "left")
+    return joined.select("page_id", "url", "packed", "shared").mapInArrow(cut, schema)
