@@ -90,6 +90,25 @@ def remove_elongations(spark, sf):
     return _cleaned(spark, sf, t.remove_elongations)
 
 
+@query("""SELECT p_partkey, replace(replace(replace(replace(replace(p_name, 'aa', 'á'), 'ee', 'é'), 'ii', 'í'), 'oo', 'ó'), 'uu', 'ú')
+                 || ' soz jajaja!' || CASE WHEN p_partkey % 3 > 0 THEN '?' ELSE '' END || ' bé' AS text FROM part""")
+def elongated_names(spark, sf):
+    """Names of parts with their double vowels, then a long letter, a long laugh, long marks and a vowel drawn out."""
+    n = F.col("p_partkey").cast("int")
+    said = F.concat(
+        "p_name", F.lit(" so"), F.repeat(F.lit("z"), 3 + n % 4), F.lit(" jaja"), F.repeat(F.lit("ja"), n % 3), F.repeat(F.lit("!"), 2 + n % 2),
+        F.repeat(F.lit("?"), n % 3), F.lit(" b"), F.repeat(F.lit("e"), F.lit(2)))
+    return table(spark, sf, "part").select("p_partkey", t.remove_elongations(said).alias("text"))
+
+
+@query("""SELECT p_partkey, 'que ' || p_name || ' porque, también Televisión Española el ' || lpad(CAST(1 + p_size % 28 AS VARCHAR), 2, '0') || ' de marzo. Estados Unidos x1' AS text FROM part""")
+def chat_terms(spark, sf):
+    """Chat terms, acronyms and a short date around the names of parts."""
+    day = F.lpad((1 + F.col("p_size") % 28).cast("string"), 2, "0")
+    said = F.concat(F.lit("q "), "p_name", F.lit(" xq, TB tve el "), day, F.lit(" de mar. EEUU x1"))
+    return table(spark, sf, "part").select("p_partkey", t.expand_acronyms(t.expand_chat_terms(said)).alias("text"))
+
+
 @query(_each("lower(text)"))
 def to_lower(spark, sf):
     return _cleaned(spark, sf, t.to_lower)

@@ -124,7 +124,21 @@ def linguistic_features(spark, sf):
     return taken.select("p_partkey", F.posexplode("features").alias("i", "value")).select("p_partkey", F.get(known, F.col("i")).alias("feature"), "value")
 
 
-@query()
+_LANGUAGE = f"""WITH d AS (SELECT doc_id, lang, regexp_replace(lower(text), '\\s\\s+', ' ', 'g') AS s FROM documents),
+  g AS (SELECT doc_id, lang, substr(s, i, k) AS term FROM d, (VALUES (1), (2), (3)) v(k), LATERAL unnest(range(1, length(s) - k + 2)) u(i)),
+  t AS (SELECT doc_id, lang, term, count(*) AS tf FROM g GROUP BY ALL),
+  c AS (SELECT lang, term, sum(tf) AS n FROM t WHERE lang IS NOT NULL GROUP BY ALL),
+  totals AS (SELECT lang, sum(n) AS n FROM c GROUP BY 1),
+  logs AS (SELECT v.term, totals.lang, ln((coalesce(c.n, 0) + 1) / (totals.n + (SELECT count(*) FROM c))) AS l
+           FROM (SELECT DISTINCT term FROM c) v CROSS JOIN totals LEFT JOIN c ON c.term = v.term AND c.lang = totals.lang),
+  sums AS (SELECT doc_id, logs.lang AS language, sum(tf * l) AS s FROM t JOIN logs USING (term) GROUP BY ALL),
+  best AS (SELECT doc_id, arg_max(language, s) AS language, max(s) AS top FROM sums GROUP BY 1),
+  sure AS (SELECT doc_id, best.language, 1 / sum(exp(s - top)) AS confidence FROM sums JOIN best USING (doc_id) GROUP BY 1, 2)
+  SELECT doc_id, documents.lang, CASE WHEN confidence > {lx.LANGUAGE_THRESHOLD} THEN sure.language END AS language, round(confidence, 6) AS confidence
+  FROM documents LEFT JOIN sure USING (doc_id)"""
+
+
+@query(_LANGUAGE)
 def detect_language(spark, sf):
     documents = texts(spark, sf)
     profiles = features.fit_language_profiles(documents, "text", "lang")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from penprint.functions import lexicon as lx
 from penprint.functions.order import first_per_group, global_rank
 from penprint.functions.tokens import characters, term_counts, vocabulary_tokens, with_ngrams, words
-from penprint.session import durable
+from penprint.session import stored
 
 
 # --- Weighted n-grams ------------------------------------------------------------
@@ -314,7 +314,7 @@ def fit_language_profiles(df: DataFrame, text: str, language: str, n: tuple[int,
     size = sum(r["terms"] for r in totals)
     logs = [F.ln((F.coalesce(F.col(f"`{v}`"), F.lit(0)) + 1) / float(total[v] + size)) for v in languages]
     # As many rows as the corpus has n-grams: stored, not gathered.
-    return LanguageProfiles(durable(wide.select("term", F.array(*logs).alias("logs"))), languages, n)
+    return LanguageProfiles(stored(wide.select("term", F.array(*logs).alias("logs"))), languages, n)
 
 
 def detect_language(

@@ -7,16 +7,18 @@ import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from inspect import signature
 from itertools import product
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penprint.operators.evaluate import scheme_scores
+from penprint.operators.evaluate import regression_errors, scheme_scores
 from penprint.operators.split import train_and_val
 from penprint.spec import SPLIT
 
@@ -72,17 +74,33 @@ def logistic_regression(
 
 def random_forest(
     features: str = "features", label: str = "label_index", trees: int = 200, depth: int | None = 10, min_leaf: int = 1, seed: int = 0,
-    rows: int | None = None,
+    max_features: str = "sqrt",
 ) -> RandomForestClassifier:
-    """No depth means as deep as Spark goes, 30; more is an error. ``rows`` is not used."""
+    """No depth means as deep as Spark goes, 30; more is an error. ``max_features`` is a name (sqrt, log2, all) or a share.
+
+    Spark has a least number of rows for a leaf, none for a node that is split.
+    """
     if depth is not None and depth > DEEPEST:
         raise ValueError(f"trees are at most {DEEPEST} deep")
     return RandomForestClassifier(
         featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth or DEEPEST, minInstancesPerNode=min_leaf,
-        featureSubsetStrategy="sqrt", seed=seed,
+        featureSubsetStrategy=max_features, seed=seed,
     )
 
 
+def linear_regression(features: str = "features", label: str = "label_index", fit_intercept: bool = True, max_iter: int = 1000, penalty: float = 0.0) -> LinearRegression:
+    return LinearRegression(featuresCol=features, labelCol=label, fitIntercept=fit_intercept, maxIter=max_iter, regParam=penalty)
+
+
+def forest_regression(
+    features: str = "features", label: str = "label_index", trees: int = 200, depth: int | None = 10, min_leaf: int = 1, seed: int = 0, max_features: str = "all",
+) -> RandomForestRegressor:
+    if depth is not None and depth > DEEPEST:
+        raise ValueError(f"trees are at most {DEEPEST} deep")
+    return RandomForestRegressor(
+        featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth or DEEPEST, minInstancesPerNode=min_leaf, featureSubsetStrategy=max_features, seed=seed)
+
+
 def linear_svm(features: str = "features", label: str = "label_index", c: float = 1.0, max_iter: int = 100, rows: int | None = None) -> OneVsRest:
     """Linear kernel, one model per label; the penalty follows ``c`` as in logistic regression."""
     one = LinearSVC(
@@ -139,55 +157,74 @@ def sampled_trials(grid: Mapping[str, Mapping[str, Sequence]], draws: int, seed:
     return random.Random(seed).sample(every, min(draws, len(every)))
 
 
-BUILDERS = {"lr": logistic_regression, "rf": random_forest, "svm": linear_svm}
+BUILDERS = {"lr": logistic_regression, "rf": random_forest, "svm": linear_svm, "mlp": dense_network}
+REGRESSION_BUILDERS = {"linear": linear_regression, "rf": forest_regression}
 
 
 def random_search(
     df: DataFrame, label: str, grid: Mapping[str, Mapping[str, Sequence]], draws: int = 100, seed: int = 0, average: str = "macro",
-    features: str = "features", split: str = SPLIT, refit_with_val: bool = False, builders: Mapping = BUILDERS,
+    features: str = "features", split: str = SPLIT, refit_with_val: bool = False, builders: Mapping | None = None, task_type: str = "classification",
 ) -> Search:
     """Fit each drawn setting on train, score it on val and refit the best.
 
     The cached table holds only label, split and features; rows without a label take no part. A label of val that train lacks counts as
-    an error in every score. Each trial leaves one row in the log, best first. ``features`` may be an array or a vector.
+    an error in every score. A regression is scored by its root mean squared error, and the smallest is the best. Each trial leaves one row in the log, best first. ``features`` may be an array or a vector.
     """
     vector = F.col(features)
     if df.schema[features].dataType.typeName() == "array":
         vector = array_to_vector(vector.cast("array<double>"))
-    data = df.select(label, split, vector.alias("features"))
-    known = data.where(F.col(label).isNotNull())
-    indexer = encode_label(known.where(F.col(split) == "train"), label)
-    # A label that train does not have gets a code of its own: no model predicts it, so such rows count as errors.
-    coded = indexer.copy().setHandleInvalid("keep").transform(known).persist()
-    train, val = (coded.where(F.col(split) == name) for name in ("train", "val"))
-    train = indexer.transform(train.drop("label_index"))
-    log, rows = [], train.count()
+    data = df.select(label, split, vector.alias("features")).where(F.col(label).isNotNull())
+    regression = task_type == "regression"
+    builders = builders or (REGRESSION_BUILDERS if regression else BUILDERS)
+    if regression:
+        coded = data.withColumn("label_index", F.col(label).cast("double")).persist()
+        train, val = (coded.where(F.col(split) == name) for name in ("train", "val"))
+        indexer, final = None, train_and_val(coded, split) if refit_with_val else train
+    else:
+        indexer = encode_label(data.where(F.col(split) == "train"), label)
+        # A label that train does not have gets a code of its own: no model predicts it, so such rows count as errors.
+        coded = indexer.copy().setHandleInvalid("keep").transform(data).persist()
+        train, val = (coded.where(F.col(split) == name) for name in ("train", "val"))
+        train = final = indexer.transform(train.drop("label_index"))
+    first = train.select("features").first()
+    size = {"rows": train.count(), "inputs": len(first["features"]) if first else 0, "labels": len(indexer.labels) if indexer else 1}
+    log = []
     for trial in sampled_trials(grid, draws, seed):
         begin = time.monotonic()
-        model = _build(builders, trial, rows).fit(train)
+        model = _build(builders, trial, size).fit(train)
         fitted = time.monotonic()
-        scores = scheme_scores(model.transform(val), "label_index", "prediction").first()
-        log.append((trial["kind"], {k: str(v) for k, v in trial.items() if k != "kind"}, float(scores[f"f1_{average}"]),
-                    float(scores["accuracy"]), fitted - begin, time.monotonic() - fitted, trial))
-    best = max(log, key=lambda row: row[2])[-1]
-    final = train
-    if refit_with_val:
+        scored = model.transform(val)
+        if regression:
+            errors = regression_errors(scored, "label_index", "prediction").first()
+            scores = (-float(errors["rmse"]), float(errors["rmse"]), float(errors["mse"]))
+        else:
+            found = scheme_scores(scored, "label_index", "prediction").first()
+            scores = (float(found[f"f1_{average}"]), float(found[f"f1_{average}"]), float(found["accuracy"]))
+        log.append((scores[0], (trial["kind"], {k: str(v) for k, v in trial.items() if k != "kind"}, *scores[1:],
+                                fitted - begin, time.monotonic() - fitted), trial))
+    best = max(log, key=lambda row: row[0])[-1]
+    if refit_with_val and not regression:
         both = train_and_val(coded.drop("label_index"), split)
         indexer = encode_label(both, label)
         final = indexer.transform(both)
-    refitted = _build(builders, best, rows).fit(final)
-    names = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
+        size |= {"labels": len(indexer.labels)}
+    estimator = _build(builders, best, size)
+    stages = [estimator.setPredictionCol("predicted").fit(final)] if regression else [
+        estimator.fit(final), IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)]
     coded.unpersist()
-    ranked = sorted(log, key=lambda row: -row[2])
+    ranked = sorted(log, key=lambda row: -row[0])
     trials = df.sparkSession.createDataFrame(
-        [(1 + sum(o[2] > row[2] for o in ranked), i == 0, *row[:-1]) for i, row in enumerate(ranked)],
-        "rank int, best boolean, kind string, params map<string,string>, score double, accuracy double, fit_seconds double, score_seconds double",
+        [(1 + sum(o[0] > row[0] for o in ranked), i == 0, *row[1]) for i, row in enumerate(ranked)],
+        f"rank int, best boolean, kind string, params map<string,string>, score double, {'mse' if regression else 'accuracy'} double, fit_seconds double, score_seconds double",
     )
-    return Search(PipelineModel([refitted, names]), trials, best)
+    return Search(PipelineModel(stages), trials, best)
 
 
-def _build(builders: Mapping, trial: Mapping, rows: int) -> Estimator:
-    return builders[trial["kind"]](rows=rows, **{k: v for k, v in trial.items() if k != "kind"})
+def _build(builders: Mapping, trial: Mapping, size: Mapping) -> Estimator:
+    """An estimator for a trial; what it wants to know of the data is given by name."""
+    build = builders[trial["kind"]]
+    wanted = {name: value for name, value in size.items() if name in signature(build).parameters}
+    return build(**(wanted | {k: v for k, v in trial.items() if k != "kind"}))
 
 
 def run_summary(train: DataFrame, label: str, trials: DataFrame, metric: str = "score") -> DataFrame:

@@ -256,6 +256,19 @@ def test_labels_unseen_in_train_count_as_errors(spark):
     assert set(model.predict(refitted.model, df, ["id"]).toPandas()["predicted"]) <= {"a", "b", "c"}
 
 
+def test_search_over_regressions_and_networks(spark):
+    rng = random.Random(3)
+    rows = [(i, 2.0 * (x := rng.random()) + 1, "lh"[x > 0.5], ("train", "val")[i % 4 == 0], [x, rng.random()]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, y double, side string, __split string, features array<double>")
+    grid = {"linear": {"fit_intercept": [True]}, "rf": {"trees": [5], "depth": [2], "max_features": ["all"]}}
+    search = model.random_search(df, "y", grid, draws=9, task_type="regression", refit_with_val=True)
+    trials = search.trials.orderBy("rank").collect()
+    assert [t["kind"] for t in trials] == ["linear", "rf"] and trials[0]["score"] < 1e-6 < trials[1]["score"]
+    assert all(abs(r["predicted"] - r["y"]) < 1e-6 for r in model.predict(search.model, df, ["y"]).collect())
+    network = model.random_search(df, "side", {"mlp": {"shape": ["brick", "funnel"], "layers": [1], "first": [4], "max_iter": [60]}}, draws=2)
+    assert network.trials.first()["accuracy"] > 0.9
+
+
 def test_trees_deeper_than_spark_goes_are_an_error():
     with pytest.raises(ValueError):
         model.random_forest(depth=35)
