@@ -1,10 +1,13 @@
 """Queries for sources, filters, joins, selection and order."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from penprint.catalog.base import query, table
 from penprint.functions import lexicon as lx
 from penprint.operators import curate
+from penprint.session import checkpoint_folder
 from penprint.sources import corpus
 from penprint.spec import TaskSpec
 
@@ -16,9 +19,44 @@ def orders_with_split(spark, sf):
     return table(spark, sf, "orders").withColumn("fixed_split", split)
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def read_corpus(spark, sf):
-    return corpus.read_corpus(spark, f"{sf}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    return corpus.read_corpus(spark, f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def write_corpus(spark, sf):
+    """Documents written by language and read back."""
+    path = f"{checkpoint_folder(spark)}/corpus-{uuid4().hex}"
+    corpus.write_corpus(table(spark, sf, "documents"), path, partition_by=["lang"])
+    return corpus.read_corpus(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def csv_corpus(spark, sf):
+    """Conversations, with line ends in their texts, written and read as CSV."""
+    path = f"{checkpoint_folder(spark)}/csv-{uuid4().hex}"
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    corpus.write_corpus(turns, path, fmt="csv")
+    return corpus.read_corpus(spark, path, schema=turns.schema, fmt="csv")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def read_helper(spark, sf):
+    path = f"{checkpoint_folder(spark)}/helper-{uuid4().hex}"
+    helper = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    corpus.write_corpus(helper, path, fmt="csv")
+    return corpus.read_helper(spark, path, helper.schema)
+
+
+@query("""SELECT 'lang' AS statistic, lang AS value, count(*) AS count FROM documents GROUP BY 2
+          UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2""")
+def export_counts(spark, sf):
+    """Two statistics tables exported as CSV and read back."""
+    path, documents = f"{checkpoint_folder(spark)}/counts-{uuid4().hex}", table(spark, sf, "documents")
+    corpus.export_counts({c: documents.groupBy(F.col(c).alias("value")).count() for c in ("lang", "source")}, path)
+    back = [corpus.read_helper(spark, f"{path}/{c}", "value string, count long").select(F.lit(c).alias("statistic"), "value", "count") for c in ("lang", "source")]
+    return back[0].unionAll(back[1])
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders
@@ -212,6 +250,12 @@ def align_features(spark, sf):
     return curate.missing_features(aligned, "quality")
 
 
+@query("SELECT doc_id, source, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def aligned_table(spark, sf):
+    aligned = curate.align_features(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+    return aligned.select("doc_id", "source", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("quality", "toxic")])
+
+
 # --- Selection and order ---------------------------------------------------------------
 @query("""WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey, month(o_orderdate)
                             ORDER BY CAST(o_orderpriority = '1-URGENT' AS INTEGER) DESC, o_totalprice DESC, o_orderkey) AS rn FROM orders),

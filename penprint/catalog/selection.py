@@ -105,6 +105,23 @@ def top_per_category(spark, sf):
     return report["by-category-5"].select("feature", "category", r6("score").alias("score"), "place")
 
 
+@query(f"""WITH {_X}, {_MI}, n AS (SELECT {_NAME} AS feature, score FROM mi)
+           SELECT feature, split_part(feature, '-', 1) AS category, round(score, 6) AS score,
+                  CAST(row_number() OVER (PARTITION BY split_part(feature, '-', 1) ORDER BY score DESC, feature) AS INTEGER) AS place FROM n WHERE score > 0""")
+def by_category_all(spark, sf):
+    report = select.information_gain_report(vectors(spark, sf), "label", NAMES)
+    return report["by-category-all"].select("feature", "category", r6("score").alias("score"), "place")
+
+
+@query(f"""WITH {_X}, {_MI} SELECT {_NAME} AS feature, round(score, 6) AS score,
+           CAST(row_number() OVER (ORDER BY score DESC, {_NAME}) AS INTEGER) AS place FROM mi WHERE score > 0""")
+def sorted_scores(spark, sf):
+    """All features by score, with the place in which they come; there are as many rows as features."""
+    ordered = select.information_gain_report(vectors(spark, sf), "label", NAMES)["by-coefficient"].collect()
+    rows = [(row["feature"], row["score"], place) for place, row in enumerate(ordered, 1)]
+    return spark.createDataFrame(rows, "feature string, score double, place int").select("feature", r6("score").alias("score"), "place")
+
+
 @query(f"WITH {_X}, {_MI} SELECT {_NAME} AS feature, round(score, 6) AS score FROM mi WHERE score > 0 ORDER BY mi.score DESC, 1 LIMIT 10")
 def top_features(spark, sf):
     report = select.information_gain_report(vectors(spark, sf), "label", NAMES)
@@ -192,6 +209,18 @@ def union_features(spark, sf):
     return joined.select("vec_id", F.size("f").alias("width"), F.round(F.aggregate("f", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
+@query(f"""WITH {_X} SELECT vec_id, 66 AS width, round(CASE WHEN vec_id % 3 > 0 THEN (SELECT sum(v) FROM x x2 WHERE x2.vec_id = e.vec_id) ELSE -64.0 END
+                  + CASE WHEN vec_id % 2 > 0 THEN vec_id + 1 ELSE -2 END, 4) AS total FROM embeddings e""")
+def union_features_with_gaps(spark, sf):
+    """Two sets that each lack some documents; what is missing is -1."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = vectors(spark, sf)
+    lf = df.where("vec_id % 2 > 0").select("vec_id", F.array(F.col("vec_id").cast("double"), F.lit(1.0)).alias("features"))
+    joined = model.union_features({"se": df.where("vec_id % 3 > 0"), "lf": lf}, "vec_id", df, fill=-1.0).select("vec_id", vector_to_array("features").alias("f"))
+    return joined.select("vec_id", F.size("f").alias("width"), F.round(F.aggregate("f", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
 @query("""SELECT count(DISTINCT label) AS labels, round(min(w), 6) AS min_weight, round(max(w), 6) AS max_weight, CAST(sum(c) AS BIGINT) AS rows, max(c) AS best_score
           FROM (SELECT label, count(*) AS c, (SELECT count(*) FROM embeddings) / (10.0 * count(*)) AS w FROM embeddings GROUP BY 1)""")
 def run_summary(spark, sf):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from penprint.session import durable, stored
 
-BUCKET_DIGITS = 3
+BUCKET_DIGITS = 4
 BUCKETS = 16**BUCKET_DIGITS
 SLICES = 256
 
@@ -41,7 +41,7 @@ def keys_at(keys: DataFrame, wanted: dict[object, Sequence[int]]) -> dict[object
     few buckets a wanted rank falls into.
     """
     bucket = F.substring("key", 1, BUCKET_DIGITS)
-    counts = keys.groupBy("series", bucket.alias("bucket")).count().toPandas()
+    counts = keys.groupBy("series", bucket.alias("bucket")).count().toArrow().to_pandas()
     found: dict[object, list[str | None]] = {s: [None] * len(r) for s, r in wanted.items()}
     asked = []
     for series, part in counts.groupby("series"):
