@@ -1,5 +1,6 @@
 """Queries for text features, vocabularies, vectors and language."""
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from penprint.catalog.base import query, r6, table, texts
@@ -48,6 +49,21 @@ def reduce_svd(spark, sf):
     return reduced.select("doc_id", *[F.get("features", F.lit(i)).alias(f"ng_{i}") for i in range(20)])
 
 
+@query(f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)
+           SELECT CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j, CASE WHEN a.range = b.range THEN 1.0 ELSE 0.0 END AS dot, a.range = b.range AS same,
+                  (SELECT round(sum(v * v), 4) FROM x) AS energy FROM range(64) a, range(64) b""")
+def svd_basis(spark, sf):
+    """All directions of a decomposition are of unit length and at right angles, and keep the squared length of the vectors."""
+    df = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    fitted = features.fit_svd(df.withColumn("v", array_to_vector("v")), "v", 64)
+    energy = fitted.transform(df.withColumn("v", array_to_vector("v")), "v").agg(
+        F.round(F.sum(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("energy"))
+    size = len(fitted.components)
+    cells = [(i, j, sum(r[i] * r[j] for r in fitted.components)) for i in range(64) for j in range(64)] if size else []
+    dots = spark.createDataFrame(cells, "i int, j int, dot double")
+    return dots.select("i", "j", (r6("dot") + 0.0).alias("dot"), (F.col("i") == F.col("j")).alias("same")).withColumn("energy", energy.scalar())
+
+
 @query(rf"""WITH stop AS (SELECT DISTINCT unnest(string_split(lower(p_name || ' the and la le der'), ' ')) AS term FROM part), w AS (SELECT doc_id, unnest({_W}) AS term FROM documents),
             g AS (SELECT * FROM w WHERE term NOT IN (SELECT term FROM stop)), {_FIT.format(min_df=1, weight="tf")}
             SELECT term, round(sum(weight), 6) AS weight FROM weights GROUP BY 1""")

@@ -179,6 +179,34 @@ def predict_labels(spark, sf):
     return model.predict(search.model, df, ["vec_id", "__split", "group"]).select("vec_id", "__split", "group", "predicted", r6(F.get("probabilities", F.lit(0))).alias("p"))
 
 
+@query("SELECT CAST(range AS INTEGER) AS index, 0.0 AS gradient FROM range(65)")
+def logistic_gradient(spark, sf):
+    """Gradient of the penalised logistic loss at the fitted weights, to three decimals: the intercept last."""
+    from pyspark.ml.functions import array_to_vector
+
+    df = vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("double"))
+    rows = df.count()
+    fitted = model.logistic_regression(label="y", rows=rows).fit(df.withColumn("features", array_to_vector("features")))
+    weights = F.array(*[F.lit(float(w)) for w in fitted.coefficients])
+    margin = F.aggregate(F.zip_with("features", weights, lambda x, w: x * w), F.lit(float(fitted.intercept)), lambda a, v: a + v)
+    error = (1 / (1 + F.exp(-margin)) - F.col("y")) / rows
+    cells = df.select(error.alias("e"), F.posexplode(F.concat("features", F.array(F.lit(1.0)))).alias("index", "x"))
+    penalty = F.coalesce(F.get(weights, F.col("index")), F.lit(0.0)) / rows
+    summed = cells.groupBy("index").agg(F.sum(F.col("e") * F.col("x")).alias("g"))
+    return summed.select("index", (F.round(F.col("g") + penalty, 3) + 0.0).alias("gradient"))
+
+
+@query("""SELECT vec_id, 1 AS models, true AS likeliest FROM embeddings""")
+def predictions_are_likeliest(spark, sf):
+    """Whether the predicted label of each row is the one of the larger probability."""
+    df = _task(spark, sf)
+    search = model.random_search(df, "group", {"lr": {"fit_intercept": [True], "max_iter": [50]}}, draws=1)
+    names = F.array(F.lit("high"), F.lit("low"))
+    found = model.predict(search.model, df, ["vec_id"])
+    likeliest = F.get(names, (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
+    return found.groupBy("vec_id").agg(F.count("*").cast("int").alias("models"), F.bool_and(F.col("predicted") == likeliest).alias("likeliest"))
+
+
 @query()
 def dense_network(spark, sf):
     from pyspark.ml.functions import array_to_vector
