@@ -140,8 +140,10 @@ def linguistic_features(spark, sf):
     return taken.select("p_partkey", F.posexplode("features").alias("i", "value")).select("p_partkey", F.get(known, F.col("i")).alias("feature"), "value")
 
 
-_LANGUAGE = f"""WITH d AS (SELECT doc_id, lang, regexp_replace(lower(text), '\\s\\s+', ' ', 'g') AS s FROM documents),
-  g AS (SELECT doc_id, lang, substr(s, i, k) AS term FROM d, (VALUES (1), (2), (3)) v(k), LATERAL unnest(range(1, length(s) - k + 2)) u(i)),
+_LANGUAGE = f"""WITH d AS (SELECT doc_id, lang, string_split(regexp_replace(lower(text), '\\s\\s+', ' ', 'g'), '') AS c FROM documents),
+  g AS (SELECT doc_id, lang, unnest(c) AS term FROM d
+        UNION ALL SELECT doc_id, lang, unnest(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) FROM d
+        UNION ALL SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) FROM d),
   t AS (SELECT doc_id, lang, term, count(*) AS tf FROM g GROUP BY ALL),
   c AS (SELECT lang, term, sum(tf) AS n FROM t WHERE lang IS NOT NULL GROUP BY ALL),
   totals AS (SELECT lang, sum(n) AS n FROM c GROUP BY 1),
