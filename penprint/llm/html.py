@@ -1,7 +1,7 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are ordered by path; each is paired with the nearer of its two neighbours. The text lines of a pair are aligned by longest
-common subsequence, and lines that both pages share are template and are deleted. Markup that names its own role
+Pages of a host are ordered by path; each is paired with the nearer of its two neighbours, copies of itself passed over. The text lines of a
+pair are aligned by longest common subsequence, and lines that both pages share are template and are deleted. Markup that names its own role
 is taken at its word: what stands in menus, footers, forms, adverts and the like goes, whether shared or not,
 and lines inside an article element stay, though a copy of the article stands next to it.
 """
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.llm.common import partitions, small_batches, stored, text_bytes
@@ -92,6 +92,11 @@ def lines_of(html: str | None) -> list[Line]:
     return lines
 
 
+def outside(lines: Sequence[Line]) -> list[Line]:
+    """The lines outside boilerplate: those that the comparison of pages decides on."""
+    return [line for line in lines if not line[2]]
+
+
 def common_lines(a: Sequence[int], b: Sequence[int]) -> list[int]:
     """Positions in ``a`` of a longest common subsequence, by bit vectors over ``b``."""
     masks: dict[int, int] = {}
@@ -141,12 +146,12 @@ def nearness(a: str, b: str) -> int:
     return n
 
 
-def template_lines(path: str, own: Sequence[int], before: tuple[str, Sequence[int]] | None, after: tuple[str, Sequence[int]] | None, same: float = 0.9) -> list[int]:
-    """Shared lines with the nearer neighbour, the one before on a tie. A neighbour that is a copy of the page tells nothing of its template."""
+def template_lines(path: str, own: Sequence[int], before: tuple[str, Sequence[int]] | None, after: tuple[str, Sequence[int]] | None) -> list[int]:
+    """Shared lines with the nearer neighbour, the one before on a tie. A copy of the page, which leaves nothing of either, tells nothing of its template."""
     near = sorted((n for n in (before, after) if n is not None), key=lambda n: -nearness(path, n[0]))
     for _, lines in near:
         shared = common_lines(own, lines)
-        if len(shared) < same * max(len(own), len(lines)):
+        if len(shared) < max(len(own), len(lines)):
             return shared
     return []
 
@@ -158,8 +163,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (code points) of the main text of every row.
 
     Null or empty html gives an empty text; a null URL is a host of its own. Repeated rows are one page to their neighbours and keep a row
-    each. Only hashes of lines are sorted by host and path, in ranges: a host with a third of all pages is spread over tasks, and the pages next to
-    a boundary of ranges, two for each range, are carried over it. The html itself is shuffled once, compressed. Other columns are not carried.
+    each. The neighbour on a side is the nearest page there whose lines outside boilerplate differ; pages without such lines are nobody's.
+    Only hashes of those lines are sorted by host and path, in ranges: a host with a third of all pages is spread over tasks, and the pages next to
+    a boundary of ranges, up to four for each range, are carried over it, however many ranges a run of copies fills. The html itself is shuffled
+    once, compressed. Other columns are not carried.
     """
     spark = pages.sparkSession
     key = [F.xxhash64(F.lit(seed), page_id, url, html).alias(f"k{seed}") for seed in (1, 2)]
@@ -168,7 +175,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sites = [split_url(u) for u in batch.column("url").to_pylist()]
-            hashes = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in lines_of(h)] for h in batch.column("html").to_pylist()]
+            hashes = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, *_ in outside(lines_of(h))] for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k1"), batch.column("k2"), pa.array([s[0] for s in sites], pa.string()), pa.array([s[1] for s in sites], pa.string()),
                  batch.column("page_id").cast(pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
@@ -176,19 +183,36 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     order = ["host", "path", "page_id", "k1", "k2"]
     ranged = stored(
-        stored(rows.mapInArrow(digest, LINES).dropDuplicates(["k1", "k2"]), "lines")
+        stored(rows.mapInArrow(digest, LINES).where(F.size("lines") > 0).dropDuplicates(["k1", "k2"]), "lines")
         .repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("part").orderBy(*order)
-    page = F.struct("host", "path", "lines")
-    # The last page of each range is the neighbour of the first one of the next.
-    edges = ranged.groupBy("part").agg(F.min_by(page, F.struct(*order)).alias("first"), F.max_by(page, F.struct(*order)).alias("last"))
-    steps = Window.orderBy("part")
-    edges = edges.select("part", F.lag("last").over(steps).alias("_last"), F.lead("first").over(steps).alias("_first"))
-    paired = (
-        ranged.withColumn("before", F.lag(page).over(inside)).withColumn("after", F.lead(page).over(inside))
-        .join(F.broadcast(edges), "part")  # one row for each range
-        .select("k1", "k2", "host", "path", "lines", F.coalesce("before", "_last").alias("before"), F.coalesce("after", "_first").alias("after"))
-    )
+    page, place = F.struct("host", "path", "lines"), F.struct(*order)
+    sides = (("before", F.max_by, F.asc), ("after", F.min_by, F.desc))
+
+    def other(a: Column, b: Column) -> Column:
+        return (a["host"] != b["host"]) | (a["lines"] != b["lines"])
+
+    # For either side the page that ends each range, and the nearest one to it, there or in ranges beyond, that is no copy of it.
+    ends = stored(ranged.groupBy("part").agg(*[pick(page, place).alias(side) for side, pick, _ in sides]), "ends")
+    unlike = {side: other(F.col(side), page) for side, *_ in sides}
+    ends = ends.join(ranged.join(F.broadcast(ends), "part").groupBy("part").agg(
+        *[pick(F.when(unlike[side], page), F.when(unlike[side], place)).alias(f"{side}_2") for side, pick, _ in sides]), "part")
+    for side, _, order_by in sides:
+        steps = Window.orderBy(order_by("part"))
+        beyond = F.lag(side).over(steps)
+        ends = ends.withColumn(f"{side}_2", F.coalesce(f"{side}_2", F.when(other(beyond, F.col(side)), beyond)))
+        ends = ends.withColumn(f"{side}_2", F.last(f"{side}_2", ignorenulls=True).over(steps))
+        ends = ends.withColumns({f"{side}_1": beyond, f"{side}_2": F.lag(f"{side}_2").over(steps)})
+    ends = ends.select("part", *[f"{side}_{i}" for side, *_ in sides for i in (1, 2)])
+    paired = ranged
+    for side, _, order_by in sides:
+        steps = Window.partitionBy("part").orderBy(*[order_by(c) for c in order])
+        paired = paired.withColumn("step", F.lag(page).over(steps))
+        paired = paired.withColumn("step", F.when(other(F.col("step"), page), F.col("step")))
+        paired = paired.withColumn(side, F.last("step", ignorenulls=True).over(steps)).drop("step")
+    beyond = {side: F.when(other(F.col(f"{side}_1"), page), F.col(f"{side}_1")).otherwise(F.col(f"{side}_2")) for side, *_ in sides}
+    # One row for each range is joined.
+    paired = paired.join(F.broadcast(ends), "part").select(
+        "k1", "k2", "host", "path", "lines", *[F.coalesce(side, beyond[side]).alias(side) for side, *_ in sides])
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -210,7 +234,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         unpress = zstandard.ZstdDecompressor()
         for batch in small_batches(batches):
             pages_ = (unpress.decompress(p).decode() for p in text_bytes(batch.column("packed")))
-            texts = [main_text(lines_of(h), s or ()) for h, s in zip(pages_, batch.column("shared").to_pylist())]
+            texts = [main_text(outside(lines_of(h)), s or ()) for h, s in zip(pages_, batch.column("shared").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))],
                 names=["page_id", "url", "text", "n_chars"])

@@ -355,3 +355,20 @@ def test_pages_without_an_article_lose_what_neighbours_share(spark):
     rest = {r.page_id: r.text for r in found if r.page_id is None or r.page_id > 40}
     assert rest == {99: "Alone", 100: "", 101: "", 102: "Same", 103: "Same", None: "text"}
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_neighbours_are_told_from_copies_by_what_they_do_not_share(spark, monkeypatch):
+    """Much template around one line of story, and runs of copies longer than a range of pages."""
+    monkeypatch.setattr(html, "partitions", lambda _: 40)
+    frame = "".join(f"<div>Frame {i} of %s</div>" for i in range(10))
+    rows = []
+    for h in ("a.com", "b.com"):
+        for i in range(60):
+            # Stories 20 to 29 are one, 50 to 59 another; 40 has boilerplate only and 41 nothing.
+            story = {2: "the long one", 5: "the last"}.get(i // 10, str(i))
+            body = f"{frame % ((h,) * 10)}<p>Story {story}</p><footer>Foot {i}</footer>"
+            rows.append((len(rows), f"http://{h}/{i:02d}", PAGE % {40: "<footer>Foot</footer>", 41: ""}.get(i, body)))
+    rows += [(len(rows) + i, f"http://c.com/{i}", PAGE % "<div>Same</div><p>Page</p>") for i in range(9)]
+    want = {n: "" if n < 120 and n % 60 in (40, 41) else "Same Page" if n >= 120 else "Story " + {2: "the long one", 5: "the last"}.get(n % 60 // 10, str(n % 60)) for n, *_ in rows}
+    found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows) and {r.page_id: r.text for r in found} == want
