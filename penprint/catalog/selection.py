@@ -157,6 +157,16 @@ def category_profile(spark, sf):
 
 
 # --- Models --------------------------------------------------------------------------
+# The reference's settings, as far as Spark has them: depths beyond its 30 are the one of no depth, ``auto`` features are ``sqrt``, kernels linear.
+GRID = {
+    "lr": {"fit_intercept": [True, False]},
+    "rf": {"trees": [200, 650, 1100, 1550, 2000], "depth": [10, None], "min_leaf": [1, 2, 4]},
+    "svm": {"c": [1.0]},
+}
+# Those whose models give probabilities.
+LIKELY = {kind: GRID[kind] for kind in ("lr", "rf")}
+
+
 def _task(spark, sf):
     """Is the label below five, with a split by hash of the id."""
     from penprint.operators.split import random_split
@@ -167,15 +177,14 @@ def _task(spark, sf):
 
 @query()
 def random_search(spark, sf):
-    grid = {"lr": {"fit_intercept": [True, False], "max_iter": [20]}, "rf": {"trees": [10, 20], "depth": [5, 8]}, "svm": {"c": [1.0], "max_iter": [10]}}
-    search = model.random_search(_task(spark, sf), "group", grid, draws=4)
+    search = model.random_search(_task(spark, sf), "group", GRID)
     return search.trials.select("rank", "best", "kind", r6("score").alias("score"), r6("accuracy").alias("accuracy"))
 
 
 @query()
 def predict_labels(spark, sf):
     df = _task(spark, sf)
-    search = model.random_search(df, "group", {"lr": {"fit_intercept": [True], "max_iter": [20]}}, draws=1, refit_with_val=True)
+    search = model.random_search(df, "group", LIKELY, refit_with_val=True)
     return model.predict(search.model, df, ["vec_id", "__split", "group"]).select("vec_id", "__split", "group", "predicted", r6(F.get("probabilities", F.lit(0))).alias("p"))
 
 
@@ -200,7 +209,7 @@ def logistic_gradient(spark, sf):
 def predictions_are_likeliest(spark, sf):
     """Whether the predicted label of each row is the one of the larger probability."""
     df = _task(spark, sf)
-    search = model.random_search(df, "group", {"lr": {"fit_intercept": [True], "max_iter": [50]}}, draws=1)
+    search = model.random_search(df, "group", LIKELY)
     names = F.array(F.lit("high"), F.lit("low"))
     found = model.predict(search.model, df, ["vec_id"])
     likeliest = F.get(names, (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
@@ -213,7 +222,7 @@ def dense_network(spark, sf):
 
     df = _task(spark, sf).withColumn("features", array_to_vector("features"))
     indexer = model.encode_label(df, "group")
-    network = model.dense_network(64, 2, "funnel", 2, 8, max_iter=20).fit(indexer.transform(df.where(F.col("__split") == "train")))
+    network = model.dense_network(64, 2, "funnel", 2, 8).fit(indexer.transform(df.where(F.col("__split") == "train")))
     return network.transform(df).select("vec_id", "group", F.element_at(F.array(*[F.lit(v) for v in indexer.labels]), F.col("prediction").cast("int") + 1).alias("predicted"))
 
 
@@ -222,7 +231,7 @@ def cross_corpus_scores(spark, sf):
     df = _task(spark, sf)
     first, second = df.where(F.col("__split") != "test"), df.where(F.col("__split") == "test")
     selection = select.fit_selection(first, "group")
-    search = model.random_search(selection.variants(first)["minmax_anova"], "group", {"lr": {"fit_intercept": [True], "max_iter": [20]}}, draws=1)
+    search = model.random_search(selection.variants(first)["minmax_anova"], "group", GRID)
     return model.cross_corpus_scores(search, selection, "minmax_anova", second, "group")
 
 

@@ -338,3 +338,33 @@ def test_merged_experiment_and_saving(spark, tmp_path):
     again = model.predict(model.load_stage(str(tmp_path / "m")), out.selection.variants(
         df.select("doc_id", F.concat("features", F.slice("features", 1, 1)).alias("features")))["minmax_anova"], ["doc_id"])
     assert again.count() == 240
+
+
+def test_search_queries_try_the_whole_grid(spark, monkeypatch):
+    from inspect import signature
+
+    from penprint.catalog import QUERIES
+
+    class Taken(Exception):
+        pass
+
+    def taken(function):
+        def stub(*args, **kwargs):
+            bound = signature(function).bind(*args, **kwargs)
+            bound.apply_defaults()
+            raise Taken(bound.arguments)
+        return stub
+
+    def asked(name):
+        with pytest.raises(Taken) as told:
+            QUERIES[name](spark, "/root/testdata/sf0.001")
+        return told.value.args[0]
+
+    monkeypatch.setattr(model, "random_search", taken(model.random_search))
+    monkeypatch.setattr(model, "dense_network", taken(model.dense_network))
+    for name, settings in {"random_search": 33, "predict_labels": 32, "predictions_are_likeliest": 32, "cross_corpus_scores": 33, "experiment_report": 33}.items():
+        given = asked(name)
+        trials = model.sampled_trials(given["grid"], given["draws"])
+        assert len(trials) == settings and max(t.get("trees", 0) for t in trials) == 2000, name
+        assert all("max_iter" not in t for t in trials), name
+    assert asked("dense_network")["max_iter"] == 100
