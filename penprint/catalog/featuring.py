@@ -45,8 +45,8 @@ def char_tfidf(spark, sf):
 @query()
 def reduce_svd(spark, sf):
     documents = texts(spark, sf)
-    reduced = features.reduce_svd(documents.where(F.col("lang") != "de"), documents, "doc_id", "text", k=20, max_features=50)
-    return reduced.select("doc_id", *[F.get("features", F.lit(i)).alias(f"ng_{i}") for i in range(20)])
+    reduced = features.reduce_svd(documents.where(F.col("lang") != "de"), documents, "doc_id", "text")
+    return reduced.select("doc_id", *[F.get("features", F.lit(i)).alias(f"ng_{i}") for i in range(100)])
 
 
 @query(f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)

@@ -368,3 +368,11 @@ def test_search_queries_try_the_whole_grid(spark, monkeypatch):
         assert len(trials) == settings and max(t.get("trees", 0) for t in trials) == 2000, name
         assert all("max_iter" not in t for t in trials), name
     assert asked("dense_network")["max_iter"] == 100
+
+
+def test_the_svd_query_gives_all_directions(spark):
+    from penprint.catalog import QUERIES
+
+    out = QUERIES["reduce_svd"](spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", *[f"ng_{i}" for i in range(100)]] and out.count() == 200
+    assert out.where("ng_99 is null").count() == 0
