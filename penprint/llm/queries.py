@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters, over their whole tables."""
+"""The queries of the thirteen operators, with production parameters, over their whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penprint.llm import chat, decontaminate, html, language, packing, repeats, sharding, simhash, tokenfiles, topk
+from penprint.llm import audit, chat, decontaminate, digests, edits, html, language, packing, repeats, sharding, simhash, tokenfiles, topk, whitening
 from penprint.llm.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -131,3 +131,50 @@ def op9_weighted_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    model = whitening.fit(vectors, k=4)
+    return whitening.component_rows(whitening.transform(vectors, model, carry=["vec_id"]), model, ["vec_id"])
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+f AS (
+  SELECT w.doc_id, part,
+         CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+e AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM e a, e b, e c, e d, e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+g AS (SELECT m.*, filter_order, list_min(list_filter(range(1, 6), lambda i: contains(fails, substr(filter_order, i, 1)))) AS gone FROM m, o),
+s AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS letter,
+         sum(n) FILTER (gone IS NULL OR gone > step) AS kept, sum(n) FILTER (gone = step) AS removed,
+         sum(n) FILTER (gone < step AND contains(fails, substr(filter_order, step, 1))) AS redundant, sum(n) FILTER (fails = substr(filter_order, step, 1)) AS unique_fails,
+         sum(good) FILTER (gone = step) AS good_lost, sum(toxic) FILTER (gone = step) AS toxic_lost
+  FROM g, range(1, 6) AS r(step) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM s
+"""
+
+
+@query(OP12_SQL)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    conditions = audit.quality_conditions(F.coalesce(F.col("text"), F.lit("")))
+    return audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"), conditions)
+
+
+@query()
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return edits.compare_edits(docs, digests.fit_rarity(docs))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -85,3 +86,71 @@ def best(vectors, asked, k=5):
 
 def checksum(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def entropy_bin(window):
+    total = sum(round(c * math.log2(c) * 65536) for c in Counter(window).values())
+    return (6 * 64 * 65536 - total) * 64 // (64 * 65536)
+
+
+def picked(ranks, run=64, popular=16):
+    """Places that win at least so many of the runs they are in, also runs that reach over the ends."""
+    wins = Counter()
+    for start in range(1 - run, len(ranks)) if ranks else ():
+        places = range(max(0, start), min(len(ranks), start + run))
+        best = min(places, key=lambda i: (ranks[i], i))
+        if ranks[best] < 65535:
+            wins[best] += 1
+    return sorted(i for i, n in wins.items() if n >= popular)
+
+
+def rarity(texts):
+    """Rank of each entropy, the rarest first, then the higher; none below one bit."""
+    seen = Counter()
+    for text in set(texts):
+        found = Counter(entropy_bin(text[i:i + 64]) for i in range(len(text) - 63))
+        seen.update({b: n * texts.count(text) for b, n in found.items()})
+    order = sorted(range(64, 385), key=lambda b: (seen[b], -b))
+    return {b: r for r, b in enumerate(order)} | {b: 65535 for b in range(64)}
+
+
+def _mixed(x, last):
+    x = x * 0x9E3779B97F4A7C15 % 2**64
+    return x ^ x >> last
+
+
+def chain(text, ranks):
+    """Bloom filters, 160 features in each, of a text's rare windows; of its strings of five bytes if it is short or has none."""
+    if not text:
+        return b""
+    hashes = []
+    if len(text) >= 256:
+        for i in picked([ranks[entropy_bin(text[i:i + 64])] for i in range(len(text) - 63)]):
+            h = 0
+            for k in range(8):
+                h = _mixed(h ^ int.from_bytes(text[i + 8 * k:i + 8 * k + 8], "little"), 29)
+            hashes.append(_mixed(h, 32))
+    if not hashes:
+        size = min(5, len(text))
+        hashes = [_mixed(_mixed((size << 8 * size) | int.from_bytes(text[i:i + size], "big"), 29), 32) for i in range(len(text) - size + 1)]
+    hashes = list(dict.fromkeys(hashes))
+    out = b""
+    for start in range(0, len(hashes), 160):
+        bits = {h >> 11 * k & 2047 for h in hashes[start:start + 160] for k in range(5)}
+        out += bytes(sum(128 >> j for j in range(8) if 8 * i + j in bits) for i in range(256))
+    return out
+
+
+def likeness(one, two):
+    if one == two:
+        return 1.0
+    if not one or not two:
+        return 0.0
+    short, long = sorted(([int.from_bytes(f[i:i + 256], "big") for i in range(0, len(f), 256)] for f in (one, two)), key=lambda f: (len(f), f))
+
+    def overlap(x, y):
+        common, a, b = ((z).bit_count() for z in (x & y, x, y))
+        chance = a * b / 2048
+        return max(0.0, (common - chance) / (min(a, b) - chance)) if min(a, b) > chance else float(common == min(a, b))
+
+    return sum(max(overlap(x, y) for y in long) for x in short) / len(short)
