@@ -39,7 +39,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """``stored``, dealt by ``key``: later joins and groupings by it do not shuffle these rows again.
 
-    The number of buckets is that of shuffle partitions, which grows with the cluster's inputs.
+    The number of buckets is that of shuffle partitions, which grows with the cluster's inputs. The catalog's entry is needed
+    only to plan the table and goes at once.
     """
     spark = df.sparkSession
     buckets = partitions(spark)
@@ -47,7 +48,10 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     name = path.rsplit("/", 1)[-1].replace("-", "_")
     (df.repartition(buckets, key).write.option("path", path).option("compression", "zstd")
      .format("parquet").bucketBy(buckets, key).saveAsTable(name))
-    return spark.table(name)
+    out = spark.table(name)
+    out.schema  # resolved; the files stay when the catalog forgets them
+    spark.sql(f"DROP TABLE `{name}`")
+    return out
 
 
 def extended(schema: StructType, columns: str) -> StructType:

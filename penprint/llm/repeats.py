@@ -5,20 +5,25 @@ minimisers, and neighbouring windows mostly share one, so a document falls into
 occurs once in the corpus cannot belong to a repeated window; the segments of the others meet in buckets. There the suffixes are sorted in two stages
 (``suffixes``), and a window is repeated if its common prefix with a neighbour in the suffix array reaches the width.
 
-A bucket with many different segments is split by longer common content: into runs of ``FINE`` windows dealt by the bytes that
-all of them contain, and then into single windows dealt by themselves. That is exact, and no
-task holds more than a bounded number of segments that differ.
+Equal segments are one: a digest of the content names them, the sort sees each once, and a separate table says in which rows they
+stand. What the sort finds, spans of a segment, is carried back to the rows by one join on that name.
+
+Windows of a bucket that lie at different distances from their minimiser differ. A bucket too large for one sort is therefore taken
+apart by distance and by the bytes that all windows at some distances contain, inside the task. A bucket of more than ``BUSY``
+different segments is taken apart in the same way over the cluster, into pieces of ``FINE`` windows and then single windows, whose
+parents are kept as rows are for segments. Either way is exact, and no task holds more than a bounded number of segments that differ.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penprint.llm.common import bucketed, extended, partitions, small_batches, stored, text_bytes, utf8
@@ -28,8 +33,8 @@ WIDTH = 200
 SHORT = 32  # bytes hashed for a minimiser
 CHUNK = 1 << 19  # windows looked at together in a long document
 FINE = 13
-BUSY = 1000  # rows of a bucket beyond which it is split
-SORTED = 1 << 19  # bytes of segments sorted together; whole buckets only
+BUSY = 1 << 16  # different segments of a bucket beyond which it is split over the cluster
+SORTED = 1 << 19  # bytes of segments sorted together
 HELD = 8 << 20  # bytes of segments a task keeps to join equal ones
 
 BASE = 0x5851F42D4C957F2D
@@ -37,7 +42,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 PLACE = np.uint64((1 << 20) - 1)
 
 RUNS = "key long, _row long, first int, last int, pivot int"
-SEGMENTS = "key long, content binary, pivot int, rows array<long>, firsts array<int>"
+SEGMENTS = "key long, segment binary, content binary, pivot int, n long, owners array<{}>, firsts array<int>"
+SPANS = "segment binary, spans array<struct<first: int, end: int>>"
+SPAN_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -97,59 +104,70 @@ def find_runs(width: int):
 
 
 class Segments:
-    """Segments on their way out of a task; equal ones become one row with several members."""
+    """Segments on their way out of a task; equal ones become one row with several owners (rows, or longer segments)."""
 
-    def __init__(self):
-        self.held: dict[tuple[int, bytes, int], tuple[list[int], list[int]]] = {}
+    def __init__(self, owner: pa.DataType):
+        self.owner = owner
+        self.held: dict[bytes, list] = {}
         self.size = 0
 
-    def add(self, key: int, content: bytes, pivot: int, rows: Sequence[int], firsts: Sequence[int]) -> None:
-        members = self.held.get((key, content, pivot))
-        if members is None:
-            members = self.held[key, content, pivot] = ([], [])
-            self.size += len(content) + 200
-        members[0].extend(rows)
-        members[1].extend(firsts)
-        self.size += 16 * len(rows)
+    def add(self, key: int, content: bytes, pivot: int, n: int, owner: int | bytes, first: int) -> None:
+        found = self.held.get(content)
+        if found is None:
+            found = self.held[content] = [key, pivot, 0, [], []]
+            self.size += len(content) + 250
+        found[2] += n
+        found[3].append(owner)
+        found[4].append(first)
+        self.size += 40
 
     def out(self) -> pa.RecordBatch:
-        keys, members = list(self.held), list(self.held.values())
+        contents, rows = list(self.held), list(self.held.values())
         self.held, self.size = {}, 0
+        names = [hashlib.blake2b(c, digest_size=16).digest() for c in contents]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(self.owner), pa.list_(pa.int32()))
+        key, pivot, n, owners, firsts = (pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.int32()),
-             pa.array([m[0] for m in members], pa.list_(pa.int64())), pa.array([m[1] for m in members], pa.list_(pa.int32()))],
-            names=["key", "content", "pivot", "rows", "firsts"])
+            [key, pa.array(names, pa.binary()), pa.array(contents, pa.binary()), pivot, n, owners, firsts],
+            names=["key", "segment", "content", "pivot", "n", "owners", "firsts"])
 
 
 def cut_segments(width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = Segments()
+        segments = Segments(pa.int64())
         for batch in small_batches(batches):
             for row, text, runs in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2)):
                 runs = runs.values
                 for key, first, last, pivot in zip(*(runs.field(i).to_pylist() for i in range(4))):
-                    segments.add(key, text[first:last + width], pivot, (row,), (first,))
+                    segments.add(key, text[first:last + width], pivot, 1, row, first)
                 if segments.size > HELD:
                     yield segments.out()
         yield segments.out()
     return cut
 
 
+def piece(content: bytes, pivot: int, width: int, fine: int, group: int) -> tuple[int, int, bytes] | None:
+    """The ``group``-th piece of a segment: its windows at ``fine`` consecutive distances before the minimiser.
+
+    First window, the one after the last, and what all windows at these distances contain; None if the segment has no such window.
+    """
+    nearest = pivot - group * fine
+    at, end = max(0, nearest - fine + 1), min(len(content) - width, nearest) + 1
+    return (at, end, content[nearest:nearest - fine + 1 + width]) if at < end else None
+
+
 def split_segments(width: int, fine: int):
-    """Segments of at most ``fine`` windows, dealt by the bytes that all windows at their distance from the minimiser contain."""
+    """The pieces of segments, dealt by what their windows have in common."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = Segments()
+        segments = Segments(pa.binary())
         for batch in small_batches(batches):
-            for content, pivot, rows, firsts in zip(text_bytes(batch.column("content")), *(batch.column(c).to_pylist() for c in ("pivot", "rows", "firsts"))):
-                windows = len(content) - width + 1
-                at = 0
-                while at < windows:
-                    group = (pivot - at) // fine  # windows by their distance before the minimiser
-                    end = min(windows, pivot - group * fine + 1)
-                    core = content[pivot - group * fine:pivot - group * fine - fine + 1 + width]
-                    key = xxhash.xxh64_intdigest(core, group & 0xFFFF) - (1 << 63)
-                    segments.add(key, content[at:end + width - 1], pivot - at, rows, [f + at for f in firsts])
-                    at = end
+            names, contents = (text_bytes(batch.column(c)) for c in ("segment", "content"))
+            for name, content, pivot, n in zip(names, contents, *(batch.column(c).to_pylist() for c in ("pivot", "n"))):
+                for group in range(max(0, pivot - len(content) + width) // fine, pivot // fine + 1):
+                    if found := piece(content, pivot, width, fine, group):
+                        at, end, core = found
+                        key = xxhash.xxh64_intdigest(core, group) - (1 << 63)
+                        segments.add(key, content[at:end + width - 1], pivot - at, n, name, at)
                 if segments.size > HELD:
                     yield segments.out()
         yield segments.out()
@@ -173,47 +191,110 @@ def repeated_windows(contents: Sequence[bytes], width: int) -> list[np.ndarray]:
     return [marked[a:a + n - width + 1] for a, n in zip(starts.tolist(), sizes.tolist())]
 
 
-def find_spans(width: int):
-    """Byte spans of repeated windows, from segments in the order of their keys."""
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[list[int], list[int]]] = {}
+def repeated_by_distance(contents: Sequence[bytes], pivots: Sequence[int], width: int, limit: int, fine: int = FINE) -> list[np.ndarray]:
+    """``repeated_windows`` of a large bucket of different segments, by pieces that have their common bytes in common.
+
+    Pieces are sorted together up to ``limit`` bytes; more of them with the same common bytes fall into single windows.
+    """
+    marks = [np.zeros(len(c) - width + 1, bool) for c in contents]
+    for group in range(max(pivots) // fine + 1):
+        cores: dict[bytes, dict[bytes, list[tuple[int, int]]]] = {}
+        for i, (content, pivot) in enumerate(zip(contents, pivots)):
+            if cut := piece(content, pivot, width, fine, group):
+                at, end, core = cut
+                cores.setdefault(core, {}).setdefault(content[at:end + width - 1], []).append((i, at))
+        sorted_together: list[tuple[bytes, list[tuple[int, int]]]] = []
         size = 0
+
+        def sort() -> None:
+            for (_, owners), marked in zip(sorted_together, repeated_windows([part for part, _ in sorted_together], width)):
+                for i, at in owners:
+                    marks[i][at:at + len(marked)] |= marked
+
+        for found in cores.values():
+            for part, owners in found.items():
+                if len(owners) > 1:
+                    for i, at in owners:
+                        marks[i][at:at + len(part) - width + 1] = True
+            if len(found) < 2:
+                continue
+            held = sum(map(len, found))
+            if held > limit and fine > 1:
+                far = [pivots[owners[0][0]] - owners[0][1] for owners in found.values()]
+                for owners, marked in zip(found.values(), repeated_by_distance(list(found), far, width, limit, 1)):
+                    for i, at in owners:
+                        marks[i][at:at + len(marked)] |= marked
+                continue
+            if sorted_together and size + held > limit:
+                sort()
+                sorted_together, size = [], 0
+            sorted_together += found.items()
+            size += held
+        if sorted_together:
+            sort()
+    return marks
+
+
+def find_spans(width: int, limit: int):
+    """Spans of repeated windows of every segment that has any, from segments in the order of their keys."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket: dict[bytes, list] = {}  # by name: content, pivot and how many owners have it
+        pool: dict[bytes, list] = {}  # whole buckets that are sorted together
+        size = pooled = 0
         key: int | None = None
 
-        def sort() -> pa.RecordBatch:
-            rows: list[int] = []
-            firsts: list[int] = []
-            ends: list[int] = []
-            for content, (names, places), marked in zip(held, held.values(), repeated_windows(list(held), width)):
-                spans = [(0, len(content))] if len(names) > 1 else []
-                if not spans:
+        def spans(found: dict[bytes, list], marks: Sequence[np.ndarray]) -> pa.RecordBatch:
+            names, out = [], []
+            for (name, (content, _, n)), marked in zip(found.items(), marks):
+                if n > 1:
+                    names.append(name)
+                    out.append([(0, len(content))])
+                elif marked.any():
                     edges = np.flatnonzero(np.diff(np.r_[False, marked, False].astype(np.int8))).tolist()
-                    spans = [(a, b - 1 + width) for a, b in zip(edges[::2], edges[1::2])]
-                for a, b in spans:
-                    rows += names
-                    firsts += [p + a for p in places]
-                    ends += [p + b for p in places]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32())], names=["_row", "first", "end"])
+                    names.append(name)
+                    out.append(merged(np.array(edges[::2]), np.array(edges[1::2]) - 1 + width))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), span_lists(out)], names=["segment", "spans"])
+
+        def sort_pool() -> pa.RecordBatch:
+            return spans(pool, repeated_windows([c for c, *_ in pool.values()], width))
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal size, pooled
+            if size > limit:
+                contents, pivots, _ = zip(*bucket.values())
+                yield spans(bucket, repeated_by_distance(contents, pivots, width, limit))
+            else:
+                if pool and pooled + size > limit:
+                    yield sort_pool()
+                    pooled = 0
+                pool.update(bucket)
+                pooled += size
+                bucket.clear()
+            size = 0
 
         for batch in small_batches(batches):
-            for name, content, rows, firsts in zip(batch.column("key").to_pylist(), text_bytes(batch.column("content")), *(batch.column(c).to_pylist() for c in ("rows", "firsts"))):
-                if name != key:
-                    if size > SORTED:
-                        yield sort()
-                        size = 0
-                    key = name
-                members = held.get(content)
-                if members is None:
-                    members = held[content] = ([], [])
+            names, contents = (text_bytes(batch.column(c)) for c in ("segment", "content"))
+            for of, name, content, pivot, n in zip(batch.column("key").to_pylist(), names, contents, *(batch.column(c).to_pylist() for c in ("pivot", "n"))):
+                if of != key:
+                    yield from close()
+                    key = of
+                known = bucket.get(name)
+                if known is None:
+                    bucket[name] = [content, pivot, n]
                     size += len(content)
-                members[0].extend(rows)
-                members[1].extend(firsts)
-        if held:
-            yield sort()
+                else:
+                    known[2] += n
+        yield from close()
+        if pool:
+            yield sort_pool()
     return find
 
 
+def span_lists(spans: Sequence[Sequence[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"first": a, "end": b} for a, b in each] for each in spans], SPAN_TYPE)
+
+
 def merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """Spans joined where they touch."""
     if not len(first):
@@ -224,53 +305,89 @@ def merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first[np.r_[0, cuts + 1]].tolist(), reach[np.r_[cuts, len(reach) - 1]].tolist()))
 
 
-def find_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Every row of ``docs`` as ``_doc`` (a struct of its columns but the text), ``data`` (UTF-8 bytes of the whole text) and ``spans``.
-
-    ``spans``, array of [first, end), are the maximal runs of bytes covered by a ``width``-byte string that also starts anywhere
-    else, in the same or another row. Null texts are empty; texts shorter than the width have no spans; repeated
-    rows are copies of each other. The texts are shuffled once, to a table in buckets by row.
-    """
-    spark = docs.sparkSession
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("string").alias("_none")]
-    source = bucketed(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_doc"), utf8(F.col(text)).alias("data")), "_row", "texts")
+def cut_repeats(source: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The segments of ``source`` (_row, data) whose minimiser is not alone, each with its rows; equal ones of a task are one."""
     runs = stored(source.select("_row", "data").mapInArrow(find_runs(width), RUNS), "runs")
     # Counts are stored before they are joined: a join of two plain shuffles is one whose skewed keys Spark splits.
     repeated = stored(runs.groupBy("key").count().where("count > 1").select("key"), "repeated")
     per_row = runs.join(repeated, "key").groupBy("_row").agg(F.collect_list(F.struct("key", "first", "last", "pivot")).alias("runs"))
-    with_runs = source.select("_row", "data").join(per_row, "_row")
-    segments = stored(with_runs.mapInArrow(cut_segments(width), SEGMENTS), "segments")
-    settled = []
+    return stored(source.select("_row", "data").join(per_row, "_row").mapInArrow(cut_segments(width), SEGMENTS.format("bigint")), "segments")
+
+
+def segment_spans(cuts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``segment`` and ``spans`` of each segment of ``cuts`` in which a window repeats, in bytes from the segment's start.
+
+    A segment has one row, or two that agree where it is a piece of itself.
+    """
+    spark = cuts.sparkSession
+    columns = ("key", "segment", "content", "pivot", "n")
+    waiting, ready, levels = cuts, [], []
     for fine in (FINE, 1):
-        busy = stored(segments.groupBy("key").count().where(F.col("count") > BUSY).select("key", F.lit(True).alias("busy")), "busy")
-        marked = segments.join(busy, "key", "left")
-        settled.append(marked.where("busy IS NULL").drop("busy"))
-        segments = stored(marked.where("busy").drop("busy").mapInArrow(split_segments(width, fine), SEGMENTS), "segments")
-    for part in settled:
-        segments = segments.unionByName(part)
-    dealt = segments.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    spans = dealt.mapInArrow(find_spans(width), "_row long, first int, end int")
-    per_row = stored(spans, "spans").groupBy("_row").agg(F.collect_list(F.struct("first", "end")).alias("found"))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            out = []
-            for found in batch.column(2):
-                values = found.values if found.is_valid else None
-                out.append(merged(values.field(0).to_numpy(), values.field(1).to_numpy()) if values is not None else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([[list(s) for s in spans] for spans in out], pa.list_(pa.list_(pa.int32())))],
-                names=["_doc", "data", "spans"])
+        rows = waiting.groupBy("key").count()
+        many = stored(rows.where(F.col("count") > BUSY).select("key"), "many")
+        if many.isEmpty():
+            break
+        ready.append(waiting.join(many, "key", "left_anti").select(*columns))
+        # Equal segments of different tasks meet before the different ones of a bucket are counted.
+        united = stored(
+            waiting.join(many, "key", "left_semi").groupBy("segment")
+            .agg(*[F.any_value(c).alias(c) for c in ("key", "content", "pivot")], F.sum("n").alias("n")), "united")
+        busy = stored(united.groupBy("key").count().where(F.col("count") > BUSY).select("key"), "busy")
+        ready.append(united.join(busy, "key", "left_anti").select(*columns))
+        waiting = stored(united.join(busy, "key", "left_semi").mapInArrow(split_segments(width, fine), SEGMENTS.format("binary")), "pieces")
+        levels.append(waiting)
+    ready.append(waiting.select(*columns))
+    dealt = reduce(DataFrame.unionByName, ready).repartition(partitions(spark), "key").sortWithinPartitions("key")
+    found = stored(dealt.mapInArrow(find_spans(width, SORTED), SPANS), "spans")
+    for level in reversed(levels):
+        owned = (
+            level.select("segment", F.explode(F.arrays_zip("owners", "firsts")).alias("of")).join(found, "segment")
+            .groupBy(F.col("of.owners").alias("segment")).agg(F.flatten(F.collect_list(_shifted("of.firsts"))).alias("spans"))
+        )
+        found = stored(found.unionByName(owned.mapInArrow(join_spans, SPANS)), "spans")
+    return found
+
+
+def _shifted(first: str) -> Column:
+    return F.transform("spans", lambda s: F.struct((F.col(first) + s["first"]).alias("first"), (F.col(first) + s["end"]).alias("end")))
+
+
+def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, lists of spans, with spans joined where they touch; null is no span."""
+    for batch in batches:
+        out = []
+        for found in batch.column(batch.num_columns - 1):
+            values = found.values if found.is_valid else None
+            out.append(merged(values.field(0).to_numpy(), values.field(1).to_numpy()) if values is not None else [])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], span_lists(out)], names=batch.schema.names)
 
-    whole = source.join(per_row, "_row", "left").select("_doc", "data", "found")
-    return whole.mapInArrow(join, extended(whole.drop("found").schema, "spans array<array<int>>"))
 
+def find_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """Every row of ``docs`` as ``_doc`` (a struct of its columns but the text), ``data`` (UTF-8 bytes of the whole text) and ``spans``.
 
-def _kept(data: bytes, spans: Sequence[Sequence[int]]) -> bytes:
+    ``spans``, structs of first and end, are the maximal runs of bytes covered by a ``width``-byte string that also starts anywhere
+    else, in the same or another row. Null texts are empty; texts shorter than the width have no spans; repeated
+    rows are copies of each other. The texts are shuffled once, to a table in buckets by row.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("string").alias("_none")]
+    source = bucketed(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_doc"), utf8(F.col(text)).alias("data")), "_row", "texts")
+    cuts = cut_repeats(source, width)
+    # A segment that very many rows have is a skewed key of a plain join, which Spark splits.
+    owned = (
+        cuts.select("segment", "owners", "firsts").join(segment_spans(cuts, width), "segment")
+        .select(F.explode(F.arrays_zip("owners", "firsts")).alias("of"), "spans")
+        .select(F.col("of.owners").alias("_row"), _shifted("of.firsts").alias("spans"))
+    )
+    per_row = stored(owned, "owned").groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = source.join(per_row, "_row", "left").select("_doc", "data", "spans")
+    return whole.mapInArrow(lambda batches: join_spans(small_batches(batches)), extended(whole.select("_doc", "data").schema, "spans array<struct<first: int, end: int>>"))
+
+
+def _kept(data: bytes, spans: Sequence[dict[str, int]]) -> bytes:
     at, parts = 0, []
-    for first, end in spans:
-        parts.append(data[at:first])
-        at = end
+    for span in spans:
+        parts.append(data[at:span["first"]])
+        at = span["end"]
     return b"".join([*parts, data[at:]])
 
 
@@ -281,7 +398,7 @@ def summarise(found: DataFrame) -> DataFrame:
             spans = batch.column(2).to_pylist()
             texts = list(text_bytes(batch.column(1)))
             sums = [hashlib.sha256(_kept(t, s)).hexdigest() for t, s in zip(texts, spans)]
-            columns = [[len(t) for t in texts], [sum(b - a for a, b in s) for s in spans], [len(s) for s in spans]]
+            columns = [[len(t) for t in texts], [sum(x["end"] - x["first"] for x in s) for s in spans], [len(s) for s in spans]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(sums, pa.string())], names=["_doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 

@@ -304,6 +304,44 @@ def test_repeats(docs, texts, none, monkeypatch, busy):
         assert repeats.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [300, 2000, 1 << 19])
+def test_a_bucket_in_the_task(limit):
+    """One hot minimiser: pieces by distance give what all windows together give."""
+    rng = random.Random(limit)
+    middle = bytes(rng.choices(b"abc", k=230))
+    contents, pivots = [], []
+    for n in range(60):
+        left, right = rng.choice([0, 1, 30, 60]), rng.choice([0, 2, 40])
+        sides = [bytes(rng.choices(b"xyz", k=left)), bytes(rng.choices(b"xyz", k=right))]
+        content = sides[0][:left] + middle[30 - min(left, 30):] + sides[1] if n % 3 else middle + sides[1]
+        if content not in contents:
+            contents.append(content)
+            pivots.append(content.index(middle[30:62]))
+    got = repeats.repeated_by_distance(contents, pivots, 200, limit)
+    seen = Counter((p - i, c[i:i + 200]) for c, p in zip(contents, pivots) for i in range(len(c) - 199))
+    for c, p, marks in zip(contents, pivots, got):
+        # Only windows that hold the minimiser belong to the bucket.
+        want = [seen[p - i, c[i:i + 200]] > 1 for i in range(len(c) - 199)]
+        assert [bool(m) for m, i in zip(marks, range(len(want))) if p - i >= 0] == [w for i, w in enumerate(want) if p - i >= 0]
+
+
+def test_shared_passages_cost_rows_in_proportion(spark, monkeypatch):
+    """A passage that n texts share around other words: what every step returns grows with n, within one task and split over many."""
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdefgh ", k=600))
+    rows = [(i, "".join(rng.choices("ijklmnop ", k=300)) + passage + "".join(rng.choices("qrstuvwxyz ", k=300))) for i in range(4000)]
+    for busy in (1 << 16, 300):
+        monkeypatch.setattr(repeats, "BUSY", busy)
+        sizes = []
+        for n in (1000, 2000, 4000):
+            source = spark.createDataFrame(rows[:n], "_row long, text string").select("_row", repeats.utf8("text").alias("data"))
+            cuts = repeats.cut_repeats(source)
+            sizes.append((cuts.count(), repeats.segment_spans(cuts).count()))
+        for small, large in zip(sizes, sizes[1:]):
+            assert all(1.6 * a <= b <= 2.4 * a for a, b in zip(small, large)), sizes
+        assert sizes[-1][1] <= 30 * 4000
+
+
 def test_long_documents_are_looked_at_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 300)
     rng = random.Random(8)
