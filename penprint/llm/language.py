@@ -149,26 +149,41 @@ def _cut(found: list[tuple[int, int]], room: int, least: int) -> int:
     return cut if cut is not None else max(n for n, _ in found) + 1
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns of ``docs`` with ``lang_pred`` and ``score`` (the posterior, 0 to 1) of every whole text.
-
-    A null text, or one without letters, or an empty model gives ``und`` and 0. Only the text is looked at. The model is
-    broadcast; ``fit`` bounds its size.
-    """
-    carry = docs.columns if carry is None else carry
+def _judged(docs: DataFrame, model: LanguageModel, text: str, carry: list[str]) -> DataFrame:
+    """The ``carry`` columns of ``docs`` by their places, ``_lang`` and ``_score``. The text passes through Python once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = extended(docs.select(*carry).schema, "lang_pred string, score double")
+    sent = carry if text in carry else [*carry, text]
+    place = sent.index(text)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(sent)])
+    names = rows.columns[:len(carry)]
+    schema = extended(rows.select(*names).schema, "_lang string, _score double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in small_batches(batches):
-            found = [known.predict(t) for t in batch.column(len(carry)).to_pylist()]
+            found = [known.predict(t.as_py()) for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(carry))]
-                + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=[*carry, "lang_pred", "score"])
+                [*batch.columns[:len(names)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                names=[*names, "_lang", "_score"])
+
+    return rows.mapInArrow(predict, schema)
+
+
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``carry`` columns of ``docs`` (all, by default) with ``lang_pred`` and ``score`` (the posterior, 0 to 1) of every whole text.
+
+    A null text, or one without letters, or an empty model gives ``und`` and 0. Only the text is looked at. Carried columns
+    named ``lang_pred`` or ``score`` give way to the prediction. The model is broadcast; ``fit`` bounds its size.
+    """
+    carry = docs.columns if carry is None else carry
+    kept = [F.col(f"_{i}").alias(c) for i, c in enumerate(carry) if c not in ("lang_pred", "score")]
+    return _judged(docs, model, text, carry).select(*kept, F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
 
-    return docs.select(*carry, F.col(text).alias("_text_")).mapInArrow(predict, schema)
+def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known, with all their columns, whatever their names."""
+    known = _judged(docs, model, text, docs.columns).where(F.col("_lang") != UNKNOWN)
+    return known.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def is_held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -120,11 +120,12 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits
     The choice is made on ids alone; the documents are joined to it by the row's number.
     """
     columns = docs.columns
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = stored(with_fingerprint(rows, ["_row", "_doc", "doc_id"]), "marked")
-    grouped = marked.select("_row", "doc_id", "_fp").join(components_of(marked.select("doc_id", "_fp"), bits), "_fp")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc")), "rows")
+    keyed = rows.select("_row", F.col(f"_doc.`{doc_id}`").alias("doc_id"), F.col(f"_doc.`{text}`").alias("text"))
+    marked = stored(with_fingerprint(keyed, ["_row", "doc_id"]), "marked")
+    grouped = marked.join(components_of(marked.select("doc_id", "_fp"), bits), "_fp")
     first = grouped.groupBy("_group").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
-    return marked.join(first, "_row", "left_semi").select("_doc.*")
+    return rows.join(first, "_row", "left_semi").select("_doc.*")
 
 
 def hex_digits(mark: Column) -> Column:
