@@ -17,10 +17,8 @@ from penprint.llm.common import stored
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is undetermined: no text, or no letter in it."""
-    columns = docs.columns
     model = language.fit(docs.where(~language.is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
-    found = language.identify(docs.select(F.struct(*columns).alias("_doc"), "text"), model, carry=["_doc"])
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select("_doc.*")
+    return language.keep_identified(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
