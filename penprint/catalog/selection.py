@@ -4,10 +4,15 @@ Its 64 numbers stand for features ``a-00 … d-15`` in four categories. Labels 0
 are the training rows, 6 and 7 validation, the rest test, where a split is needed.
 """
 
+from functools import reduce
+from uuid import uuid4
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.catalog.base import query, r6, table
 from penprint.operators import model, select, stats
+from penprint.session import checkpoint_folder
 
 NAMES = [f"{c}-{i:02d}" for c in "abcd" for i in range(16)]
 _X = """x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS index FROM embeddings)"""
@@ -80,12 +85,20 @@ def regression_scores(spark, sf):
     return select.regression_scores(vectors(spark, sf), "label").select(F.col("index").cast("long").alias("index"), r6("score").alias("score"))
 
 
-@query(f"""WITH {_X}, {_ANOVA}, s AS (SELECT index, min(v) AS lo, max(v) AS hi FROM x GROUP BY 1),
-           k AS (SELECT index, row_number() OVER (ORDER BY index) - 1 AS place FROM (SELECT index FROM anova ORDER BY score DESC, index LIMIT 48))
-           SELECT vec_id, place AS index, round((v - lo) / (hi - lo), 6) AS value FROM x JOIN s USING (index) JOIN k USING (index)""")
+@query(f"""WITH {_X}, {_ANOVA}, {_MI},
+           s AS (SELECT index, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS b FROM x GROUP BY 1),
+           chosen AS (SELECT 'anova' AS method, index FROM (SELECT index FROM anova ORDER BY score DESC, index LIMIT 48)
+                      UNION ALL SELECT 'ig', index FROM (SELECT index FROM mi ORDER BY score DESC, index LIMIT 48)
+                      UNION ALL SELECT '', index FROM s),
+           k AS (SELECT method, index, row_number() OVER (PARTITION BY method ORDER BY index) - 1 AS place FROM chosen),
+           scaled AS (SELECT vec_id, index, unnest(['', 'minmax', 'robust']) AS scale, unnest([v, (v - lo) / (hi - lo), (v - m) / (b - a)]) AS value FROM x JOIN s USING (index))
+           SELECT scale || CASE WHEN scale <> '' AND method <> '' THEN '_' ELSE '' END || method AS variant, vec_id, place AS index, round(value, 6) AS value
+           FROM scaled JOIN k USING (index) WHERE scale <> '' OR method <> ''""")
 def selected_variant(spark, sf):
+    """All eight tables: raw, min-max and robust for either score, and the two scaled ones of all features."""
     df = vectors(spark, sf)
-    return _long(select.fit_selection(df, "label").variants(df)["minmax_anova"], "vec_id")
+    variants = select.fit_selection(df, "label").variants(df)
+    return reduce(DataFrame.unionAll, [_long(out, "vec_id").select(F.lit(name).alias("variant"), "vec_id", "index", "value") for name, out in variants.items()])
 
 
 @query(f"""WITH {_X}, s AS (SELECT index, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS b FROM x WHERE label <= 5 GROUP BY 1)
@@ -181,11 +194,23 @@ def random_search(spark, sf):
     return search.trials.select("rank", "best", "kind", r6("score").alias("score"), r6("accuracy").alias("accuracy"))
 
 
+SAVED = {}  # where the searched model of an application's tables lies
+
+
+def _likely_model(spark, sf):
+    """The best model of one search for each application and folder of tables, saved in the shared folder and loaded from there."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in SAVED:
+        path = f"{checkpoint_folder(spark)}/search-{uuid4().hex}"
+        model.save_stage(model.random_search(_task(spark, sf), "group", LIKELY, refit_with_val=True).model, path)
+        SAVED[key] = path
+    return model.load_stage(SAVED[key])
+
+
 @query()
 def predict_labels(spark, sf):
-    df = _task(spark, sf)
-    search = model.random_search(df, "group", LIKELY, refit_with_val=True)
-    return model.predict(search.model, df, ["vec_id", "__split", "group"]).select("vec_id", "__split", "group", "predicted", r6(F.get("probabilities", F.lit(0))).alias("p"))
+    found = model.predict(_likely_model(spark, sf), _task(spark, sf), ["vec_id", "__split", "group"])
+    return found.select("vec_id", "__split", "group", "predicted", r6(F.get("probabilities", F.lit(0))).alias("p"))
 
 
 @query("SELECT CAST(range AS INTEGER) AS index, 0.0 AS gradient FROM range(65)")
@@ -208,10 +233,8 @@ def logistic_gradient(spark, sf):
 @query("""SELECT vec_id, 1 AS models, true AS likeliest FROM embeddings""")
 def predictions_are_likeliest(spark, sf):
     """Whether the predicted label of each row is the one of the larger probability."""
-    df = _task(spark, sf)
-    search = model.random_search(df, "group", LIKELY)
     names = F.array(F.lit("high"), F.lit("low"))
-    found = model.predict(search.model, df, ["vec_id"])
+    found = model.predict(_likely_model(spark, sf), _task(spark, sf), ["vec_id"])
     likeliest = F.get(names, (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
     return found.groupBy("vec_id").agg(F.count("*").cast("int").alias("models"), F.bool_and(F.col("predicted") == likeliest).alias("likeliest"))
 

@@ -16,9 +16,9 @@ from penprint.functions.arrays import f1
 from penprint.operators.merge import vote_by_author
 
 
-def label_scores(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """Hits, support, predictions, precision, recall and F1 per label (shares, not percent)."""
-    pairs = df.groupBy(*by, F.col(actual).alias("_a"), F.col(predicted).alias("_p")).count()
+def label_scores(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Hits, support, predictions, precision, recall and F1 per label (shares, not percent). A row counts ``weight`` times."""
+    pairs = df.groupBy(*by, F.col(actual).alias("_a"), F.col(predicted).alias("_p")).agg((F.sum(weight) if weight else F.count("*")).alias("count"))
     n, hit = F.col("count"), F.col("_a") == F.col("_p")
     sides = F.array(
         F.struct(F.col("_a").alias("label"), F.when(hit, n).otherwise(0).alias("tp"), n.alias("support"), F.lit(0).cast("long").alias("predicted")),
@@ -59,9 +59,9 @@ def classification_report(df: DataFrame, actual: str, predicted: str, by: Sequen
     return labels.unionByName(summary).withColumns({m: F.col(m) * 100 for m in measures})
 
 
-def scheme_scores(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+def scheme_scores(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Accuracy and the micro, macro and weighted F1, one row per group."""
-    return label_scores(df, actual, predicted, by).groupBy(*by).agg(
+    return label_scores(df, actual, predicted, by, weight).groupBy(*by).agg(
         _ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
         _ratio(2 * F.sum("tp"), F.sum("predicted") + F.sum("support")).alias("f1_micro"),
         F.avg("f1_score").alias("f1_macro"),

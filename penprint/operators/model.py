@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from inspect import signature
 from itertools import product
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+import pyarrow as pa
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,7 +22,8 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penprint.operators.evaluate import regression_errors, scheme_scores
+from penprint.operators.evaluate import scheme_scores
+from penprint.operators.forest import vote_tables
 from penprint.operators.split import train_and_val
 from penprint.spec import SPLIT
 
@@ -164,11 +169,15 @@ REGRESSION_BUILDERS = {"linear": linear_regression, "rf": forest_regression}
 def random_search(
     df: DataFrame, label: str, grid: Mapping[str, Mapping[str, Sequence]], draws: int = 100, seed: int = 0, average: str = "macro",
     features: str = "features", split: str = SPLIT, refit_with_val: bool = False, builders: Mapping | None = None, task_type: str = "classification",
+    at_once: int = 4,
 ) -> Search:
     """Fit each drawn setting on train, score it on val and refit the best.
 
+    Forests that differ in the number of trees or the depth alone are fitted once, at the largest, and scored as parts of it (``forest``).
+    Up to ``at_once`` fits run at the same time, over a table in as many partitions as its size needs; one job then scores all trials.
     The cached table holds only label, split and features; rows without a label take no part. A label of val that train lacks counts as
-    an error in every score. A regression is scored by its root mean squared error, and the smallest is the best. Each trial leaves one row in the log, best first. ``features`` may be an array or a vector.
+    an error in every score. A regression is scored by its root mean squared error, and the smallest is the best. Each trial leaves one row in the log, best
+    first, with the seconds of the fit it comes from and its share of the scoring. ``features`` may be an array or a vector.
     """
     vector = F.col(features)
     if df.schema[features].dataType.typeName() == "array":
@@ -188,20 +197,15 @@ def random_search(
         train = final = indexer.transform(train.drop("label_index"))
     first = train.select("features").first()
     size = {"rows": train.count(), "inputs": len(first["features"]) if first else 0, "labels": len(indexer.labels) if indexer else 1}
-    log = []
-    for trial in sampled_trials(grid, draws, seed):
-        begin = time.monotonic()
-        model = _build(builders, trial, size).fit(train)
-        fitted = time.monotonic()
-        scored = model.transform(val)
-        if regression:
-            errors = regression_errors(scored, "label_index", "prediction").first()
-            scores = (-float(errors["rmse"]), float(errors["rmse"]), float(errors["mse"]))
-        else:
-            found = scheme_scores(scored, "label_index", "prediction").first()
-            scores = (float(found[f"f1_{average}"]), float(found[f"f1_{average}"]), float(found["accuracy"]))
-        log.append((scores[0], (trial["kind"], {k: str(v) for k, v in trial.items() if k != "kind"}, *scores[1:],
-                                fitted - begin, time.monotonic() - fitted), trial))
+    trials = sampled_trials(grid, draws, seed)
+    families = _families(trials, builders)
+    fitted = _fit_families(df.sparkSession, families, builders, size, _in_partitions(train, size), at_once)
+    begin = time.monotonic()
+    scores = _regression_scores(fitted, trials, val) if regression else _classification_scores(fitted, trials, val, average)
+    share = (time.monotonic() - begin) / len(trials)
+    seconds = {i: taken for _, taken, family in fitted for i in family.trials}
+    log = [(-scores[i][0] if regression else scores[i][0], (t["kind"], {k: str(v) for k, v in t.items() if k != "kind"}, *scores[i], seconds[i], share), t)
+           for i, t in enumerate(trials)]
     best = max(log, key=lambda row: row[0])[-1]
     if refit_with_val and not regression:
         both = train_and_val(coded.drop("label_index"), split)
@@ -209,6 +213,7 @@ def random_search(
         final = indexer.transform(both)
         size |= {"labels": len(indexer.labels)}
     estimator = _build(builders, best, size)
+    final = _in_partitions(final, size)
     stages = [estimator.setPredictionCol("predicted").fit(final)] if regression else [
         estimator.fit(final), IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)]
     coded.unpersist()
@@ -220,6 +225,110 @@ def random_search(
     return Search(PipelineModel(stages), trials, best)
 
 
+@dataclass(frozen=True)
+class Family:
+    """Trials by number that one fit, of ``setting``, serves."""
+
+    setting: dict
+    trials: list[int]
+    nested: bool = False
+
+
+def _families(trials: Sequence[dict], builders: Mapping) -> list[Family]:
+    """Forests of this module that differ in trees and depth alone are one family, of the most trees and the greatest depth. The dearest come first."""
+    out, forests = [], {}
+    for i, trial in enumerate(trials):
+        if builders[trial["kind"]] is random_forest:
+            forests.setdefault(tuple(sorted((k, v) for k, v in trial.items() if k not in ("trees", "depth"))), []).append(i)
+        else:
+            out.append(Family(trial, [i]))
+    usual = {k: signature(random_forest).parameters[k].default for k in ("trees", "depth")}
+    for numbers in forests.values():
+        own = [usual | trials[i] for i in numbers]
+        depths = [t["depth"] for t in own]
+        setting = own[0] | {"trees": max(t["trees"] for t in own), "depth": None if None in depths else max(depths)}
+        out.insert(0, Family(setting, numbers, nested=True))
+    return out
+
+
+def _in_partitions(rows: DataFrame, size: Mapping) -> DataFrame:
+    """``rows`` in one partition for each 64 MB of features, if they lie in more."""
+    return rows.coalesce(1 + size["rows"] * (size["inputs"] + 2) * 8 // (64 << 20))
+
+
+def _fit_families(spark, families: Sequence[Family], builders: Mapping, size: Mapping, train: DataFrame, at_once: int) -> list[tuple]:
+    """(model, seconds) of every family; a bounded number of fits at the same time, each in a scheduler pool of its own."""
+    train = train.persist()
+    train.count()
+
+    def fit(number: int) -> tuple[Model, float]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{number}")
+        begin = time.monotonic()
+        model = _build(builders, families[number].setting, size).fit(train)
+        return model, time.monotonic() - begin
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        out = list(pool.map(inheritable_thread_target(spark)(fit), range(len(families))))
+    train.unpersist()
+    return [(model, taken, family) for (model, taken), family in zip(out, families)]
+
+
+def trial_counts(fitted: Sequence[tuple], trials: Sequence[dict], rows: DataFrame, label: str = "label_index") -> DataFrame:
+    """``trial``, actual ``label``, ``prediction`` and ``n``, the rows that have them, of all trials in one pass over ``rows``.
+
+    Every model adds a column to the row; forests add the leaves it falls into, from which all their parts are told. Counts are added up in the task.
+    """
+    spark = rows.sparkSession
+    plain = [(model, family.trials[0]) for model, _, family in fitted if not family.nested]
+    forests = []
+    seen = rows.select(F.col(label).alias("_label"), "features")
+    for model, number in plain:
+        seen = model.transform(seen).select(*seen.columns, F.col("prediction").alias(f"_p{number}"))
+    for place, (model, _, family) in enumerate(f for f in fitted if f[2].nested):
+        settings = [(i, trials[i].get("trees", family.setting["trees"]), trials[i].get("depth", family.setting["depth"])) for i in family.trials]
+        votes = vote_tables(model, [depth for *_, depth in settings], spark)
+        forests.append((settings, spark.sparkContext.broadcast(votes)))
+        seen = model.copy({model.leafCol: "_leaf"}).transform(seen).select(*seen.columns, vector_to_array("_leaf").cast("array<int>").alias(f"_f{place}"))
+    numbers = [number for _, number in plain]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                actual = part.column(0).to_numpy(zero_copy_only=False)
+                for place, number in enumerate(numbers):
+                    found.update((number, a, p) for a, p in zip(actual.tolist(), part.column(1 + place).to_pylist()))
+                for place, (settings, votes) in enumerate(forests):
+                    leaves = part.column(1 + len(numbers) + place).flatten().to_numpy(zero_copy_only=False).reshape(len(actual), -1)
+                    for depth in dict.fromkeys(d for *_, d in settings):
+                        own = [(i, trees) for i, trees, d in settings if d == depth]
+                        said = votes.value.predictions(leaves, depth, [trees for _, trees in own])
+                        for column, (number, _) in enumerate(own):
+                            found.update((number, a, float(p)) for a, p in zip(actual.tolist(), said[:, column].tolist()))
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.float64()), pa.array([k[2] for k in keys], pa.float64()),
+             pa.array(list(found.values()), pa.int64())], names=["trial", label, "prediction", "n"])
+
+    counted = seen.drop("features").mapInArrow(count, f"trial int, `{label}` double, prediction double, n long")
+    return counted.groupBy("trial", label, "prediction").agg(F.sum("n").alias("n"))
+
+
+def _classification_scores(fitted: Sequence[tuple], trials: Sequence[dict], val: DataFrame, average: str) -> dict[int, tuple]:
+    rows = scheme_scores(trial_counts(fitted, trials, val), "label_index", "prediction", ["trial"], "n").collect()
+    return dict.fromkeys(range(len(trials)), (0.0, 0.0)) | {row["trial"]: (float(row[f"f1_{average}"]), float(row["accuracy"])) for row in rows}
+
+
+def _regression_scores(fitted: Sequence[tuple], trials: Sequence[dict], val: DataFrame) -> dict[int, tuple]:
+    """Root mean squared and mean squared error of every trial, in one pass."""
+    seen = val.select(F.col("label_index").alias("_label"), "features")
+    for model, _, family in fitted:
+        seen = model.transform(seen).select(*seen.columns, F.col("prediction").alias(f"_p{family.trials[0]}"))
+    row = seen.agg(*[F.avg((F.col(f"_p{i}") - F.col("_label")) ** 2).alias(str(i)) for i in range(len(trials))]).first()
+    return {i: (float(row[str(i)]) ** 0.5, float(row[str(i)])) for i in range(len(trials))}
+
+
 def _build(builders: Mapping, trial: Mapping, size: Mapping) -> Estimator:
     """An estimator for a trial; what it wants to know of the data is given by name."""
     build = builders[trial["kind"]]

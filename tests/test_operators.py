@@ -7,11 +7,14 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from penprint.functions import lexicon as lx
+from penprint.functions import quantiles
 from penprint.functions.order import first_per_group, global_rank, grouped_quantiles, hash_rank, keys_at, order_key
 from penprint.operators import curate, ensemble, evaluate, features, merge, model, select, split, stats
+from penprint.operators.forest import vote_tables
 
 
 def corpus(spark, n=3000, authors=30, seed=1):
@@ -46,6 +49,28 @@ def test_exact_quantiles(spark, accuracy):
             assert got[g, p] == pytest.approx(np.quantile(vs, p), abs=1e-9), (g, p)
 
 
+@pytest.mark.parametrize("whole", [1 << 18, 50, 0])
+def test_quantiles_by_radix(spark, monkeypatch, whole):
+    """Every place of an array against numpy: ties, one value, signs, tiny and huge numbers, gaps, infinities; with and without whole counts."""
+    monkeypatch.setattr(quantiles, "WHOLE", whole)
+    rng = random.Random(whole)
+    kinds = [lambda: rng.gauss(0, 1), lambda: float(rng.randrange(5)), lambda: 7.5, lambda: -(10 ** rng.uniform(-300, 300)), lambda: rng.choice([0.0, -0.0, 1e-320, float("inf"), -5.0]),
+             lambda: rng.choice([None, 3.0, -3.0]), lambda: 1 + rng.random() * 1e-13]
+    rows = [[k() for k in kinds] for _ in range(900)]
+    df = spark.createDataFrame([(r,) for r in rows] + [(None,), ([None] * 7,), ([2.0],)], "f array<double>").repartition(5)
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.77, 0.999, 1.0]
+    got = quantiles.array_quantiles(df, F.col("f"), probabilities)
+    rows.append([2.0] + [None] * 6)
+    for place in range(7):
+        own = sorted(r[place] for r in rows if r[place] is not None)
+        for p, value in zip(probabilities, got[place].tolist()):
+            at = p * (len(own) - 1)
+            a, b = own[math.floor(at)], own[math.ceil(at)]
+            want = a if a == b else a + (at - math.floor(at)) * (b - a)
+            assert value == pytest.approx(want, rel=1e-12, abs=0) or value == want or (math.isnan(value) and math.isnan(want)), (place, p)
+    assert quantiles.array_quantiles(df.limit(0), F.col("f"), [0.5]).shape == (0, 1)
+
+
 def test_first_per_group_beyond_the_limit_of_spark(spark):
     rows, df = corpus(spark)
     got = first_per_group(df, ["author"], [F.col("ts"), F.col("id")], 1001, F.col("id")).groupBy("author").count().collect()
@@ -113,7 +138,24 @@ def test_membership_and_groups(spark):
 def test_topics(spark):
     topics = spark.createDataFrame([("sanidad publica", None), (None, "covid")], "a string, b string")
     df = spark.createDataFrame([("SanidadPublica ya",), ("sanidad  publica",), ("COVID",), ("otra",)], "t string")
-    assert [r[0] for r in curate.flag_topic(df, "t", topics).select("is_relevant").collect()] == [True, False, True, False]
+    assert {r["t"]: r["is_relevant"] for r in curate.flag_topic(df, "t", topics).collect()} == {
+        "SanidadPublica ya": True, "sanidad  publica": False, "COVID": True, "otra": False}
+
+
+def test_topics_of_all_kinds(spark):
+    """Every text against every cell, one by one."""
+    import re
+
+    cells = ["covid", "a", "ñu", "two words", "three small words", "x+y?", "(ab|cd) ef", "end$", "İstanbul", "ΟΔΟΣ", "  ", "#tag", "twice", "twice"]
+    texts = ["anticovid19", "COVID", "c o v i d", "ÑU", "Two\twords", "twowords", "two  words", "THREE smallWORDS", "xxy", "x+y", "cdEF", "ab ef", "the END", "end.", "istanbul",
+             "οδος", "οδοσ", "#TAGged", "bbb", "", None, "bbb", "none of it but twi ce", "b" * 5000 + "two words"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").selectExpr("*", "'x' AS string", "1 AS topic")
+    for some in (cells[1:], [c for c in cells if c not in ("a", "  ")], ["covid"], ["x+y?"], []):
+        topics = spark.createDataFrame([(c, None) for c in some] + [(None, None)], "a string, `b.c` string")
+        got = {r["id"]: r["is_relevant"] for r in curate.flag_topic(df, "t", topics).collect()}
+        patterns = [re.compile(c.replace(" ", r"\s?"), re.I) for c in some if c != "İstanbul"]
+        want = {i: None if t is None else any(p.search(t) for p in patterns) or ("İstanbul" in some and t == "istanbul") for i, t in enumerate(texts)}
+        assert got == want, some
 
 
 # --- Splits -----------------------------------------------------------------------------------
@@ -269,6 +311,58 @@ def test_search_over_regressions_and_networks(spark):
     assert network.trials.first()["accuracy"] > 0.9
 
 
+def _noisy(spark, labels=3):
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):
+        x = [rng.gauss(0, 1) for _ in range(6)]
+        rows.append((i, float(int(abs(3 * x[0] + 2 * x[1] * x[2] + rng.gauss(0, 1))) % labels), ("train", "val")[i % 3 == 0], x))
+    return spark.createDataFrame(rows, "id long, label_index double, __split string, features array<double>").withColumn("features", array_to_vector("features"))
+
+
+def _said(votes, model_, rows, depth, size):
+    leaves = model_.copy({model_.leafCol: "leaf"}).transform(rows).select("id", vector_to_array("leaf").cast("array<int>").alias("leaf")).orderBy("id").collect()
+    return votes.predictions(np.array([r["leaf"] for r in leaves]), depth, [size])[:, 0].tolist()
+
+
+def test_parts_of_a_forest(spark):
+    """All trees give the model's own predictions, the first ones theirs, and cut trees those of a forest fitted to that depth."""
+    rows = _noisy(spark)
+    full = model.random_forest(trees=12, depth=None, min_leaf=2, max_features="all", seed=4).fit(rows)
+    votes = vote_tables(full, [None, 3, 1, 40], spark)
+    whole = [r["prediction"] for r in full.transform(rows).orderBy("id").collect()]
+    assert _said(votes, full, rows, None, 12) == whole == _said(votes, full, rows, 40, 12)
+    shares = np.zeros((240, 3))
+    for size, tree in enumerate(full.trees[:7], 1):
+        shares += np.array([r["probability"].toArray() for r in tree.transform(rows).orderBy("id").collect()])
+        assert _said(votes, full, rows, None, size) == shares.argmax(1).tolist()
+    for depth in (1, 3):
+        # With all features at every node, a tree of the same draw is the same down to its depth.
+        fitted = model.random_forest(trees=12, depth=depth, min_leaf=2, max_features="all", seed=4).fit(rows)
+        assert _said(votes, full, rows, depth, 12) == [r["prediction"] for r in fitted.transform(rows).orderBy("id").collect()]
+
+
+def test_search_of_nested_forests(spark):
+    """All settings are in the log, with scores of the parts of three forests, whatever runs at the same time."""
+    rows = _noisy(spark).withColumn("side", F.concat(F.lit("s"), F.col("label_index").cast("int").cast("string")))
+    grid = {"lr": {"fit_intercept": [True, False], "max_iter": [30]}, "rf": {"trees": [4, 9, 15], "depth": [2, None], "min_leaf": [1, 2, 4]}, "svm": {"c": [1.0], "max_iter": [10]}}
+    logs = []
+    for at_once in (1, 4):
+        search = model.random_search(rows.drop("label_index"), "side", grid, at_once=at_once)
+        logs.append(sorted((r["kind"], tuple(sorted(r["params"].items())), round(r["score"], 9), round(r["accuracy"], 9)) for r in search.trials.collect()))
+    assert logs[0] == logs[1] and len(logs[0]) == 21
+    train, val = (rows.where(F.col("__split") == name) for name in ("train", "val"))
+    forest = model.random_forest(trees=15, depth=None, min_leaf=2).fit(train.coalesce(1))
+    votes = vote_tables(forest, [2, None], spark)
+    actual = [r["label_index"] for r in val.orderBy("id").collect()]
+    for depth in (2, None):
+        for size in (4, 9, 15):
+            right = sum(a == b for a, b in zip(actual, _said(votes, forest, val, depth, size))) / len(actual)
+            params = {"trees": str(size), "depth": str(depth), "min_leaf": "2"}
+            assert [round(a, 6) for kind, p, _, a in logs[0] if dict(p) == params] == [round(right, 6)]
+    assert set(model.predict(search.model, rows, ["id"]).toPandas()["predicted"]) <= {"s0", "s1", "s2"}
+
+
 def test_trees_deeper_than_spark_goes_are_an_error():
     with pytest.raises(ValueError):
         model.random_forest(depth=35)
@@ -343,7 +437,7 @@ def test_merged_experiment_and_saving(spark, tmp_path):
 def test_search_queries_try_the_whole_grid(spark, monkeypatch):
     from inspect import signature
 
-    from penprint.catalog import QUERIES
+    from penprint.catalog import QUERIES, selection
 
     class Taken(Exception):
         pass
@@ -360,6 +454,7 @@ def test_search_queries_try_the_whole_grid(spark, monkeypatch):
             QUERIES[name](spark, "/root/testdata/sf0.001")
         return told.value.args[0]
 
+    monkeypatch.setattr(selection, "SAVED", {})
     monkeypatch.setattr(model, "random_search", taken(model.random_search))
     monkeypatch.setattr(model, "dense_network", taken(model.dense_network))
     for name, settings in {"random_search": 33, "predict_labels": 32, "predictions_are_likeliest": 32, "cross_corpus_scores": 33, "experiment_report": 33}.items():

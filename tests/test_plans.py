@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from penprint.catalog import QUERIES
 from penprint.functions import text as t
+from penprint.functions.order import FREQUENT, split_join
 from penprint.operators import curate
+from penprint.session import stored
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,6 +41,35 @@ def test_a_frequent_author_is_limited_before_it_is_gathered(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_only_rows_of_frequent_keys_are_repeated(spark):
+    """A third of the rows has one key and the rest 2,000: the side with one row per key grows by the slices of that one."""
+    rows = spark.range(30000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 2000).alias("key"))
+    counts = stored(rows.groupBy("key").count())
+    joined = split_join(rows, counts.select("key", (F.col("key") + 1).alias("next")), ["key"], counts)
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert joined.count() == 30000 and joined.where("next != key + 1").count() == 0
+    frequent = counts.where(F.col("count") * FREQUENT > 30000)
+    assert [r["key"] for r in frequent.collect()] == [-1]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = split_join(rows, counts.select("key"), ["key"], counts)
+        again.collect()
+        table = again._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    made = []
+
+    def walk(node):
+        if node.nodeName().startswith("Generate"):
+            made.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(table)
+    assert made and all(n <= counts.count() + tasks for n in made), made
+
+
 def test_splitting_needs_no_shuffle(spark):
     assert "Exchange" not in plan(QUERIES["random_split"](spark, FOLDER))
 
@@ -49,7 +80,7 @@ def test_only_needed_columns_are_read(spark):
 
 
 def test_no_pairs_without_a_key(spark):
-    heavy = {"random_search", "predict_labels", "dense_network", "cross_corpus_scores", "experiment_report", "compile_corpus", "reduce_svd", "char_tfidf",
+    heavy = {"random_search", "predict_labels", "predictions_are_likeliest", "dense_network", "cross_corpus_scores", "experiment_report", "compile_corpus", "reduce_svd", "char_tfidf",
              "detect_language", "word_tfidf", "top_terms"}
     for name, query in QUERIES.items():
         if name not in heavy:
@@ -57,6 +88,14 @@ def test_no_pairs_without_a_key(spark):
             assert "CartesianProduct" not in shown and "NestedLoop" not in shown, name
 
 
+def test_plan_size_does_not_follow_the_topics(spark):
+    from penprint.operators.topics import flag_topic
+
+    texts = spark.range(5).selectExpr("id", "concat('text ', id) AS t")
+    sizes = [len(plan(flag_topic(texts, "t", spark.range(n).selectExpr("concat('topic ', id) AS a")))) for n in (10, 3000)]
+    assert abs(sizes[0] - sizes[1]) < 200
+
+
 def test_filters_are_pushed(spark):
     shown = plan(curate.keep_language(spark.read.parquet(f"{FOLDER}/documents.parquet"), "lang").select("doc_id"))
     assert "EqualTo(lang,es)" in shown
