@@ -84,11 +84,11 @@ def fit_vocabulary(spark, sf):
 
 
 @query(f"""WITH {_TOKENS}, m AS (SELECT max(len(tokens)) AS maxlen FROM t),
-           s AS (SELECT doc_id, string_agg(CAST(CASE WHEN index < 500 THEN index ELSE 1 END AS VARCHAR), ',' ORDER BY place) AS seq, count(*) AS n FROM u JOIN vocabulary USING (token) GROUP BY 1)
+           s AS (SELECT doc_id, string_agg(CAST(index AS VARCHAR), ',' ORDER BY place) AS seq, count(*) AS n FROM u JOIN vocabulary USING (token) GROUP BY 1)
            SELECT t.doc_id, CAST(maxlen - coalesce(n, 0) AS BIGINT) AS zeros, coalesce(seq, '') AS seq FROM t CROSS JOIN m LEFT JOIN s USING (doc_id)""")
 def to_sequences(spark, sf):
     documents = texts(spark, sf)
-    sequences = features.to_sequences(documents, "doc_id", "text", features.fit_vocabulary(documents, "text", num_words=500))
+    sequences = features.to_sequences(documents, "doc_id", "text", features.fit_vocabulary(documents, "text"))
     used = F.filter("tokens", lambda i: i != 0)
     return sequences.select("doc_id", (F.size("tokens") - F.size(used)).cast("long").alias("zeros"), F.array_join(used, ",").alias("seq"))
 
@@ -106,21 +106,28 @@ _PARTS = """t AS (SELECT p_partkey AS doc_id, string_split(lower(p_name || ' ' |
     vocabulary AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS index FROM u GROUP BY 1)"""
 
 
-@query(f"""WITH {_PARTS}, {_VECTORS} SELECT index, token, round(coalesce(vector[1], 0)::DOUBLE, 6) AS x1, round(coalesce(vector[8], 0)::DOUBLE, 6) AS x8
-           FROM vocabulary LEFT JOIN vectors USING (token)""")
+def _components(df, vector, *keys):
+    return df.select(*keys, F.posexplode(vector).alias("component", "value")).select(*keys, (F.col("component") + 1).cast("long").alias("component"), r6("value").alias("value"))
+
+
+@query(f"""WITH {_PARTS}, {_VECTORS} SELECT index, token, i AS component, round(coalesce(vector[i], 0)::DOUBLE, 6) AS value
+           FROM vocabulary LEFT JOIN vectors USING (token), range(1, 65) AS r(i)""")
 def embedding_lookup(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    out = features.embedding_lookup(features.fit_vocabulary(parts, "text").table, _word_vectors(spark, sf), 8)
-    return out.select("index", "token", r6(F.get("vector", F.lit(0))).alias("x1"), r6(F.get("vector", F.lit(7))).alias("x8"))
+    out = features.embedding_lookup(features.fit_vocabulary(parts, "text").table, _word_vectors(spark, sf), 64)
+    return _components(out, "vector", "index", "token")
 
 
-@query(f"""WITH {_PARTS}, {_VECTORS}, e AS (SELECT token, list_transform(vector[1:8], lambda x: x::DOUBLE) AS v FROM vectors),
-           k AS (SELECT doc_id, v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS x1, v[8] / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS x8 FROM u JOIN e USING (token))
-           SELECT t.doc_id, round(coalesce(avg(x1), 0), 6) AS x1, round(coalesce(avg(x8), 0), 6) AS x8 FROM t LEFT JOIN k USING (doc_id) GROUP BY 1""")
+@query(f"""WITH {_PARTS}, {_VECTORS}, e AS (SELECT token, list_transform(vector, lambda x: x::DOUBLE) AS v FROM vectors),
+           k AS (SELECT doc_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM u JOIN e USING (token)),
+           l AS (SELECT doc_id, unnest(v) AS x, unnest(range(1, 65)) AS component FROM k),
+           m AS (SELECT doc_id, component, avg(x) AS x FROM l GROUP BY ALL)
+           SELECT t.doc_id, r.component, round(coalesce(x, 0), 6) AS value
+           FROM t CROSS JOIN range(1, 65) AS r(component) LEFT JOIN m ON m.doc_id = t.doc_id AND m.component = r.component""")
 def sentence_vectors(spark, sf):
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    out = features.sentence_vectors(parts, "doc_id", "text", _word_vectors(spark, sf), 8)
-    return out.select("doc_id", r6(F.get("features", F.lit(0))).alias("x1"), r6(F.get("features", F.lit(7))).alias("x8"))
+    out = features.sentence_vectors(parts, "doc_id", "text", _word_vectors(spark, sf), 64)
+    return _components(out, "features", "doc_id")
 
 
 @query("""SELECT l_suppkey, round(sum(l_discount * (l_returnflag <> 'N')::INT) / greatest(sum((l_returnflag <> 'N')::INT), 1e-9), 6) AS x1,

@@ -13,15 +13,17 @@ def random_split(spark, sf):
     return split.random_split(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
+_FOLDS = range(1, 11)
+
+
 @query(f"""WITH o AS (SELECT o_orderkey, {SPLIT_SQL} AS s FROM orders),
-                p AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY md5('1:' || o_orderkey)) - 1 AS i1,
-                             row_number() OVER (ORDER BY md5('2:' || o_orderkey)) - 1 AS i2 FROM o WHERE s IN ('train', 'val'))
-           SELECT o_orderkey, CASE WHEN i1 < floor((0.6::DOUBLE / (0.6::DOUBLE + 0.2::DOUBLE)) * n) THEN 'train' ELSE 'val' END AS __split_fold_1,
-                  CASE WHEN i2 < floor((0.6::DOUBLE / (0.6::DOUBLE + 0.2::DOUBLE)) * n) THEN 'train' ELSE 'val' END AS __split_fold_2 FROM p
-           UNION ALL SELECT o_orderkey, 'test', 'test' FROM o WHERE s = 'test'""")
+                p AS (SELECT *, count(*) OVER () AS n, {", ".join(f"row_number() OVER (ORDER BY md5('{i}:' || o_orderkey)) - 1 AS i{i}" for i in _FOLDS)}
+                      FROM o WHERE s IN ('train', 'val'))
+           SELECT o_orderkey, {", ".join(f"CASE WHEN i{i} < floor((0.6::DOUBLE / (0.6::DOUBLE + 0.2::DOUBLE)) * n) THEN 'train' ELSE 'val' END AS __split_fold_{i}" for i in _FOLDS)}
+           FROM p UNION ALL SELECT o_orderkey, {", ".join(["'test'"] * 10)} FROM o WHERE s = 'test'""")
 def repeated_folds(spark, sf):
     orders = orders_with_split(spark, sf).select("o_orderkey", "fixed_split")
-    return split.repeated_folds(orders, "o_orderkey", k=2, split="fixed_split").drop("fixed_split")
+    return split.repeated_folds(orders, "o_orderkey", split="fixed_split").drop("fixed_split")
 
 
 @query("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)

@@ -18,6 +18,7 @@ from penprint.session import durable, stored
 BUCKET_DIGITS = 4
 BUCKETS = 16**BUCKET_DIGITS
 SLICES = 256
+FREQUENT = 1000
 
 
 def order_key(seed: int | str, *ids: str | Column) -> Column:
@@ -87,14 +88,19 @@ def first_per_group(
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
-def sliced_join(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", slices: int = 16) -> DataFrame:
-    """Join a table with one row per key, so that rows of a frequent key are dealt over ``slices`` tasks.
+def split_join(df: DataFrame, table: DataFrame, keys: Sequence[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """Join a table with one row per key, so that rows of a frequent key are dealt over as many tasks as its share of all rows asks for.
 
-    Rows are sliced by the partition they are in; the table is repeated for each slice. What follows can still combine or
-    limit the rows of a key inside a task before they are brought together.
+    ``counts``, a stored table, has the keys and the ``count`` of their rows in ``df``. A key with more than one row in ``FREQUENT`` is
+    frequent, so fewer than that many are, and their names are broadcast. Only rows of ``table`` with such keys are repeated, once for each slice; rows of ``df`` are sliced
+    by the partition they are in. What follows can still combine or limit the rows of a key inside a task before they are brought together.
     """
-    each = table.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
+    tasks = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.col("count") / counts.agg(F.sum("count")).scalar()
+    frequent = F.broadcast(counts.where(share > 1 / FREQUENT).select(*keys, F.ceil(share * tasks).cast("int").alias("_slices")))
+    slices = F.coalesce("_slices", F.lit(1))
+    each = table.join(frequent, list(keys), "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
+    sliced = df.join(frequent, list(keys), "left").withColumn("_slice", F.pmod(F.spark_partition_id(), slices)).drop("_slices")
     return sliced.join(each, [*keys, "_slice"], how).drop("_slice")
 
 

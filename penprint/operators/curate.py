@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.functions import lexicon as lx
-from penprint.functions.order import first_per_group, hash_rank, order_key, sliced_join
+from penprint.functions.order import first_per_group, hash_rank, order_key, split_join
 from penprint.functions.text import word_count
+from penprint.operators.topics import flag_topic
+from penprint.session import stored
 from penprint.spec import SPLIT, SPLITS, TaskSpec
 
 
@@ -51,28 +53,11 @@ def keep_language(df: DataFrame, language_column: str, language: str = "es") ->
 def min_documents(df: DataFrame, author: str, n: int = lx.MIN_DOCUMENTS) -> DataFrame:
     """Keep authors with at least ``n`` documents.
 
-    Counting combines on the map side; the join sends author names around, or deals the documents in slices of their
-    authors where there are too many names, so no task gets all documents of an author.
+    Counting combines on the map side; the join sends author names around, or deals the documents of frequent authors in slices
+    where there are too many names, so no task gets all documents of an author.
     """
-    kept = df.groupBy(author).count().where(F.col("count") >= n).select(author)
-    return sliced_join(df, kept, [author], "left_semi")
-
-
-def topic_pattern(topics: DataFrame) -> list[str]:
-    """The non-null cells of a topic table as a few case-blind patterns.
-
-    Cells are pattern text and a blank in them is optional. Each pattern takes
-    500 cells; all cells are used.
-    """
-    cells = [row[name] for name in topics.columns for row in topics.where(F.col(name).isNotNull()).select(name).collect()]
-    cells = [cell.replace(" ", r"\s?") for cell in cells]
-    return ["(?iu)" + "|".join(cells[i : i + 500]) for i in range(0, len(cells), 500)]
-
-
-def flag_topic(df: DataFrame, text: str, topics: DataFrame, name: str = "is_relevant") -> DataFrame:
-    """Flag texts that mention any topic."""
-    hits = [F.col(text).rlike(p) for p in topic_pattern(topics)]
-    return df.withColumn(name, reduce(lambda a, b: a | b, hits, F.lit(False)))
+    counts = stored(df.groupBy(author).count().where(F.col("count") >= n))
+    return split_join(df, counts.select(author), [author], counts, "left_semi")
 
 
 def bin_range(
@@ -213,8 +198,9 @@ def mask_handles(df: DataFrame, doc_id: str, text: str, masks: DataFrame, accoun
     tagged = df.where(mentioned).withColumn("_handles", handles)
     # Accounts that differ only in case share the smallest of their masks, in every run.
     lookup = masks.groupBy(F.lower(account).alias("_handle")).agg(F.min(mask).alias("_mask"))
+    mentions = stored(tagged.select(doc_id, F.explode(F.array_distinct(F.transform("_handles", lambda h: F.lower(h)))).alias("_handle")))
     found = (
-        sliced_join(tagged.select(doc_id, F.explode(F.array_distinct(F.transform("_handles", lambda h: F.lower(h)))).alias("_handle")), lookup, ["_handle"])
+        split_join(mentions, lookup, ["_handle"], stored(mentions.groupBy("_handle").count()))
         .groupBy(doc_id)
         .agg(F.map_from_entries(F.collect_list(F.struct("_handle", "_mask"))).alias("_masks"))
     )

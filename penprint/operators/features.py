@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penprint.functions import lexicon as lx
-from penprint.functions.order import first_per_group, global_rank
+from penprint.functions.order import first_per_group, global_rank, split_join
 from penprint.functions.tokens import characters, term_counts, vocabulary_tokens, with_ngrams, words
 from penprint.session import stored
 
@@ -223,8 +223,8 @@ def fit_vocabulary(df: DataFrame, text: str, num_words: int | None = None) -> Vo
 def to_sequences(df: DataFrame, doc_id: str, text: str, vocabulary: Vocabulary, name: str = "tokens") -> DataFrame:
     """Token indexes of each document, zeros in front up to the training length, longer ones cut in front.
 
-    Only the tokens that will be kept are looked up. With ``num_words`` the
-    lookup table is bounded and broadcast; otherwise Spark decides by its size.
+    Only the tokens that will be kept are looked up. With ``num_words`` the lookup table is bounded and broadcast. With all words it is joined
+    by its size, and the occurrences of words that are frequent in the vocabulary are dealt over many tasks.
     """
     tokens = vocabulary_tokens(F.coalesce(F.col(text), F.lit("")))
     maxlen = vocabulary.maxlen
@@ -232,12 +232,14 @@ def to_sequences(df: DataFrame, doc_id: str, text: str, vocabulary: Vocabulary,
         doc_id, F.when(F.size("_all") > maxlen, F.slice("_all", -maxlen, maxlen)).otherwise(F.col("_all")).alias("_kept")
     )
     known = vocabulary.table.select("token", "index")
+    placed = tail.select(doc_id, F.posexplode_outer("_kept").alias("_at", "token"))
     if vocabulary.num_words is not None:
-        known = F.broadcast(known.where(F.col("index") < vocabulary.num_words))
+        looked_up = placed.join(F.broadcast(known.where(F.col("index") < vocabulary.num_words)), "token", "left")
+    else:
+        words = stored(vocabulary.table.select("token", "index", "count"))
+        looked_up = split_join(placed, words.select("token", "index"), ["token"], words.select("token", "count"), "left")
     found = (
-        tail.select(doc_id, F.posexplode_outer("_kept").alias("_at", "token"))
-        .join(known, "token", "left")
-        .groupBy(doc_id)
+        looked_up.groupBy(doc_id)
         .agg(F.array_sort(F.collect_list(F.when(
             F.col("_at").isNotNull(), F.struct("_at", F.coalesce("index", F.lit(OUT_OF_VOCABULARY)).cast("int").alias("i"))
         ))).alias("_found"))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from penprint.functions.arrays import name_category, row_mean
 from penprint.functions.order import grouped_quantiles
+from penprint.functions.quantiles import array_quantiles, feature_matrix
 
 PERCENTILE = 75
 
@@ -55,12 +61,14 @@ def fit_minmax(train: DataFrame, features: str = "features") -> Scaler:
 
 def fit_robust(train: DataFrame, features: str = "features", exact: bool = True) -> Scaler:
     """Centre on the median and divide by the interquartile range, or by 1 where that is 0."""
-    long = train.select(F.posexplode(features).alias("index", "value"))
-    rows = grouped_quantiles(long, ["index"], "value", [0.25, 0.5, 0.75], exact).collect()
-    at = {(r["index"], r["probability"]): r["quantile"] for r in rows}
-    width = max(i for i, _ in at) + 1
-    spread = [at[i, 0.75] - at[i, 0.25] for i in range(width)]
-    return Scaler([at[i, 0.5] for i in range(width)], [s if s != 0 else 1.0 for s in spread])
+    if exact:
+        found = array_quantiles(train, F.col(features), [0.25, 0.5, 0.75])
+    else:
+        long = train.select(F.posexplode(features).alias("index", "value"))
+        rows = grouped_quantiles(long, ["index"], "value", [0.25, 0.5, 0.75], exact).orderBy("index", "probability").collect()
+        found = np.array([r["quantile"] for r in rows]).reshape(-1, 3)
+    low, middle, high = found.T.tolist()
+    return Scaler(middle, [b - a if b != a else 1.0 for a, b in zip(low, high)])
 
 
 def varying_features(train: DataFrame, features: str = "features") -> list[int]:
@@ -100,18 +108,35 @@ def mutual_information(df: DataFrame, label: str, features: str = "features", bi
     """Mutual information of each feature, cut into quantile bins, with the label.
 
     A continuous label is cut as well when ``label_bins`` is given. Edges are exact quantiles, the same in every run and
-    whatever the partitioning. Counts of (feature, bin, label) combine on the map side; the bin edges, ``bins - 1``
-    numbers per feature, are broadcast.
+    whatever the partitioning. Counts of (feature, bin, label) are added up in the tasks, so no feature of a row is shuffled; the bin edges, ``bins - 1``
+    numbers per feature, go to the tasks. A missing feature is in the lowest bin.
     """
     rows = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_label"), F.col(features).cast("array<double>").alias("_f"))
     if label_bins:
-        cuts = grouped_quantiles(rows, [], "_label", _inner(label_bins)).orderBy("probability").collect()
-        rows = rows.withColumn("_label", sum(((F.col("_label") > r["quantile"]).cast("int") for r in cuts), F.lit(0)))
-    long = rows.select("_label", F.posexplode("_f").alias("index", "value"))
-    edges = grouped_quantiles(long, ["index"], "value", _inner(bins)).groupBy("index").agg(F.sort_array(F.collect_list("quantile")).alias("_edges"))
+        cuts = array_quantiles(rows, F.array(F.col("_label").cast("double")), _inner(label_bins)).reshape(-1)
+        rows = rows.withColumn("_label", sum(((F.col("_label") > float(cut)).cast("int") for cut in cuts), F.lit(0)))
+    edges = array_quantiles(rows, F.col("_f"), _inner(bins))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+            for start, values, known in feature_matrix(batch, 1):
+                own = code[start:start + len(values)]
+                for index in range(values.shape[1]):
+                    bin_ = np.where(known[:, index], np.searchsorted(edges[index], values[:, index]), 0)
+                    cells, counts = np.unique(own * bins + bin_, return_counts=True)
+                    for cell, n in zip(cells.tolist(), counts.tolist()):
+                        held[index, names[cell // bins], cell % bins] += n
+        index, label_, bin_ = zip(*held) if held else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(index, pa.int32()), pa.array(label_, kind), pa.array(bin_, pa.int32()), pa.array(list(held.values()), pa.int64())], names=["index", "_label", "_bin", "n"])
+
+    kind = to_arrow_type(rows.schema["_label"].dataType)
     counts = (
-        long.join(F.broadcast(edges), "index")
-        .groupBy("index", "_label", F.size(F.filter("_edges", lambda e: e < F.col("value"))).alias("_bin")).count()
+        rows.mapInArrow(count, StructType.fromDDL("index int").add(rows.schema["_label"]).add("_bin", "integer").add("n", "long"))
+        .groupBy("index", "_label", "_bin").agg(F.sum("n").alias("count"))
     )
     total, row, column = (F.sum("count").over(Window.partitionBy("index", *more)) for more in ((), ("_bin",), ("_label",)))
     joint = F.col("count") / total

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.functions import lexicon as lx
 from penprint.functions.arrays import month_period, split_labels
 from penprint.functions.order import grouped_quantiles
+from penprint.functions.quantiles import array_quantiles
 from penprint.functions.text import clean
 from penprint.spec import SPLIT, SPLITS
 
@@ -59,18 +61,21 @@ def docs_per_month(df: DataFrame, ts: str) -> DataFrame:
 
 def describe_numeric(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
-    long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_c")
-    ).select("_c.column", "_c.value").where(F.col("value").isNotNull())
-    base = long.groupBy("column").agg(
-        F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    quartile = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
-    quartiles = grouped_quantiles(long, ["column"], "value", list(quartile), exact).groupBy("column").agg(
-        *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name) for p, name in quartile.items()]
-    )
-    return base.join(quartiles, "column", "left")
+    numbers = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    summaries = [measure(f"_{i}").alias(f"{name}_{i}") for i in range(len(columns)) for name, measure in measures.items()]
+    probabilities = (0.25, 0.5, 0.75)
+    if exact:
+        found = array_quantiles(numbers, F.array(*numbers.columns), probabilities)
+        found = np.vstack([found, np.full((len(columns) - len(found), 3), np.nan)]).tolist()
+        quartiles = [[F.lit(v) for v in row] for row in found]
+    else:
+        summaries += [F.percentile_approx(f"_{i}", list(probabilities), 10000).alias(f"_q{i}") for i in range(len(columns))]
+        quartiles = [[F.get(f"_q{i}", F.lit(k)) for k in range(3)] for i in range(len(columns))]
+    lines = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in measures], *[q.alias(name) for q, name in zip(quartiles[i], ("q25", "q50", "q75"))])
+        for i, c in enumerate(columns)]
+    return numbers.agg(*summaries).select(F.explode(F.array(*lines)).alias("_l")).select("_l.*").where("count > 0")
 
 
 def length_profile(df: DataFrame, text: str, language: str = "es", exact: bool = True, pipeline=None) -> DataFrame:
