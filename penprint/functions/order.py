@@ -93,10 +93,14 @@ def split_join(df: DataFrame, table: DataFrame, keys: Sequence[str], counts: Dat
 
     ``counts``, a stored table, has the keys and the ``count`` of their rows in ``df``. A key with more than one row in ``FREQUENT`` is
     frequent, so fewer than that many are, and their names are broadcast. Only rows of ``table`` with such keys are repeated, once for each slice; rows of ``df`` are sliced
-    by the partition they are in. What follows can still combine or limit the rows of a key inside a task before they are brought together.
+    by the partition they are in. What follows can still combine or limit the rows of a key inside a task before they are brought together. Without
+    frequent keys this is a plain join.
     """
+    facts = counts.agg(F.sum("count").alias("total"), F.max("count").alias("most")).first()
+    if not facts["most"] or facts["most"] * FREQUENT <= facts["total"]:
+        return df.join(table, list(keys), how)
     tasks = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = F.col("count") / counts.agg(F.sum("count")).scalar()
+    share = F.col("count") / facts["total"]
     frequent = F.broadcast(counts.where(share > 1 / FREQUENT).select(*keys, F.ceil(share * tasks).cast("int").alias("_slices")))
     slices = F.coalesce("_slices", F.lit(1))
     each = table.join(frequent, list(keys), "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")

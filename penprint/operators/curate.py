@@ -197,10 +197,10 @@ def mask_handles(df: DataFrame, doc_id: str, text: str, masks: DataFrame, accoun
     plain = df.where(~F.coalesce(mentioned, F.lit(False)))
     tagged = df.where(mentioned).withColumn("_handles", handles)
     # Accounts that differ only in case share the smallest of their masks, in every run.
-    lookup = masks.groupBy(F.lower(account).alias("_handle")).agg(F.min(mask).alias("_mask"))
-    mentions = stored(tagged.select(doc_id, F.explode(F.array_distinct(F.transform("_handles", lambda h: F.lower(h)))).alias("_handle")))
+    # Stored, so that mentions of a frequent handle are a skewed key between two plain shuffles, which Spark splits.
+    lookup = stored(masks.groupBy(F.lower(account).alias("_handle")).agg(F.min(mask).alias("_mask")))
     found = (
-        split_join(mentions, lookup, ["_handle"], stored(mentions.groupBy("_handle").count()))
+        tagged.select(doc_id, F.explode(F.array_distinct(F.transform("_handles", lambda h: F.lower(h)))).alias("_handle")).join(lookup, "_handle")
         .groupBy(doc_id)
         .agg(F.map_from_entries(F.collect_list(F.struct("_handle", "_mask"))).alias("_masks"))
     )

@@ -7,7 +7,7 @@ combination is a plain aggregate per document. Ties go to the smallest label.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.operators.evaluate import scheme_scores
@@ -53,26 +53,21 @@ def vote_probabilities(
 ) -> DataFrame:
     """Mean probability of every label over the models that voted for the winner.
 
-    The few cells, votes and the winner of a document meet in one grouping; the rest happens inside the row.
+    Every table is dealt by document once. The models that agree with the winner are an array for each document, which its probabilities look into;
+    means are an aggregate of documents and labels where the rows already are.
     """
-    cell = F.struct(F.col(model).alias("model"), F.col(label).alias("label"), F.col(p).cast("double").alias("p"))
-    vote = F.struct(F.col(model).alias("model"), F.col(predicted).alias("predicted"))
-    parts = (
-        probabilities.select(doc_id, cell.alias("_cell"))
-        .unionByName(votes.select(doc_id, vote.alias("_vote")), allowMissingColumns=True)
-        .unionByName(winners.select(doc_id, F.col(predicted).alias("_winner")), allowMissingColumns=True)
+    held = (
+        votes.select(doc_id, F.struct(F.col(model).alias("model"), F.col(predicted).alias("predicted")).alias("_vote")).repartition(doc_id)
+        .groupBy(doc_id).agg(F.collect_list("_vote").alias("_votes"))
+    )
+    chosen = winners.groupBy(doc_id).agg(F.max(predicted).alias("_winner"))
+    agreeing = held.join(chosen, doc_id).select(
+        doc_id, F.transform(F.filter("_votes", lambda v: v["predicted"] == F.col("_winner")), lambda v: v["model"]).alias("_agreeing"))
+    cells = probabilities.select(doc_id, model, F.col(label).alias(label), F.col(p).cast("double").alias(p)).where(F.col(p).isNotNull()).repartition(doc_id)
+    return (
+        cells.join(agreeing, doc_id).where(F.array_contains("_agreeing", F.col(model)))
+        .groupBy(doc_id, label).agg(F.avg(p).alias(p))
     )
-    rows = parts.groupBy(doc_id).agg(F.collect_list("_cell").alias("_cells"), F.collect_list("_vote").alias("_votes"), F.max("_winner").alias("_winner"))
-    agreeing = F.transform(F.filter("_votes", lambda v: v["predicted"] == F.col("_winner")), lambda v: v["model"])
-    kept = rows.select(doc_id, "_cells", agreeing.alias("_agreeing")).select(
-        doc_id, F.filter("_cells", lambda c: F.array_contains(F.col("_agreeing"), c["model"]) & c["p"].isNotNull()).alias("_cells"))
-
-    def mean(name: Column) -> Column:
-        own = F.filter("_cells", lambda c: c["label"].eqNullSafe(name))
-        return F.struct(name.alias(label), (F.aggregate(own, F.lit(0.0), lambda s, c: s + c["p"]) / F.size(own)).alias(p))
-
-    means = F.transform(F.array_distinct("_cells.label"), mean)
-    return kept.select(doc_id, F.explode(means).alias("_mean")).select(doc_id, "_mean.*")
 
 
 def ensemble_regression(predictions: DataFrame, doc_id: str, predicted: str = "predicted") -> DataFrame:
