@@ -1,8 +1,11 @@
 """Queries for the cleaning operators, over the whole texts."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from penprint.catalog.base import query, table, texts
+from penprint.functions import lexicon as lx
 from penprint.functions import text as t
 from penprint.functions.arrays import (
     argmax, f1, month_number, month_period, name_category, parse_time, row_max, row_mean, row_mode, split_labels,
@@ -149,6 +152,50 @@ def trim_ending_ellipsis(spark, sf):
     return texts(spark, sf, "conversations").select("conv_id", "turn", t.trim_ending_ellipsis(said).alias("text"))
 
 
+def written(spark, sf):
+    """Names of parts in a text that holds something for every step of the standard cleaning."""
+    n = F.col("p_partkey").cast("int")
+    said = F.concat(
+        F.lit("@juan @ana Oye, q "), "p_name", F.lit(" xq EEUU el "), F.lpad((1 + F.col("p_size") % 28).cast("string"), 2, "0"), F.lit(" de mar: https://a.b/"),
+        F.col("p_partkey").cast("string"), F.lit("?x=1 #"), F.initcap(F.replace("p_name", F.lit(" "), F.lit(""))), F.lit(" visto por @pedro,  jajaja"), F.repeat(F.lit("ja"), n % 3),
+        F.lit(" goo"), F.repeat(F.lit("o"), n % 4), F.lit("l "), F.col("p_size").cast("string"), F.lit(" o 3,5 km - «así» \U0001F600 (a|b) . . fin !"), F.repeat(F.lit("!"), n % 3), F.lit(" …"))
+    return table(spark, sf, "part").select("p_partkey", said.alias("text"))
+
+
+CLEAN_SQL = """'Oye, que ' || p_name || ' porque Estados Unidos el [NUMERO] de marzo: #[HASHTAG]_' || upper(p_name[1]) || replace(p_name[2:], ' ', '') || ' visto por [USUARIO], jajaja '
+    || CASE WHEN p_partkey % 4 = 0 THEN 'gól' ELSE 'gol' END || ' [NUMERO] o [NUMERO] km así ab fin! '"""
+
+
+@query(f"SELECT p_partkey, {CLEAN_SQL} AS text_clean, lower({CLEAN_SQL}) AS text_clean_lowercase FROM part")
+def clean_written_text(spark, sf):
+    return t.add_clean_columns(written(spark, sf), "text").select("p_partkey", "text_clean", "text_clean_lowercase")
+
+
+def _terms():
+    """Every chat term, acronym and short date as it is written, and as it is read after all terms."""
+    out = []
+    for key in (*lx.CHAT_TERMS, *lx.ACRONYMS):
+        written = key.replace("[\\w\\+]?", "I").replace("\\", "")
+        read = f"a {written} z"
+        for pattern, value in (*lx.CHAT_TERMS.items(), *lx.ACRONYMS.items()):
+            pattern = rf"\b{pattern[:-2]}[\x08+]" if pattern.endswith("\\+") else rf"\b{pattern}\b"
+            read = re.sub(pattern, value.replace("\\", "\\\\"), read, flags=re.I)
+        out.append((f"a {written} z", read))
+    return out + [(f"a 0{1 + i % 9}{between}{month[:3]} z", f"a 0{1 + i % 9} de {month} z") for i, month in enumerate(lx.MONTHS) for between in ("", " de ", "de ")]
+
+
+_TERMS = _terms()
+_QUOTED = ", ".join("'" + read.replace("'", "''") + "'" for _, read in _TERMS)
+
+
+@query(f"SELECT p_partkey, p_name || ' ' || [{_QUOTED}][p_partkey % {len(_TERMS)} + 1] AS text FROM part")
+def every_term(spark, sf):
+    """The terms of both lists and the short dates, one behind each part's name."""
+    written = F.get(F.array(*[F.lit(w) for w, _ in _TERMS]), (F.col("p_partkey") % len(_TERMS)).cast("int"))
+    said = F.concat("p_name", F.lit(" "), written)
+    return table(spark, sf, "part").select("p_partkey", t.expand_acronyms(t.expand_chat_terms(said)).alias("text"))
+
+
 @query()
 def clean_text(spark, sf):
     return t.add_clean_columns(texts(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "text_clean", "text_clean_lowercase")

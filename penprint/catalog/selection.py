@@ -239,6 +239,22 @@ def predictions_are_likeliest(spark, sf):
     return found.groupBy("vec_id").agg(F.count("*").cast("int").alias("models"), F.bool_and(F.col("predicted") == likeliest).alias("likeliest"))
 
 
+@query("SELECT vec_id, true AS same FROM embeddings")
+def saved_stage(spark, sf):
+    """A fitted pipeline and a selection, saved, loaded and applied to every row beside those in memory."""
+    df = vectors(spark, sf)
+    path = f"{checkpoint_folder(spark)}/stage-{uuid4().hex}"
+    selection = select.fit_selection(df, "label")
+    selection.save(spark, f"{path}/selection")
+    fitted = model.random_search(
+        selection.variants(df)["robust_anova"].withColumn("__split", F.when(F.col("vec_id") % 4 == 0, "val").otherwise("train")), "label", {"lr": {"fit_intercept": [True]}}).model
+    model.save_stage(fitted, f"{path}/model")
+    kept, loaded = (
+        model.predict(stage, taken.variants(df)["robust_anova"], ["vec_id"]).select("vec_id", F.struct("predicted", "probabilities").alias(name))
+        for stage, taken, name in ((fitted, selection, "kept"), (model.load_stage(f"{path}/model"), select.Selection.load(spark, f"{path}/selection"), "loaded")))
+    return kept.join(loaded, "vec_id").select("vec_id", (F.col("kept") == F.col("loaded")).alias("same"))
+
+
 @query()
 def dense_network(spark, sf):
     from pyspark.ml.functions import array_to_vector

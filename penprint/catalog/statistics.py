@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from penprint.catalog.base import query, r6, table
+from penprint.catalog.cleaning import CLEAN_SQL, written
 from penprint.catalog.curation import SPLIT_SQL, orders_with_split
-from penprint.functions.text import remove_digits, remove_quotations
 from penprint.operators import merge, stats
 
 
@@ -65,10 +65,9 @@ def describe_numeric(spark, sf):
     return _rounded(stats.describe_numeric(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
-@query(f"""WITH cleaned AS (SELECT length(regexp_replace(regexp_replace(text, '\\b(\\d+[.,]?\\d*|\\d{{2}}[AP]M)\\b', '[NUMERO]', 'g'),
-           '["“”''«»‘’]', '', 'g')) AS length FROM documents) {_DESCRIBE.format(c="length", t="cleaned")}""")
+@query(f"WITH cleaned AS (SELECT length({CLEAN_SQL}) AS length FROM part) {_DESCRIBE.format(c='length', t='cleaned')}")
 def length_profile(spark, sf):
-    return _rounded(stats.length_profile(table(spark, sf, "documents"), "text", pipeline=[remove_digits, remove_quotations]))
+    return _rounded(stats.length_profile(written(spark, sf), "text"))
 
 
 @query(f"""WITH c AS (SELECT {SPLIT_SQL} AS split, 'o_orderpriority' AS "column", o_orderpriority AS value FROM orders
