@@ -2,14 +2,15 @@
 
 Pages of a host are ordered by path; each is paired with the nearer of its two neighbours, copies of itself passed over. The text lines of a
 pair are aligned by longest common subsequence, and lines that both pages share are template and are deleted. Markup that names its own role
-is taken at its word: what stands in menus, footers, forms, adverts and the like goes, whether shared or not,
-and lines inside an article element stay, though a copy of the article stands next to it.
+is taken at its word: what stands in menus, footers, adverts and the like goes, whether shared or not,
+and lines inside an article element stay, though a copy of the article stands next to it, if it holds a good part of the text and is no mere teaser.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -21,12 +22,10 @@ from pyspark.sql import functions as F
 
 from penprint.llm.common import partitions, small_batches, stored, text_bytes
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|object|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>", re.S | re.I)
-ROLE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+RAW = "script|style|noscript|template|textarea|title|iframe|svg|object|select"
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
+ROLE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # HTML's element names by what they mean here.
 BLOCKS = frozenset(
@@ -35,61 +34,138 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset(
     "article aside blockquote body button details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split())
-BOILERPLATE = frozenset("aside button dialog fieldset footer form menu nav".split())
+BOILERPLATE = frozenset("aside button dialog fieldset footer form menu nav".split())  # a form only if it does not hold most of the text
 MAIN = frozenset("article main".split())
-# Words in class, id or role that name what is not main text.
+# Words that name, as a class, id or role, what is not main text, and those that may stand beside them in a compound.
 NAMED = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
     "copyright disclaimer discussion disqus footer menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
     "related reply replies respond responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+BESIDE = frozenset("area bar block bottom box button buttons container footer form global left link links list main page right section site slot top unit wrapper".split())
+ARTICLE_SHARE = 1 / 3  # of the characters outside boilerplate that articles hold, or they are teasers
 
 Line = tuple[str, bool, bool]  # text, inside an article, inside boilerplate
 
 
+@dataclass
+class Element:
+    """An element that may be main text or boilerplate, by its name or what it is called, and its lines."""
+
+    name: str
+    main: bool
+    boilerplate: bool
+    called: bool
+    first: int
+    end: int = -1
+
+
+def is_role(word: str) -> bool:
+    """Whether one class, id or role names boilerplate: a word of the list, alone or with words that say where or how it stands."""
+    parts = [part for part in re.split(r"[-_]+", word.lower()) if part]
+    return not NAMED.isdisjoint(parts) and all(part in NAMED or part in BESIDE for part in parts)
+
+
+def tags_of(html: str) -> Iterator[tuple[str, str, bool, str]]:
+    """Text before a tag, and the tag's name, whether it ends an element, and its attributes; comments and raw content are passed over.
+
+    The name of what is no tag of interest, and of the end of the page, is empty. One pass: an opening that is never closed takes the rest of the page.
+    """
+    at = 0
+    last = html.rfind(">")
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            yield html[at:start], "", False, ""
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        found = TAG.match(html, start) if start < last else None
+        if found is None:
+            known = html[start + 1:start + 2] in ("!", "?", "/") and start < last
+            end = html.find(">", start) + 1 if known else start + 1
+            yield html[at:start if known else end], "", False, ""
+            at = end
+            continue
+        name = found[2].lower()
+        yield html[at:start], name, bool(found[1]), found[3]
+        at = found.end()
+        if name in RAW_END and not found[1] and not found[3].endswith("/"):
+            closing = RAW_END[name].search(html, at)
+            at = closing.end() if closing else len(html)
+    yield html[at:], "", False, ""
+
+
 def lines_of(html: str | None) -> list[Line]:
-    """The text lines of a page in order: one for each block, character references decoded, white space folded."""
-    lines: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []
+    """The text lines of a page in order: one for each block, character references decoded, white space folded.
+
+    What a class, id or role says of an element does not count if it holds most of the text in articles and little else, or, on a page without
+    articles, most of the text. The same holds of forms.
+    """
+    texts: list[str] = []
+    elements: list[Element] = []
+    stack: list[Element] = []
     held: list[str] = []
-    article = boilerplate = False
 
     def close() -> None:
         text = " ".join(unescape("".join(held)).split())
         if text:
-            lines.append((text, article, boilerplate))
+            texts.append(text)
         held.clear()
 
-    html = html or ""
-    at = 0
-    for token in TOKEN.finditer(html):
-        if token.start() > at:
-            held.append(html[at:token.start()])
-        at = token.end()
-        if token["name"] is None:
+    for before, name, ends, attributes in tags_of(html or ""):
+        held.append(before)
+        if not name:
             continue
-        name = token["name"].lower()
         if name in BLOCKS:
             close()
-        if token["end"]:
+        if name in RAW_END:
+            continue
+        if ends:
             for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
+                if stack[depth].name == name:
                     close()
-                    article, boilerplate = stack[depth][1:]
+                    for element in stack[depth:]:
+                        element.end = len(texts)
                     del stack[depth:]
                     break
-        elif name not in VOID and not token["attributes"].endswith("/"):
-            named = bool(token["attributes"]) and any(
-                not NAMED.isdisjoint(re.split(r"[^a-z]+", "".join(m).lower())) for m in ROLE.findall(token["attributes"]))
-            if name in CONTAINERS or named:
-                if named and name not in BLOCKS:
+        elif name not in VOID and not attributes.endswith("/"):
+            called = bool(attributes) and name not in MAIN and name not in ("html", "body") and any(
+                is_role(word) for found in ROLE.findall(attributes) for word in "".join(found).split())
+            if name in CONTAINERS or called:
+                if name not in BLOCKS:
                     close()
-                stack.append((name, article, boilerplate))
                 # A header inside an article holds its title; a banner at the top of a page does not.
-                boilerplate = boilerplate or name in BOILERPLATE or (name == "header" and not article) or (named and name not in MAIN and name not in ("html", "body"))
-                article = article or (name in MAIN and not boilerplate)
-    held.append(html[at:])
+                boilerplate = name in BOILERPLATE or (name == "header" and not any(e.main for e in stack))
+                stack.append(Element(name, name in MAIN, boilerplate and name != "form", called or name == "form", len(texts)))
+                elements.append(stack[-1])
     close()
-    return lines
+    for element in stack:
+        element.end = len(texts)
+    return _with_roles(texts, elements)
+
+
+def _with_roles(texts: list[str], elements: list[Element]) -> list[Line]:
+    sizes = np.array([len(t) for t in texts], np.int64)
+
+    def covered(chosen: list[Element]) -> np.ndarray:
+        edges = np.zeros(len(texts) + 1, np.int64)
+        for element in chosen:
+            edges[element.first] += 1
+            edges[element.end] -= 1
+        return np.cumsum(edges[:-1]) > 0
+
+    by_name = [e for e in elements if e.boilerplate]
+    open_ = np.r_[0, np.cumsum(sizes * ~covered(by_name))]
+    inside = np.r_[0, np.cumsum(sizes * (covered([e for e in elements if e.main]) & ~covered(by_name)))]
+
+    def holds_most(element: Element) -> bool:
+        text, main = (total[element.end] - total[element.first] for total in (open_, inside))
+        return 2 * main > inside[-1] and inside[-1] >= ARTICLE_SHARE * text if inside[-1] else 2 * text > open_[-1]
+
+    boilerplate = covered(by_name + [e for e in elements if e.called and not holds_most(e)])
+    article = covered([e for e in elements if e.main]) & ~boilerplate
+    if sizes[article].sum() < ARTICLE_SHARE * sizes[~boilerplate].sum():
+        article[:] = False
+    return list(zip(texts, article.tolist(), boilerplate.tolist()))
 
 
 def outside(lines: Sequence[Line]) -> list[Line]:
@@ -97,28 +173,47 @@ def outside(lines: Sequence[Line]) -> list[Line]:
     return [line for line in lines if not line[2]]
 
 
-def common_lines(a: Sequence[int], b: Sequence[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence, by bit vectors over ``b``."""
+def _row_lengths(a: Sequence[int], b: Sequence[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each beginning of ``b``, by bit vectors over ``b``."""
     masks: dict[int, int] = {}
     for j, x in enumerate(b):
         masks[x] = masks.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
-    row, rows = full, []
+    row = full
     for x in a:
         hit = row & masks.get(x, 0)
         row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-    found = []
-    i, j = len(a), len(b)
-    while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-        else:
-            i -= 1
-            if not (i and not rows[i - 1] >> (j - 1) & 1):
-                j -= 1
-                found.append(i)
-    return found[::-1]
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def common_lines(a: Sequence[int], b: Sequence[int]) -> list[int]:
+    """Positions in ``a`` of a longest common subsequence with ``b``.
+
+    Equal ends are cut, then ``a`` is halved and ``b`` cut where the halves have most in common, so no more than a row is held.
+    """
+    out: list[int] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append(a0)
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append(a1)
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.append(a0)
+            continue
+        middle = (a0 + a1) // 2
+        there = b[b0:b1]
+        total = _row_lengths(a[a0:middle], there) + _row_lengths(a[middle:a1][::-1], there[::-1])[::-1]
+        cut = b0 + int(total.argmax())
+        todo += [(middle, a1, cut, b1), (a0, middle, b0, cut)]
+    return sorted(out)
 
 
 def main_text(lines: Sequence[Line], shared: Sequence[int] = ()) -> str:

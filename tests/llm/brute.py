@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import xxhash
@@ -154,3 +155,78 @@ def likeness(one, two):
         return max(0.0, (common - chance) / (min(a, b) - chance)) if min(a, b) > chance else float(common == min(a, b))
 
     return sum(max(overlap(x, y) for y in long) for x in short) / len(short)
+
+
+class ArticleText(HTMLParser):
+    """The text of the article elements of a page, by the parser of the standard library; each block is a line."""
+
+    BLOCKS = set("article p div h1 h2 h3 h4 h5 h6 ul ol li br section table tr td th blockquote pre header footer nav body html head main aside".split())
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.held, self.lines = 0, [], []
+
+    def flush(self):
+        line = " ".join("".join(self.held).split())
+        if line:
+            self.lines.append(line)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and self.cdata_elem is None:
+            self.held.append(data)
+
+
+def page_text(page):
+    parser = ArticleText()
+    parser.feed(page or "")
+    parser.close()
+    parser.flush()
+    return " ".join(parser.lines)
+
+
+def language(texts, wanted):
+    """(language, posterior) of texts ``wanted``, learned from (text, language) pairs: words first, unseen ones by ever shorter n-grams."""
+    def cut(word, size):
+        marked = f"^{word}$"
+        return [word] if size == 0 else [marked[i:i + size] for i in range(len(marked) - size + 1)]
+
+    split = re.compile(r"[^\W\d_]+").findall
+    counts = [{} for _ in range(6)]
+    for text, lang in texts:
+        for word in split(text.lower()):
+            for size in range(6):
+                for gram in cut(word, size):
+                    counts[size].setdefault(gram, Counter())[lang] += 1
+    langs = sorted({lang for _, lang in texts})
+    totals = [{lang: sum(c[lang] for c in by.values()) for lang in langs} for by in counts]
+
+    def logs(size, gram):
+        return [math.log((counts[size][gram][lang] + 0.5) / (totals[size][lang] + 0.5 * len(counts[size]))) for lang in langs]
+
+    out = []
+    for text in wanted:
+        found = split(text.lower()) if text else []
+        if not any(c.isalpha() for w in found for c in w):
+            out.append(("und", 0.0))
+            continue
+        scores = [0.0] * len(langs)
+        for word in found:
+            for size in (0, 5, 4, 3, 2, 1):
+                known = [logs(size, g) for g in cut(word, size) if g in counts[size]]
+                if known:
+                    scores = [s + sum(k[i] for k in known) / len(known) for i, s in enumerate(scores)]
+                    break
+        top = max(scores)
+        out.append((langs[scores.index(top)], 1 / sum(math.exp(s - top) for s in scores)))
+    return out

@@ -366,10 +366,39 @@ def test_markup_that_names_its_role_goes():
     assert html.main_text(html.lines_of("plain &lt;b&gt;")) == "plain <b>"
 
 
+@pytest.mark.parametrize("body,want", [
+    ('<div class="layout has-sidebar"><article><p>All of it</p></article></div>', "All of it"),
+    ('<div class="content no-sidebar"><p>All of it</p></div><footer>us</footer>', "All of it"),
+    ('<article><p class="notice-board-history">On boards.</p><p>More</p></article>', "On boards. More"),
+    ('<div class="sidebar layout"><article><p>All of it, at length</p></article><p>Less</p></div>', "All of it, at length"),
+    ("<article><p>Teaser</p></article><div><p>The story of the page, which is much longer than what teases it.</p></div>", "Teaser The story of the page, which is much longer than what teases it."),
+    ('<article><p>The story, which is longer.</p></article><div class="related"><article><p>Other</p></article></div>', "The story, which is longer."),
+    ("<form action=x><div><p>A page that is one form, text and all</p></div><nav>Menu</nav></form>", "A page that is one form, text and all"),
+    ('<p>The story itself, at some length</p><form><p>Mail</p></form><div id="site-footer">us</div><div class="cookie-banner">eat</div>', "The story itself, at some length"),
+    ('<p>a < b and c > d</p><svg/><p>End</p>', "a < b and c > d End"),
+])
+def test_roles_are_whole_words_and_containers_keep_their_text(body, want):
+    assert html.main_text(html.outside(html.lines_of(PAGE % body))) == want
+
+
+def test_unclosed_markup_and_long_pages_take_one_pass():
+    import time
+
+    for piece in ("<script ", "<a href='", '<p class="', "<!--", "<div <", "< ", "<style>", "</"):
+        begin = time.monotonic()
+        html.lines_of(piece * 40_000)
+        html.lines_of(piece * 40_000 + ">")
+        assert time.monotonic() - begin < 5, piece
+    rng = random.Random(1)
+    a, b = ([rng.randrange(50_000) for _ in range(6000)] for _ in range(2))
+    both = list(range(100_000, 130_000))
+    assert html.common_lines(both + a, both + b)[:30_000] == list(range(30_000))
+
+
 def test_common_lines():
     rng = random.Random(6)
     for _ in range(200):
-        a, b = ([rng.randrange(4) for _ in range(rng.randrange(10))] for _ in range(2))
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in range(2))
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
