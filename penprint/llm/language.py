@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
 FLUSH = 400_000  # distinct counts a task holds before it passes them on
-REMEMBERED = 200_000  # unseen words whose score a task keeps
+REMEMBERED = 200_000  # words whose place, and unseen ones whose score, a task keeps
+SEED = 42  # of Spark's own xxhash64
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -58,95 +60,91 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit()
 
 
+def key_of(size: int, gram: str) -> int:
+    """The hash under which the model knows a word (size 0) or n-gram: that of Spark's ``xxhash64``."""
+    return xxhash.xxh64_intdigest(f"{size} {gram}", SEED)
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies, one row of ``weights`` per known word or n-gram and one column per language."""
+    """Log frequencies: a row of ``weights`` for each of the sorted ``keys`` of words and n-grams, one column per language."""
 
     languages: list[str]
-    index: list[dict[str, int]]  # by size; 0 holds words
+    keys: np.ndarray
     weights: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    places: dict[str, int] = field(default_factory=dict, repr=False)
+    scores: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+
+    def known(self, size: int, grams_: list[str]) -> np.ndarray:
+        """Rows of those that the model knows, -1 for others."""
+        wanted = np.array([key_of(size, g) for g in grams_], np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, at, -1)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The row of each word, -1 if it is not known. The places of words are remembered."""
+        get = self.places.get
+        out = [get(w) for w in words]
+        if None in out:
+            new = list(dict.fromkeys(w for w, r in zip(words, out) if r is None))
+            found = dict(zip(new, self.known(0, new).tolist()))
+            if len(self.places) + len(found) <= REMEMBERED:
+                self.places.update((w, r) for w, r in found.items() if len(w) < 64)
+            out = [found[w] if r is None else r for w, r in zip(words, out)]
+        return np.array(out, np.int64)
 
     def unseen(self, word: str) -> np.ndarray:
-        found = self.cache.get(word)
+        found = self.scores.get(word)
         if found is None:
             found = np.zeros(len(self.languages))
             for size in range(LONGEST, 0, -1):
-                known = self.index[size]
-                rows = [known[g] for g in grams(word, size) if g in known]
-                if rows:
-                    found = self.weights[rows].mean(0)
+                rows = self.known(size, grams(word, size))
+                if (rows >= 0).any():
+                    found = self.weights[rows[rows >= 0]].mean(0)
                     break
-            if len(self.cache) < REMEMBERED and len(word) < 64:
-                self.cache[word] = found
+            if len(self.scores) < REMEMBERED and len(word) < 64:
+                self.scores[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
         if not self.languages or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        known = self.index[0].get
-        rows = [known(w, -1) for w in words]
-        hits = np.array(rows, np.int64)
+        hits = self.rows(words)
         total = self.weights[hits[hits >= 0]].sum(0)
         if (hits < 0).any():
-            total = total + sum(self.unseen(w) for w, r in zip(words, rows) if r < 0)
+            total = total + sum(self.unseen(w) for w, r in zip(words, hits.tolist()) if r < 0)
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
 
 
-def fit(
-    docs: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 16_384, words: int = 50_000, per_size: int = 20_000,
-    least: int = 2, seed: int = 7,
-) -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 16_384, seed: int = 7) -> LanguageModel:
     """Learn word and n-gram frequencies from labelled rows.
 
-    The classifier is fitted on a bounded sample: about ``max_rows`` rows with a text and a label, chosen by a hash of the text.
-    It keeps what occurs ``least`` times, and the ``words`` most frequent words and ``per_size`` most frequent
-    n-grams of each size and language (fewer, where many are equally frequent), so the number of languages bounds its size.
+    The classifier is fitted on a bounded sample: about ``max_rows`` rows with a text and a label, chosen by a hash of the text. It keeps all words and n-grams
+    of these rows, known by 64-bit hashes; the number of rows is its only bound.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     share = min(1.0, max_rows / max(1, rows.count()))
     picked = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
     counts = stored(
         rows.where(picked).mapInArrow(count_grams, "lang string, size int, gram string, n long")
-        .groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "grams")
-    # How many n-grams occur how often: a small table that fixes what each language may keep.
-    often: dict[tuple[str, int], list[tuple[int, int]]] = {}
-    for row in counts.groupBy("lang", "size", "n").count().collect():
-        often.setdefault((row["lang"], row["size"]), []).append((row["n"], row["count"]))
-    totals = {key: sum(n * c for n, c in found) for key, found in often.items()}
-    cut = {key: _cut(found, words if key[1] == 0 else per_size, 1 if key[1] == 1 else least) for key, found in often.items()}
-    limit = F.create_map(*[x for (lang_, size), n in cut.items() for x in (F.lit(f"{size} {lang_}"), F.lit(n))]) if cut else F.lit(None)
-    enough = F.col("n") >= limit[F.concat_ws(" ", F.col("size"), F.col("lang"))] if cut else F.lit(False)
-    kept = counts.where(enough).toArrow().to_pandas()
-    languages = sorted(kept["lang"].unique().tolist())
-    index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    parts, offset = [], 0
-    for size in range(LONGEST + 1):
-        part = kept[kept["size"] == size]
-        names = sorted(part["gram"].unique().tolist())
-        index[size] = {name: offset + i for i, name in enumerate(names)}
-        offset += len(names)
-        seen = np.full((len(names), len(languages)), 0.5)
-        total = np.array([totals.get((name, size), 0) for name in languages], float)
-        where = (part["gram"].map(index[size]) - offset + len(names)).to_numpy(np.int64) if len(part) else np.empty(0, np.int64)
-        column = part["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(np.int64)
-        seen[where, column] += part["n"].to_numpy(float)
-        parts.append(np.log(seen / (total + 0.5 * max(len(names), 1))))
-    return LanguageModel(languages, index, np.concatenate(parts) if languages else np.zeros((0, 0)))
-
-
-def _cut(found: list[tuple[int, int]], room: int, least: int) -> int:
-    """The smallest count that is at least ``least`` and that no more than ``room`` n-grams reach."""
-    reached, cut = 0, None
-    for n, count in sorted(found, reverse=True):
-        reached += count
-        if n < least or reached > room:
-            break
-        cut = n
-    return cut if cut is not None else max(n for n, _ in found) + 1
+        .groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+        .select("lang", "size", F.xxhash64(F.concat_ws(" ", F.col("size"), F.col("gram"))).alias("key"), "n"), "grams")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not languages:
+        return LanguageModel([], np.empty(0, np.uint64), np.zeros((0, 0)))
+    found = counts.select(F.array_position(F.lit(languages), F.col("lang")).cast("int").alias("lang"), "size", "key", "n").toArrow()
+    column, size, key, n = (found[c].to_numpy() for c in ("lang", "size", "key", "n"))
+    keys, first, row = np.unique(key.view(np.uint64), return_index=True, return_inverse=True)
+    seen = np.full((len(keys), len(languages)), 0.5)
+    seen[row, column - 1] += n
+    for k in range(LONGEST + 1):  # words and n-grams of each length are a distribution of their own
+        own = size[first] == k
+        total = np.array([n[(size == k) & (column == i + 1)].sum() for i in range(len(languages))], float)
+        seen[own] = np.log(seen[own] / (total + 0.5 * max(int(own.sum()), 1)))
+    return LanguageModel(languages, keys, seen)
 
 
 def _judged(docs: DataFrame, model: LanguageModel, text: str, carry: list[str]) -> DataFrame:

@@ -74,6 +74,21 @@ def test_encoder_agrees_with_the_tokenizer(texts):
     assert own.encode(None) == own.encode("") == b""
 
 
+def test_encoder_of_a_tokenizer_whose_tokens_hold_blanks(texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), tokens.WordEncoder(path)
+    assert not own.split and tokens.WordEncoder(WORDS).split
+    for text in [t for _, t in texts if t] + ["Hello World, this is it"]:
+        assert own.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_ids_beyond_the_width_of_a_file_are_an_error():
+    ids = np.array([1, 70_000], "<u4").tobytes()
+    with pytest.raises(ValueError, match="70000"):
+        tokenfiles.file_bytes(0, 0, [1], [2], ids, 2)
+    assert tokenfiles.TokenFile(tokenfiles.file_bytes(0, 0, [1], [2], ids, 4)).document(0).tolist() == [1, 70_000]
+
+
 @pytest.mark.parametrize("histogram", [{}, {1: 1}, {4096: 3}, {5: 1000}, {3000: 7, 1096: 9, 12: 4}, dict(Counter(random.Random(1).choices(range(1, 4097), k=3000)))])
 def test_plans_hold_exactly_the_histogram(histogram):
     plan = packing.plan_sequences(histogram, 4096, rounds=4)
@@ -245,6 +260,11 @@ def test_languages(spark):
     odd = spark.createDataFrame([(1, None, None), (2, "", "aa"), (3, "und " * 20_000, None), (None, "calle", "zz")], "doc_id long, text string, lang string")
     found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd, model).collect()}
     assert [found[i][0] for i in (1, 2, 3, None)] == ["und", "und", "aa", "bb"] and all(0 <= s <= 1 for _, s in found.values())
+    clashing = odd.selectExpr("*", "'x' AS lang_pred", "1 AS score", "2 AS `a.b`")
+    assert language.identify(clashing, model).columns == ["doc_id", "text", "lang", "a.b", "lang_pred", "score"]
+    kept = language.keep_identified(clashing, model)
+    assert kept.columns == clashing.columns and {(r.doc_id, r.lang_pred) for r in kept.collect()} == {(3, "x"), (None, "x")}
+    assert language.identify(odd.limit(0), model).count() == language.keep_identified(odd.limit(0), model).count() == 0
     empty = language.fit(df.limit(0))
     assert {r.lang_pred for r in language.identify(df, empty).collect()} == {"und"}
 

@@ -78,6 +78,9 @@ def test_token_files(spark, documents):
 def test_languages_of_held_out_documents(spark, documents):
     rows = {r.doc_id: r for r in QUERIES["op6_language_id"](spark, FOLDER).collect()}
     assert {d for d, r in rows.items() if r.held_out} == {d for d, *_ in documents if zlib.crc32(str(d).encode()) % 5 == 0}
+    learned = [(t, lang) for d, t, lang in documents if lang and zlib.crc32(str(d).encode()) % 5]
+    for (d, *_), (lang, score) in zip(documents, brute.language(learned, [t for _, t, _ in documents])):
+        assert rows[d].lang_pred == lang and rows[d].score == pytest.approx(score, abs=1e-9)
     held = [(rows[d].lang_pred, lang) for d, _, lang in documents if rows[d].held_out]
     assert sum(a == b for a, b in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in rows.values())
 
