@@ -30,11 +30,15 @@ from penprint.llm.tokens import IDS, word_encoder
 MAGIC = b"TOKENEF1"
 HEAD = struct.Struct("<8sIIIQQQ")
 FILE_IDS = 2 << 20  # a file is closed when it holds so many ids; documents are never split
+READ = 4096  # documents of a file read into one batch of rows
 MANIFEST = "shard int, number int, documents long, ids long"
 
 
 def file_bytes(shard: int, number: int, doc_ids: list[int | None], ends: list[int], ids: bytes, width: int) -> bytes:
     named = [d for d in doc_ids if d is not None]  # those without an id come first
+    largest = int(np.frombuffer(ids, IDS).max(initial=0))
+    if largest >> 8 * width:
+        raise ValueError(f"id {largest} does not fit in {width} bytes")
     head = HEAD.pack(MAGIC, width, shard, number, len(doc_ids), len(doc_ids) - len(named), len(ids) // IDS.itemsize)
     array = np.frombuffer(ids, IDS).astype(f"<u{width}").tobytes()
     return head + eliasfano.encode(np.array(named, np.int64)) + eliasfano.encode(np.array(ends, np.int64)) + array
@@ -56,9 +60,14 @@ class TokenFile:
     def name(self, i: int) -> int | None:
         return None if i < self.unnamed else self.names.select(i - self.unnamed)
 
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the i-th document starts and ends in the file's array."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
+
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document of the file."""
-        return self.array[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
+        start, end = self.span(i)
+        return self.array[start:end]
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -116,20 +125,22 @@ def write_token_files(
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of the files: shard, number, doc_id, start in its file, n_tokens and the checksum of its ids."""
+    """Every document of the files: shard, number, doc_id, start in its file, n_tokens and the checksum of its ids.
+
+    Ids and boundaries of each document are selected from the coded ones; a file's numbers are never unpacked as a whole.
+    """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 file = TokenFile(content.as_buffer())
-                ends = file.ends.all()
-                starts = np.r_[0, ends[:-1]] if len(ends) else ends
-                sums = [zlib.crc32(file.array[a:b].astype(IDS).tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-                names = [None] * file.unnamed + file.names.all().tolist()
-                n = file.documents
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file.shard] * n, pa.int32()), pa.array([file.number] * n, pa.int32()), pa.array(names, pa.int64()), pa.array(starts, pa.int64()),
-                     pa.array(ends - starts, pa.int64()), pa.array(sums, pa.int64())],
-                    names=["shard", "number", "doc_id", "start", "n_tokens", "ids_crc32"])
+                for first in range(0, file.documents, READ):
+                    rows = []
+                    for i in range(first, min(first + READ, file.documents)):
+                        start, end = file.span(i)
+                        rows.append((file.name(i), start, end - start, zlib.crc32(file.array[start:end].astype(IDS).tobytes())))
+                    columns = [pa.array(column, pa.int64()) for column in zip(*rows)]
+                    place = [pa.array([at] * len(rows), pa.int32()) for at in (file.shard, file.number)]
+                    yield pa.RecordBatch.from_arrays([*place, *columns], names=["shard", "number", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(path)
     return files.select("content").mapInArrow(read, "shard int, number int, doc_id long, start long, n_tokens long, ids_crc32 long")

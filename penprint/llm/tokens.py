@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 from functools import lru_cache
@@ -19,18 +20,35 @@ PLAIN = re.compile(r"[\n\t\r!-&(-;=-~À-ÖØ-öø-ÿ]*")
 PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
+# How the known kind of tokenizer normalises and cuts a text, in the words of its file.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def cuts_at_blanks(tokenizer: Tokenizer) -> bool:
+    """Whether no token of a tokenizer spans a blank, and pieces of a text may be encoded one by one."""
+    told = json.loads(tokenizer.to_str())
+    added = [t["content"] for t in told["added_tokens"]]
+    return (
+        (told["normalizer"] or {}).get("normalizers") == NORMALIZERS and (told["pre_tokenizer"] or {}).get("pretokenizers") == [CUT, BYTES]
+        and told["model"]["type"] == "BPE" and told["model"]["end_of_word_suffix"] == "</w>" and not told["model"]["dropout"]
+        and all(content.startswith("<") and not re.search(r"\s", content) for content in added)
+    )
+
+
 class WordEncoder:
     """Ids of texts under a lower-casing word tokenizer whose tokens do not span blanks.
 
     The text is cut at blanks, which no token, special token or normalisation rule of such a tokenizer crosses. A part is looked up among those
     seen before; plain parts are cut on into runs of letters, digits and signs, the units that the
-    tokenizer itself works on. What is not known yet goes through the tokenizer. ``split`` False encodes whole texts
-    at once, for other kinds of tokenizers.
+    tokenizer itself works on. What is not known yet goes through the tokenizer. A tokenizer of any other kind, by what its
+    file says of normalisation and cutting, encodes whole texts at once.
     """
 
-    def __init__(self, path: str, split: bool = True):
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = split
+        self.split = cuts_at_blanks(self.tokenizer)
         self.parts: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
         # The model works on characters that stand for UTF-8 bytes.
