@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from penprint.catalog.base import query, r6, table, texts
 from penprint.functions import lexicon as lx
 from penprint.operators import features
+from penprint.operators.reduction import fit_sparse_svd
+from penprint.session import stored
 
 _W = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{2,}')"
 _WORD_GRAMS = f"""w AS (SELECT doc_id, {_W} AS t FROM documents),
@@ -49,6 +51,20 @@ def reduce_svd(spark, sf):
     return reduced.select("doc_id", *[F.get("features", F.lit(i)).alias(f"ng_{i}") for i in range(100)])
 
 
+@query(f"""WITH {_WORD_GRAMS}, {_SUBLINEAR},
+           pairs AS (SELECT a.index AS i, b.index AS j, sum(a.weight * b.weight) AS dot FROM weights a JOIN weights b USING (doc_id) GROUP BY 1, 2)
+           SELECT CAST(100 AS BIGINT) AS directions, round(sum(dot) FILTER (i = j), 6) AS squares, round(sum(dot * dot), 4) AS fourths FROM pairs""")
+def svd_traces(spark, sf):
+    """Sums of the second and fourth powers of the singular values of the weighted words: the trace of their products, and of its square."""
+    documents = texts(spark, sf)
+    cells, width = features.ngram_cells(documents, "doc_id", "text", [features.word_tfidf(documents, "text")])
+    fitted = fit_sparse_svd(stored(cells), width)
+    projected = fitted.transform(cells, "doc_id").select(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x).alias("s"))
+    powers = projected.agg(F.sum("s").alias("squares"))
+    fourths = float((fitted.values ** 4).sum())
+    return powers.select(F.lit(fitted.directions.shape[1]).cast("long").alias("directions"), r6("squares").alias("squares"), F.round(F.lit(fourths), 4).alias("fourths"))
+
+
 @query(f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)
            SELECT CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j, CASE WHEN a.range = b.range THEN 1.0 ELSE 0.0 END AS dot, a.range = b.range AS same,
                   (SELECT round(sum(v * v), 4) FROM x) AS energy FROM range(64) a, range(64) b""")

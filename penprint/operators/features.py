@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from penprint.functions import lexicon as lx
 from penprint.functions.order import first_per_group, global_rank, split_join
 from penprint.functions.tokens import characters, term_counts, vocabulary_tokens, with_ngrams, words
+from penprint.operators.reduction import fit_sparse_svd
 from penprint.session import stored
 
 
@@ -100,15 +102,22 @@ def char_tfidf(df: DataFrame, text: str, n: tuple[int, int] = (3, 5), min_df: in
     return _fit_grams(df, text, "char", n, min_df, max_features, sublinear)
 
 
-def ngram_vectors(df: DataFrame, doc_id: str, text: str, parts: Sequence[GramWeights], name: str = "ngrams") -> DataFrame:
-    """One sparse vector per document, the parts side by side; no term found gives a zero vector."""
+def ngram_cells(df: DataFrame, doc_id: str, text: str, parts: Sequence[GramWeights]) -> tuple[DataFrame, int]:
+    """Sparse rows, the parts side by side: ``doc_id``, ``columns`` and ``weights`` (arrays, empty if no term is found), and how many columns there are."""
     offset, stacked = 0, None
     for part in parts:
         rows = part.weights(df, doc_id, text).select(doc_id, (F.col("index") + offset).alias("index"), "weight")
         stacked = rows if stacked is None else stacked.unionByName(rows)
         offset += part.size
-    width = offset
     cells = stacked.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_cells"))
+    return df.select(doc_id).join(cells, doc_id, "left").select(
+        doc_id, F.coalesce(F.col("_cells.index").cast("array<int>"), F.array().cast("array<int>")).alias("columns"),
+        F.coalesce("_cells.weight", F.array().cast("array<double>")).alias("weights")), offset
+
+
+def ngram_vectors(df: DataFrame, doc_id: str, text: str, parts: Sequence[GramWeights], name: str = "ngrams") -> DataFrame:
+    """One vector per document, the parts side by side; no term found gives a zero vector."""
+    cells, width = ngram_cells(df, doc_id, text, parts)
 
     @F.pandas_udf("array<double>")
     def spread(index: pd.Series, weight: pd.Series) -> pd.Series:
@@ -120,7 +129,7 @@ def ngram_vectors(df: DataFrame, doc_id: str, text: str, parts: Sequence[GramWei
 
         return pd.Series([one(i, w) for i, w in zip(index, weight)])
 
-    dense = df.select(doc_id).join(cells, doc_id, "left").select(doc_id, spread("_cells.index", "_cells.weight").alias("_dense"))
+    dense = cells.select(doc_id, spread("columns", "weights").alias("_dense"))
     return dense.select(doc_id, array_to_vector("_dense").alias(name))
 
 
@@ -170,10 +179,11 @@ def fit_svd(train: DataFrame, vectors: str, k: int = 100) -> Reduction:
 
 
 def reduce_svd(train: DataFrame, df: DataFrame, doc_id: str, text: str, k: int = 100, max_features: int = 100) -> DataFrame:
-    """Word and character n-grams fitted on ``train``, both reduced to ``k`` numbers for every row of ``df``."""
+    """Word and character n-grams fitted on ``train``, both reduced to ``k`` numbers for every row of ``df``. Rows stay sparse throughout."""
     parts = [word_tfidf(train, text, max_features=max_features), char_tfidf(train, text, max_features=max_features)]
-    reduction = fit_svd(ngram_vectors(train, doc_id, text, parts), "ngrams", k)
-    return reduction.transform(ngram_vectors(df, doc_id, text, parts), "ngrams").select(doc_id, "features")
+    cells, width = ngram_cells(train, doc_id, text, parts)
+    reduction = fit_sparse_svd(stored(cells), width, k)
+    return reduction.transform(ngram_cells(df, doc_id, text, parts)[0], doc_id)
 
 
 def top_terms(df: DataFrame, doc_id: str, text: str, k: int = 100, stop_words: DataFrame | None = None) -> DataFrame:
@@ -293,6 +303,9 @@ def linguistic_features(df: DataFrame, doc_id: str, name: str = "features") -> t
 
 
 # --- Language --------------------------------------------------------------------
+PROFILE_ROWS = 1_000_000  # n-grams of a broadcast block, some 100 MB
+
+
 @dataclass(frozen=True)
 class LanguageProfiles:
     """Smoothed log share of frequent character n-grams per language: ``term`` and an array in the order of ``languages``."""
@@ -324,13 +337,17 @@ def detect_language(
 ) -> DataFrame:
     """Most likely language of each document, null unless its probability exceeds the threshold.
 
-    Documents meet the profiles by n-gram; Spark broadcasts the profiles if their measured size allows.
+    Profiles are broadcast in blocks of about ``PROFILE_ROWS`` n-grams, one after another. What leaves a task is a sum for each document, block and language; no n-gram is shuffled.
     """
-    sums = (
-        gram_counts(df, [doc_id], text, "char", profiles.n).join(profiles.table, "term")
-        .groupBy(doc_id)
-        .agg(F.array(*[F.sum(F.col("tf") * F.get("logs", F.lit(i))) for i in range(len(profiles.languages))]).alias("_s"))
-    )
+    grams = gram_counts(df, [doc_id], text, "char", profiles.n)
+    blocks = 1 + profiles.table.count() // PROFILE_ROWS
+    sums = reduce(DataFrame.unionAll, [
+        grams.join(F.broadcast(profiles.table.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i)), "term").groupBy(doc_id)
+        .agg(*[F.sum(F.col("tf") * F.get("logs", F.lit(k))).alias(f"_{k}") for k in range(len(profiles.languages))])
+        for i in range(blocks)])
+    if blocks > 1:
+        sums = sums.groupBy(doc_id).agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in range(len(profiles.languages))])
+    sums = sums.select(doc_id, F.array(*[f"_{k}" for k in range(len(profiles.languages))]).alias("_s"))
     top = F.array_max("_s")
     confidence = 1 / F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.exp(s - top))
     names = F.array(*[F.lit(v) for v in profiles.languages])

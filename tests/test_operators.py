@@ -15,6 +15,7 @@ from penprint.functions import quantiles
 from penprint.functions.order import first_per_group, global_rank, grouped_quantiles, hash_rank, keys_at, order_key
 from penprint.operators import curate, ensemble, evaluate, features, merge, model, select, split, stats
 from penprint.operators.forest import vote_tables
+from penprint.operators.reduction import SparseReduction, fit_sparse_svd
 
 
 def corpus(spark, n=3000, authors=30, seed=1):
@@ -288,6 +289,39 @@ def test_features_with_gaps(spark):
         model.union_features(sets, "id").where("id = 2").collect()
 
 
+@pytest.mark.parametrize("width", [40, 100_000])
+def test_sparse_decomposition(spark, width, tmp_path):
+    """Singular values and projections of sparse rows, also with very many columns, against those of all products of rows."""
+    rng = np.random.default_rng(width)
+    rows, full = [], np.zeros((150, width))
+    for i in range(150):
+        columns = np.sort(rng.choice(width, 25, replace=False)) if i % 3 else np.arange(25)
+        weights = rng.standard_normal(25) + (4 * (i % 5) if not i % 3 else 0)
+        full[i, columns] = weights
+        rows.append((i, columns.tolist(), weights.tolist()))
+    rows.append((150, [], []))
+    df = spark.createDataFrame(rows, "id long, columns array<int>, weights array<double>").repartition(4)
+    fitted = fit_sparse_svd(df, width, k=3)
+    want = np.sqrt(np.linalg.eigvalsh(full @ full.T)[::-1][:3])
+    assert fitted.values == pytest.approx(want, rel=1e-6) and np.abs(fitted.directions.T @ fitted.directions - np.eye(3)).max() < 1e-9
+    fitted.save(spark, str(tmp_path / "s"))
+    loaded = SparseReduction.load(spark, str(tmp_path / "s"))
+    found = {r["id"]: r["features"] for r in loaded.transform(df, "id").collect()}
+    assert len(found) == 151 and found[150] == [0.0] * 3
+    assert np.abs(np.array([found[i] for i in range(150)]) - full @ fitted.directions).max() < 1e-9
+
+
+def test_language_profiles_in_blocks(spark, monkeypatch):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5 + [("", "en"), ("the dog", None), ("und der", None)])]
+    df = spark.createDataFrame(rows, "id long, t string, lang string")
+    profiles = features.fit_language_profiles(df, "t", "lang")
+    found = []
+    for size in (10**6, 30):
+        monkeypatch.setattr(features, "PROFILE_ROWS", size)
+        found.append({r["id"]: (r["language"], r["confidence"] and round(r["confidence"], 9)) for r in features.detect_language(df, "id", "t", profiles).collect()})
+    assert found[0] == found[1] and found[0][11][0] == "en" and found[0][12][0] == "de"
+
+
 def test_labels_unseen_in_train_count_as_errors(spark):
     rows = [(i, "ab"[i % 2], "train", [float(i % 2)]) for i in range(40)] + [(50, "a", "val", [0.0]), (51, "b", "val", [1.0]), (52, "c", "val", [1.0]), (53, "c", "val", [0.0])]
     df = spark.createDataFrame(rows, "id long, y string, __split string, features array<double>")
