@@ -239,6 +239,37 @@ def predictions_are_likeliest(spark, sf):
     return found.groupBy("vec_id").agg(F.count("*").cast("int").alias("models"), F.bool_and(F.col("predicted") == likeliest).alias("likeliest"))
 
 
+@query("SELECT CAST(range AS INTEGER) AS index, 0.0 AS gradient FROM range(20)")
+def network_gradient(spark, sf):
+    """Gradient of the cross entropy at the weights of a trained network, to two decimals: where it stands still it is zero.
+
+    Three inputs, three hidden neurons, two labels: weights of a layer by columns, then its biases.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.ml.functions import array_to_vector
+
+    df = vectors(spark, sf).select((F.col("label") < 5).cast("double").alias("label_index"), F.slice("features", 1, 3).alias("x")).coalesce(1)
+    rows = df.count()
+    network = model.dense_network(3, 2, "brick", 1, 3, max_iter=400).fit(df.withColumn("features", array_to_vector("x")))
+    weights = network.weights.toArray()
+    first, shift = weights[:9].reshape(3, 3).T, weights[9:12]
+    second, offset = weights[12:18].reshape(3, 2).T, weights[18:20]
+
+    def gradients(batches):
+        for batch in batches:
+            x = np.stack(batch.column("x").to_numpy(zero_copy_only=False))
+            hidden = 1 / (1 + np.exp(-(x @ first.T + shift)))
+            out = np.exp(hidden @ second.T + offset)
+            error = (out / out.sum(1, keepdims=True) - np.eye(2)[batch.column("label_index").to_numpy().astype(int)]) / rows
+            back = error @ second * hidden * (1 - hidden)
+            whole = np.concatenate([(back.T @ x).T.ravel(), back.sum(0), (error.T @ hidden).T.ravel(), error.sum(0)])
+            yield pa.RecordBatch.from_arrays([pa.array(range(20), pa.int32()), pa.array(whole)], names=["index", "gradient"])
+
+    parts = df.mapInArrow(gradients, "index int, gradient double")
+    return parts.groupBy("index").agg((F.round(F.sum("gradient"), 2) + 0.0).alias("gradient"))
+
+
 @query("SELECT vec_id, true AS same FROM embeddings")
 def saved_stage(spark, sf):
     """A fitted pipeline and a selection, saved, loaded and applied to every row beside those in memory."""
