@@ -146,11 +146,14 @@ def dense_network(
 # --- Search -------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Search:
-    """The refitted best model and the log of all trials."""
+    """The refitted best model and the log of all trials; what was fitted for them, their settings and labels score them on other rows."""
 
     model: PipelineModel
     trials: DataFrame
     best: dict
+    fitted: Sequence[tuple] = ()
+    settings: Sequence[dict] = ()
+    labels: Sequence[str] = ()
 
 
 def sampled_trials(grid: Mapping[str, Mapping[str, Sequence]], draws: int, seed: int = 0) -> list[dict]:
@@ -207,6 +210,7 @@ def random_search(
     log = [(-scores[i][0] if regression else scores[i][0], (t["kind"], {k: str(v) for k, v in t.items() if k != "kind"}, *scores[i], seconds[i], share), t)
            for i, t in enumerate(trials)]
     best = max(log, key=lambda row: row[0])[-1]
+    labels = tuple(indexer.labels) if indexer else ()
     if refit_with_val and not regression:
         both = train_and_val(coded.drop("label_index"), split)
         indexer = encode_label(both, label)
@@ -218,11 +222,11 @@ def random_search(
         estimator.fit(final), IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)]
     coded.unpersist()
     ranked = sorted(log, key=lambda row: -row[0])
-    trials = df.sparkSession.createDataFrame(
+    table = df.sparkSession.createDataFrame(
         [(1 + sum(o[0] > row[0] for o in ranked), i == 0, *row[1]) for i, row in enumerate(ranked)],
         f"rank int, best boolean, kind string, params map<string,string>, score double, {'mse' if regression else 'accuracy'} double, fit_seconds double, score_seconds double",
     )
-    return Search(PipelineModel(stages), trials, best)
+    return Search(PipelineModel(stages), table, best, tuple(fitted), tuple(trials), labels)
 
 
 @dataclass(frozen=True)
@@ -393,3 +397,19 @@ def cross_corpus_scores(search: Search, selection, variant: str, other: DataFram
 
     scored = predict(search.model, apply_to_other_corpus(selection, variant, other, features), [label], features)
     return scheme_scores(scored, label, "predicted")
+
+
+def cross_corpus_trials(search: Search, selection, variant: str, other: DataFrame, label: str, features: str = "features") -> DataFrame:
+    """Accuracy and F1 over another corpus of every trial of a search, as it was fitted on train: ``kind``, ``params`` and the scores.
+
+    All trials are scored in one pass over the corpus, which is scaled and cut as the first. A label that train lacks counts as an error.
+    """
+    from penprint.operators.select import apply_to_other_corpus
+
+    spark = other.sparkSession
+    rows = apply_to_other_corpus(selection, variant, other, features).where(F.col(label).isNotNull())
+    codes = StringIndexerModel.from_labels(list(search.labels), label, "label_index", handleInvalid="keep")
+    coded = codes.transform(rows.select(label, array_to_vector(features).alias("features")))
+    scores = scheme_scores(trial_counts(search.fitted, search.settings, coded), "label_index", "prediction", ["trial"], "n")
+    named = [(i, t["kind"], {k: str(v) for k, v in t.items() if k != "kind"}) for i, t in enumerate(search.settings)]
+    return scores.join(F.broadcast(spark.createDataFrame(named, "trial int, kind string, params map<string,string>")), "trial").drop("trial")

@@ -395,6 +395,17 @@ def test_search_of_nested_forests(spark):
             params = {"trees": str(size), "depth": str(depth), "min_leaf": "2"}
             assert [round(a, 6) for kind, p, _, a in logs[0] if dict(p) == params] == [round(right, 6)]
     assert set(model.predict(search.model, rows, ["id"]).toPandas()["predicted"]) <= {"s0", "s1", "s2"}
+    # All trials on other rows, one of which has an unknown label.
+    arrays = rows.withColumn("features", vector_to_array("features"))
+    selection = select.fit_selection(arrays.where("__split = 'train'"), "side")
+    search = model.random_search(selection.variants(arrays)["minmax"], "side", grid)
+    other = arrays.where("id % 2 = 0").withColumn("side", F.when(F.col("id") == 0, "new").otherwise(F.col("side")))
+    scores = model.cross_corpus_trials(search, selection, "minmax", other, "side").collect()
+    assert len(scores) == 21 and {r["kind"] for r in scores} == {"lr", "rf", "svm"}
+    fitted = next(m for m, _, family in search.fitted if search.settings[family.trials[0]] == {"kind": "lr", "fit_intercept": False, "max_iter": 30})
+    said = fitted.transform(select.apply_to_other_corpus(selection, "minmax", other).withColumn("features", array_to_vector("features"))).collect()
+    right = sum(search.labels[int(r["prediction"])] == r["side"] for r in said) / len(said)
+    assert [r["accuracy"] for r in scores if r["params"] == {"fit_intercept": "False", "max_iter": "30"}] == [pytest.approx(right)]
 
 
 def test_trees_deeper_than_spark_goes_are_an_error():
@@ -489,6 +500,7 @@ def test_search_queries_try_the_whole_grid(spark, monkeypatch):
         return told.value.args[0]
 
     monkeypatch.setattr(selection, "SAVED", {})
+    monkeypatch.setattr(selection, "SEARCHED", {})
     monkeypatch.setattr(model, "random_search", taken(model.random_search))
     monkeypatch.setattr(model, "dense_network", taken(model.dense_network))
     for name, settings in {"random_search": 33, "predict_labels": 32, "predictions_are_likeliest": 32, "cross_corpus_scores": 33, "experiment_report": 33}.items():
