@@ -46,19 +46,24 @@ class CompiledCorpus:
 
 
 def compile_corpus(
-    documents: DataFrame, profiles: LanguageProfiles, topics: DataFrame, traits: DataFrame, trait_key: str,
-    columns: Columns = Columns(), settings: CorpusSettings = CorpusSettings(),
+    documents: DataFrame, profiles: LanguageProfiles | None, topics: DataFrame, traits: DataFrame, trait_key: str,
+    columns: Columns = Columns(), settings: CorpusSettings = CorpusSettings(), language: str | None = None,
 ) -> CompiledCorpus:
     """Filter, select, mask, enrich and split.
 
+    The language of a document is what its column ``language`` says, where that is given, and else what the profiles say of its cleaned text.
+
     Two stages are stored. The cleaned texts are read for scoring the language, for
     counting authors and for selecting. The selection holds at most some hundreds of
     documents per author; masks, traits and both splits are built from it.
     """
     c, s = columns, settings
     kept = durable(clean(curate.drop_syndicated(documents, c.text), c.text, into="text_clean", language=s.language))
-    spoken = detect_language(kept, c.doc_id, "text_clean", profiles)
-    enough = curate.min_documents(curate.keep_language(spoken.drop("confidence"), "language", s.language), c.author, s.minimum)
+    if language is None:
+        spoken = detect_language(kept, c.doc_id, "text_clean", profiles).drop("confidence")
+    else:
+        spoken = kept.withColumnRenamed(language, "language")
+    enough = curate.min_documents(curate.keep_language(spoken, "language", s.language), c.author, s.minimum)
     flagged = curate.flag_topic(enough, c.text, topics)
     selected = durable(curate.relevant_sample(
         flagged, c.author, c.created_at, "is_relevant", "text_clean", c.doc_id, maximum=s.maximum, months=s.months))
