@@ -12,10 +12,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penprint.llm.common import extended, small_batches, text_bytes
+from penprint.llm.common import extended, new_path, small_batches, stored, text_bytes
 
 #: Lower-cases A-Z; every other ASCII character but letters and digits separates words.
 NORMAL = bytes(
@@ -125,6 +126,9 @@ class ItemAutomaton:
         return spans, items
 
 
+HITS = "_row long, spans array<array<int>>, items array<string>"
+
+
 def hits(automaton: ItemAutomaton, words: Sequence[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
     """Hit spans of a document's words and the items that occur in it.
 
@@ -156,7 +160,9 @@ def find_contamination(
     window; repeated items count by their id; a null item id takes no part. An empty benchmark gives no hits.
 
     The benchmark is taken in blocks of about ``block_bytes`` of text, one automaton per block (some 100 MB for a block of 1 MB), built
-    in the driver and broadcast. Documents pass one block after the other in the same task; texts are not shuffled.
+    in the driver and broadcast. The first block is scanned as the documents are read; if there are more, what it found is stored with the
+    documents, each further block is a scan of its own that writes hits alone, and they are joined in the end. So a task holds one automaton, and
+    the plan does not grow with the benchmark. Texts are not shuffled unless the hits are too many to send around.
     """
     tests = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -165,29 +171,58 @@ def find_contamination(
     n = len(carry)
     schema = extended(docs.select(*carry).schema, "_text string, n_words long, spans array<array<int>>, items array<string>")
     kinds = [("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))]
-    found = docs.select(
-        *carry, F.col(text).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for block in range(blocks):
-        rows = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        shared = context.broadcast(ItemAutomaton([(r["item"], words_of(r["text"].encode())) for r in rows], width))
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
+    def automaton_of(block: int) -> Broadcast:
+        rows = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
+        return context.broadcast(ItemAutomaton([(r["item"], words_of(r["text"].encode())) for r in rows], width))
+
+    shared = automaton_of(0)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in small_batches(batches):
+            counts, spans, items = [], [], []
+            for raw in text_bytes(batch.column(n)):
+                words = words_of(raw)
+                where, names = hits(automaton, words)
+                counts.append(len(words))
+                spans.append(merged(where))
+                items.append(sorted(names))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(n + 1)] + [pa.array(v, k[1]) for v, k in zip((counts, spans, items), kinds)],
+                names=[*carry, "_text", *[k[0] for k in kinds]])
+
+    found = docs.select(*carry, F.col(text).alias("_text")).mapInArrow(scan, schema)
+    if blocks == 1:
+        return found.drop("_text")
+    found = stored(found.withColumn("_row", F.monotonically_increasing_id()), "scanned")
+    path = new_path(docs.sparkSession, "hits")
+    for block in range(1, blocks):
+        more = automaton_of(block)
+
+        def scan_more(batches: Iterator[pa.RecordBatch], more=more) -> Iterator[pa.RecordBatch]:
+            automaton = more.value
             for batch in small_batches(batches):
-                counts, spans, items = [], batch.column(n + 2).to_pylist(), batch.column(n + 3).to_pylist()
-                for at, raw in enumerate(text_bytes(batch.column(n))):
-                    words = words_of(raw)
-                    counts.append(len(words))
-                    where, names = hits(automaton, words)
-                    if where:
-                        spans[at] = merged([*spans[at], *where])
-                        items[at] = sorted({*items[at], *names})
+                out = [(row, *hits(automaton, words_of(raw))) for row, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)))]
+                out = [o for o in out if o[1]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(i) for i in range(n + 1)] + [pa.array(v, k[1]) for v, k in zip((counts, spans, items), kinds)],
-                    names=[*carry, "_text", *[k[0] for k in kinds]])
-
-        found = found.mapInArrow(scan, schema)
-    return found.drop("_text")
+                    [pa.array([o[0] for o in out], pa.int64()), pa.array([merged(o[1]) for o in out], kinds[1][1]), pa.array([sorted(o[2]) for o in out], kinds[2][1])],
+                    names=["_row", "spans", "items"])
+
+        found.select("_row", "_text").mapInArrow(scan_more, HITS).write.parquet(f"{path}/block={block}")
+        more.destroy()
+    hit = docs.sparkSession.read.schema(HITS).parquet(path).groupBy("_row").agg(*[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("spans", "items")])
+    both = found.join(stored(hit, "hit"), "_row", "left")
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            *kept, spans, items, more_spans, more_items = batch.columns
+            spans = [merged([*a, *(b or ())]) for a, b in zip(spans.to_pylist(), more_spans.to_pylist())]
+            items = [sorted({*a, *(b or ())}) for a, b in zip(items.to_pylist(), more_items.to_pylist())]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, kinds[1][1]), pa.array(items, kinds[2][1])], names=[*carry, *[k[0] for k in kinds]])
+
+    whole = both.select(*carry, "n_words", "spans", "items", "_spans", "_items")
+    return whole.mapInArrow(unite, found.select(*carry, "n_words", "spans", "items").schema)
 
 
 def merged(spans: Sequence[Sequence[int]]) -> list[list[int]]:

@@ -1,17 +1,16 @@
 """Sharding by a hierarchical weighted hash tree: region, rack, shard.
 
-Every shard draws an exponential variate for a key, from a hash of key and shard, divided by its
-weight; the smallest draw wins. The smallest of the draws below a rack or region is again
-exponential, with the summed weight as its rate, so descending the tree by the smallest draw of
-each subtree is a weighted draw at every level. A subtree whose weights stay keeps its draws:
-when a shard is added or gains weight, keys move into it alone, out of the subtrees that lose share.
+A key descends the tree. At each level every subtree draws an exponential variate from a hash of the key and its own name, divided by its
+weight, the sum of the weights below it; the smallest draw wins, and only the draws on the way down are taken. A subtree whose weight
+stays keeps its draws: keys move into subtrees that gain weight and out of those that lose share, and
+inside a subtree whose weights stay nothing moves. A new shard in a region of its own takes keys only into itself.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,32 +29,51 @@ class Shard:
     weight: float = 1.0
 
 
-def even_tree(shards: int, regions: int = 2, racks: int = 2) -> list[Shard]:
-    """``shards`` leaves of weight 1, dealt over regions and racks; a larger tree contains a smaller one."""
-    return [Shard(i, f"r{i % regions}", f"r{i % regions}k{i // regions % racks}") for i in range(shards)]
+def even_tree(shards: int, regions: int = 2, racks: int = 2, deep: int = 8) -> list[Shard]:
+    """``shards`` leaves of weight 1: the first ``deep`` dealt over regions and racks, each further one a region of its own.
+
+    So a tree with one more shard moves keys only into it, beyond ``deep``.
+    """
+    dealt = [Shard(i, f"r{i % regions}", f"r{i % regions}k{i // regions % racks}") for i in range(min(shards, deep))]
+    return dealt + [Shard(i, f"s{i}", f"s{i}k0") for i in range(deep, shards)]
 
 
-def draw(key: Column, shard: Shard) -> Column:
-    """Exponential variate of a key for a shard, at the rate of its weight."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(f"{shard.region}/{shard.rack}/{shard.number}")), 11)
-    return -F.log((bits.cast("double") + 0.5) / F.lit(float(2**53))) / F.lit(shard.weight)
+def draw(key: Column, name: str, weight: float) -> Column:
+    """Exponential variate of a key for a subtree, at the rate of its weight."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11)
+    return -F.log((bits.cast("double") + 0.5) / F.lit(float(2**53))) / F.lit(weight)
 
 
 def place(key: Column, tree: Sequence[Shard]) -> Column:
     """Number of the shard a key belongs to. A null key is a key like any other."""
-    below: dict[str, dict[str, list[Column]]] = defaultdict(lambda: defaultdict(list))
-    for shard in tree:
-        if shard.weight > 0:
-            leaf = F.struct(draw(key, shard).alias("draw"), F.lit(shard.number).alias("shard"))
-            below[shard.region][shard.rack].append(leaf)
-    if not below:
+    leaves = [shard for shard in tree if shard.weight > 0]
+    if not leaves:
         raise ValueError("the tree has no shard with a weight")
 
-    def least(candidates: list[Column]) -> Column:
-        return F.array_min(F.array(*candidates))
-
-    regions = [least([least(leaves) for leaves in racks.values()]) for racks in below.values()]
-    return least(regions)["shard"]
+    def descend(below: list[Shard], path: str, levels: Sequence[Callable[[Shard], str]]) -> Column:
+        if not levels:
+            return F.lit(below[0].number)
+        subtrees: dict[str, list[Shard]] = defaultdict(list)
+        for shard in below:
+            subtrees[levels[0](shard)].append(shard)
+        further = [descend(own, f"{path}/{name}", levels[1:]) for name, own in subtrees.items()]
+        if len(further) == 1:
+            return further[0]
+        draws = [
+            F.struct(draw(key, f"{path}/{name}", math.fsum(s.weight for s in own)).alias("draw"), F.lit(i).alias("child"))
+            for i, (name, own) in enumerate(subtrees.items())]
+        # The winner is bound once; of the subtrees only that of the winner is looked at.
+        winner = F.array(F.array_min(F.array(*draws))["child"])
+        return F.get(F.transform(winner, lambda child: _case(child, further)), F.lit(0))
+
+    return descend(leaves, "", (lambda s: s.region, lambda s: s.rack, lambda s: str(s.number)))
+
+
+def _case(child: Column, further: Sequence[Column]) -> Column:
+    out = further[-1]
+    for i in range(len(further) - 2, -1, -1):
+        out = F.when(child == i, further[i]).otherwise(out)
+    return out
 
 
 def number_slots(rows: DataFrame, shard: str = "shard", order: Sequence[str] = (), name: str = "slot") -> DataFrame:

@@ -1,13 +1,14 @@
 """Exact inner-product search with ball trees, branch and bound.
 
 Candidates are dealt over shards; each shard is a ball tree. The inner product of a query with any vector of a
-ball is at most that with its centre plus radius times the query's norm. A block of queries descends a tree together: balls whose bound lies
+ball is at most that with its centre plus radius times the query's norm. Trees are built once and stored. A block of queries descends a tree together: balls whose bound lies
 below a query's current kth score are cut, and the leaves that remain are visited in order of their bound, highest first,
 while the kth score rises. Scores found in one shard go with the query to the next.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penprint.llm.common import stored
+from penprint.llm.common import new_path, stored
 
 LEAF = 128
 SHARD_ROWS = 8192
@@ -190,8 +191,9 @@ def top_k_of_length(rows: DataFrame, count: int, k: int) -> DataFrame:
         .repartition(shards, "shard").sortWithinPartitions("shard"), "shards")
     asked = stored(rows.where("asked").groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     blocks = -(-asked.count() // BLOCK)
+    trees = stored(dealt.select("shard", "vec_id", "vector").mapInArrow(build_trees, "shard int, tree binary"), "trees")
     schema = "query_id long, vec_id long, score long"
-    results = []
+    path = new_path(spark, "scores")
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
         if not part.num_rows:
@@ -201,41 +203,56 @@ def top_k_of_length(rows: DataFrame, count: int, k: int) -> DataFrame:
         for step, here in (("first", F.col("shard") == 0), ("rest", F.col("shard") != 0)):
             shared = spark.sparkContext.broadcast((ids, matrix, floor))
 
-            def search_shards(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            def search_trees(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 query_ids, asked_vectors, least = shared.value
-                best = BestOf(len(query_ids), k, least)  # kept over the shards of a task
-                for names, points in _shards(batches):
-                    search(BallTree.build(names, points), query_ids, asked_vectors, best)
+                best = BestOf(len(query_ids), k, least)  # kept over the trees of a task
+                for batch in batches:
+                    for tree in batch.column(0):
+                        search(pickle.loads(tree.as_buffer()), query_ids, asked_vectors, best)
                 row, column = np.nonzero(best.score > LOWEST)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(query_ids[row]), pa.array(best.id[row, column]), pa.array(best.score[row, column])], names=["query_id", "vec_id", "score"])
 
-            scores = stored(dealt.where(here).select("shard", "vec_id", "vector").mapInArrow(search_shards, schema), "scores")
-            results.append(scores)
+            place = f"{path}/block={block}/step={step}"
+            trees.where(here).select("tree").mapInArrow(search_trees, schema).write.parquet(place)
+            shared.destroy()
             if step == "first":
+                scores = spark.read.schema(schema).parquet(place)
                 kth = scores.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).toArrow()
-                place = {q: i for i, q in enumerate(ids.tolist())}
+                at = {q: i for i, q in enumerate(ids.tolist())}
                 for query, score in zip(kth.column("query_id").to_pylist(), kth.column("kth").to_pylist()):
-                    floor[place[query]] = score
-    if not results:
-        return spark.createDataFrame([], schema)
-    found = results[0]
-    for more in results[1:]:
-        found = found.unionAll(more)
-    return found
+                    floor[at[query]] = score
+    # One table, whatever the number of blocks.
+    return spark.read.schema(schema).parquet(path).select("query_id", "vec_id", "score") if blocks else spark.createDataFrame([], schema)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of at most ``SHARD_ROWS`` rows of a shard at a time."""
+def build_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A ball tree for each shard, or for each ``SHARD_ROWS`` rows of one."""
+    for shard, names, points in _shards(batches):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.array([pickle.dumps(BallTree.build(names, points))], pa.binary())], names=["shard", "tree"])
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Ids and vectors of at most ``SHARD_ROWS`` rows of a shard at a time, shards one after another."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
+    current: int | None = None
+
+    def whole() -> tuple[int, np.ndarray, np.ndarray]:
+        return current, *(np.concatenate(x) for x in zip(*held))
+
     for batch in batches:
-        for start in range(0, batch.num_rows, SHARD_ROWS):
-            part = batch.slice(start, SHARD_ROWS)
-            held.append((part.column("vec_id").to_numpy(), _matrix(part.column("vector"))))
-            size += part.num_rows
-            if size >= SHARD_ROWS:
-                yield tuple(np.concatenate(x) for x in zip(*held))
-                held, size = [], 0
+        shards = batch.column("shard").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), batch.num_rows]
+        for first, end in zip(edges, edges[1:]):
+            for start in range(first, end, SHARD_ROWS):
+                if held and (shards[start] != current or size >= SHARD_ROWS):
+                    yield whole()
+                    held, size = [], 0
+                current = int(shards[start])
+                part = batch.slice(start, min(SHARD_ROWS, end - start))
+                held.append((part.column("vec_id").to_numpy(), _matrix(part.column("vector"))))
+                size += part.num_rows
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))
+        yield whole()

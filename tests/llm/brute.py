@@ -230,3 +230,18 @@ def language(texts, wanted):
         top = max(scores)
         out.append((langs[scores.index(top)], 1 / sum(math.exp(s - top) for s in scores)))
     return out
+
+
+def shard_of(doc_id, tree):
+    """The shard of an id: at each level the subtree with the smallest exponential draw, hashed from the id and the subtree's path."""
+    path, below = "", list(tree)
+    for level in (lambda t: t.region, lambda t: t.rack, lambda t: str(t.number)):
+        names = list(dict.fromkeys(level(t) for t in below))
+        draws = []
+        for name in names:
+            seed = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42)
+            bits = xxhash.xxh64_intdigest(f"{path}/{name}", seed) >> 11
+            draws.append(-math.log((bits + 0.5) / 2**53) / sum(t.weight for t in below if level(t) == name))
+        name = names[draws.index(min(draws))]
+        path, below = f"{path}/{name}", [t for t in below if level(t) == name]
+    return below[0].number

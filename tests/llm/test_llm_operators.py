@@ -54,6 +54,32 @@ def test_keys_move_only_into_a_new_shard(docs, texts):
     assert Counter((r.doc_id, r.size) for r in rows) == Counter((i, len((t or "").encode()) + 1) for i, t in texts)
 
 
+def test_descent_is_not_one_minimum_over_all_leaves(spark, none):
+    tree = [sharding.Shard(i, f"r{i % 3}", f"r{i % 3}k{i % 2}", 1.0 + i % 4) for i in range(12)]
+    grown = [*tree[:5], sharding.Shard(5, tree[5].region, tree[5].rack, 9.0), *tree[6:]]
+    rows = spark.range(4000).select("id", sharding.place(F.col("id"), tree).alias("old"), sharding.place(F.col("id"), grown).alias("new")).collect()
+    assert all((r["old"], r["new"]) == (brute.shard_of(r["id"], tree), brute.shard_of(r["id"], grown)) for r in rows)
+    region = {t.number: t.region for t in tree}
+    # Weights change in one region: outside it rows only leave, and what stays in another region stays in its shard.
+    assert all(r["old"] == r["new"] or region[r["new"]] == region[5] for r in rows) and any(r["new"] == 5 != r["old"] for r in rows)
+    assert sharding.assign_shards(none, sharding.even_tree(8), sharding.even_tree(9)).count() == 0
+
+
+def test_plans_do_not_grow_with_blocks(spark, docs, monkeypatch):
+    def size(df):
+        return len(df._jdf.queryExecution().analyzed().toString())
+
+    benchmark = spark.createDataFrame([(i, f"item {i} " * 8) for i in range(60)], "item_id long, text string")
+    sizes = [size(decontaminate.find_contamination(docs, benchmark, block_bytes=n)) for n in (2000, 300)]
+    assert abs(sizes[0] - sizes[1]) < 100
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(400)], "vec_id long, embedding array<double>")
+    sizes = []
+    for block in (200, 40):
+        monkeypatch.setattr(topk, "BLOCK", block)
+        sizes.append(size(topk.top_k(df, F.lit(True))))
+    assert abs(sizes[0] - sizes[1]) < 100
+
+
 def test_weights_are_shares_and_confine_moves(spark):
     ids = spark.range(20000)
     light = [sharding.Shard(0, "a", "x"), sharding.Shard(1, "a", "y"), sharding.Shard(2, "b", "z", 2.0)]

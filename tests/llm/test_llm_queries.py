@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from oracle import compare, connect
+from penprint.llm import sharding
 from penprint.llm.common import stored
 from penprint.llm.queries import ORACLES, QUERIES
 
@@ -97,6 +98,7 @@ def test_shards(spark, documents):
     for r in rows:
         slots[r.shard].append(r.slot)
         assert r.law == "key" and r.grown_shard in (r.shard, 8) and 0 <= r.shard < 8
+        assert r.shard == brute.shard_of(r.doc_id, sharding.even_tree(8)) and r.grown_shard == brute.shard_of(r.doc_id, sharding.even_tree(9))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
@@ -136,3 +138,38 @@ def test_pipeline(spark, documents):
     counts = {d: brute.contamination(t, items) for d, t in before}
     assert after == [(d, t) for d, t in before if not (counts[d][1] and 20 * counts[d][1] >= counts[d][0])]
     check_packing(held["packing"][1].collect(), texts(held["packing"][0]))
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, an empty table, and columns with names the stages use themselves."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijé"), rng.integers(2, 9))) for _ in range(400)]
+    make = lambda n: " ".join(rng.choice(words, n))
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first()["text"]
+    passage = make(60)
+    texts = [(1, make(80)), (2, None), (3, ""), (4, "  "), (5, "12 34"), (6, item), (None, make(70)), (7, make(20) + " " + passage), (8, passage + " " + make(20)), (9, make(9000)), (10, make(30)), (10, make(30))]
+    texts += [(11, texts[0][1]), (11, texts[0][1])]
+    kinds = ("doc_id long, text string, lang string, source string, n_chars long, `a.b` string, _row long, _doc string, _text string, lang_pred string, score double, spans string, "
+             "_fp long, node long, key long, n_words long, items string, n_hit long")
+    rows = [(i, t, None if i in (1, 5) else "xx", None, None if t is None else len(t), "d", 1, "r", "t", "l", 0.5, None, 2, 3, 4, 5, "i", 6) for i, t in texts]
+    docs = spark.createDataFrame(rows, kinds)
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stored(stage(spark, docs, FOLDER), name)
+        empty = stored(stage(spark, none, FOLDER), name)
+        assert empty.count() == 0 and empty.columns == after.columns
+        if name != "packing":
+            assert after.columns == docs.columns and {r["a.b"] for r in after.collect()} <= {"d"} and {r["n_hit"] for r in after.collect()} <= {6}
+        kept = Counter((r["doc_id"]) for r in after.collect())
+        if name == "language_id":
+            assert kept == Counter([1, 6, None, 7, 8, 9, 10, 10, 11, 11])
+        if name == "simhash_dedup":
+            assert kept == Counter([1, 6, None, 7, 8, 9, 10, 10])
+        if name == "suffix_dedup":
+            assert kept == Counter([1, 6, None, 7, 8, 9, 10, 10]) and all(passage[100:] not in (r["text"] or "") for r in after.collect())
+            assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
+        if name == "decontamination":
+            assert kept == Counter([1, None, 7, 8, 9, 10, 10])
+        docs, none = after, empty
+    without = spark.createDataFrame([(1, passage), (2, passage)], "doc_id long, text string")
+    assert corpus_pipeline.drop_repeated_passages(spark, without, FOLDER).collect() == [(1, ""), (2, "")]
