@@ -11,7 +11,7 @@ from penprint.functions.arrays import (
     argmax, f1, month_number, month_period, name_category, parse_time, row_max, row_mean, row_mode, split_labels,
 )
 from penprint.operators import curate, stats
-from penprint.session import durable
+from penprint.session import stored
 
 
 def _cleaned(spark, sf, step, name="documents", key=("doc_id",)):
@@ -213,7 +213,7 @@ def writers_by_language(spark, sf):
     documents = curate.drop_syndicated(texts(spark, sf, "documents"), "text")
     cleaned = t.clean(documents, "text", into="text_clean").select("source", "lang", (F.col("text_clean") != "").alias("says"))
     # Read twice, for counting and for keeping: stored, so that no text is cleaned twice.
-    kept = curate.min_documents(durable(cleaned).where("says"), "source", 5)
+    kept = curate.min_documents(stored(cleaned).where("says"), "source", 5)
     return stats.docs_per_author_language(kept, "source", "lang")
 
 
