@@ -239,6 +239,27 @@ def predictions_are_likeliest(spark, sf):
     return found.groupBy("vec_id").agg(F.count("*").cast("int").alias("models"), F.bool_and(F.col("predicted") == likeliest).alias("likeliest"))
 
 
+@query("SELECT CAST(i AS INTEGER) AS index, step, true AS best FROM range(65) AS r(i), (SELECT unnest([-0.05, 0.05]::DOUBLE[]) AS step) s")
+def svm_optimum(spark, sf):
+    """Whether a step along any weight (the intercept last) leaves the penalised hinge loss of a linear support vector machine where it is, or raises it; to three decimals."""
+    from pyspark.ml.functions import array_to_vector
+
+    df = vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("double")).coalesce(1)
+    rows = df.count()
+    fitted = model.linear_svm(label="y", rows=rows).fit(df.withColumn("features", array_to_vector("features"))).models[1]  # label 1 against the rest
+    weights = [float(w) for w in fitted.coefficients]
+    sign = 2 * F.col("y") - 1
+    margin = F.aggregate(F.zip_with("features", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(float(fitted.intercept)), lambda a, v: a + v)
+    cells = df.select(sign.alias("s"), margin.alias("m"), F.posexplode(F.concat("features", F.array(F.lit(1.0)))).alias("index", "x"))
+    steps = cells.withColumn("step", F.explode(F.array(F.lit(-0.05), F.lit(0.0), F.lit(0.05))))
+    loss = F.avg(F.greatest(F.lit(0.0), 1 - F.col("s") * (F.col("m") + F.col("step") * F.col("x"))))
+    own = F.coalesce(F.get(F.array(*map(F.lit, weights)), F.col("index")), F.lit(0.0))
+    penalty = F.when(F.col("index") < len(weights), (2 * F.col("step") * own + F.col("step") * F.col("step")) / (2 * rows)).otherwise(0.0)
+    values = steps.groupBy("index", "step").agg(loss.alias("loss")).withColumn("value", F.col("loss") + penalty)
+    still = values.where("step = 0").select("index", F.col("value").alias("base"))
+    return values.where("step != 0").join(still, "index").select("index", "step", (F.col("value") > F.col("base") - 0.0005).alias("best"))
+
+
 @query("SELECT CAST(range AS INTEGER) AS index, 0.0 AS gradient FROM range(20)")
 def network_gradient(spark, sf):
     """Gradient of the cross entropy at the weights of a trained network, to two decimals: where it stands still it is zero.
