@@ -149,54 +149,42 @@ def hits(automaton: ItemAutomaton, words: Sequence[bytes]) -> tuple[list[tuple[i
     return spans, items
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, width: int = 13, carry: Sequence[str] = ("doc_id",), text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", block_bytes: int = 1 << 20,
-) -> DataFrame:
-    """Hit word spans and items of every document.
+KINDS = {"n_words": pa.int64(), "spans": pa.list_(pa.list_(pa.int32())), "items": pa.list_(pa.string())}
 
-    Result: the ``carry`` columns, ``n_words`` long, ``spans`` array of [first, end) word positions (sorted, apart),
-    ``items`` array of item ids as strings, sorted. Null or empty texts have no words and no hits; items without words have no
-    window; repeated items count by their id; a null item id takes no part. An empty benchmark gives no hits.
 
-    The benchmark is taken in blocks of about ``block_bytes`` of text, one automaton per block (some 100 MB for a block of 1 MB), built
-    in the driver and broadcast. The first block is scanned as the documents are read; if there are more, what it found is stored with the
-    documents, each further block is a scan of its own that writes hits alone, and they are joined in the end. So a task holds one automaton, and
-    the plan does not grow with the benchmark. Texts are not shuffled unless the hits are too many to send around.
-    """
+def _scan(docs: DataFrame, benchmark: DataFrame, width: int, sent: Sequence[str], text: str, item_id: str, item_text: str, block_bytes: int) -> DataFrame:
+    """The columns ``sent`` of ``docs`` by their places, among them ``text``, which passes through Python once, and ``n_words``, ``spans`` and ``items``."""
+    spark = docs.sparkSession
     tests = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
-    context = docs.sparkSession.sparkContext
-    n = len(carry)
-    schema = extended(docs.select(*carry).schema, "_text string, n_words long, spans array<array<int>>, items array<string>")
-    kinds = [("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))]
+    place = list(sent).index(text)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(sent)])
+    schema = extended(rows.schema, "n_words long, spans array<array<int>>, items array<string>")
+    names = schema.names
 
     def automaton_of(block: int) -> Broadcast:
-        rows = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        return context.broadcast(ItemAutomaton([(r["item"], words_of(r["text"].encode())) for r in rows], width))
+        own = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
+        return spark.sparkContext.broadcast(ItemAutomaton([(r["item"], words_of(r["text"].encode())) for r in own], width))
 
     shared = automaton_of(0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in small_batches(batches):
-            counts, spans, items = [], [], []
-            for raw in text_bytes(batch.column(n)):
+            found = []
+            for raw in text_bytes(batch.column(place)):
                 words = words_of(raw)
-                where, names = hits(automaton, words)
-                counts.append(len(words))
-                spans.append(merged(where))
-                items.append(sorted(names))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(n + 1)] + [pa.array(v, k[1]) for v, k in zip((counts, spans, items), kinds)],
-                names=[*carry, "_text", *[k[0] for k in kinds]])
-
-    found = docs.select(*carry, F.col(text).alias("_text")).mapInArrow(scan, schema)
+                where, items = hits(automaton, words)
+                found.append((len(words), merged(where), sorted(items)))
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(KINDS.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+
+    found = rows.mapInArrow(scan, schema)
     if blocks == 1:
-        return found.drop("_text")
+        return found
     found = stored(found.withColumn("_row", F.monotonically_increasing_id()), "scanned")
-    path = new_path(docs.sparkSession, "hits")
+    path = new_path(spark, "hits")
     for block in range(1, blocks):
         more = automaton_of(block)
 
@@ -204,25 +192,43 @@ def find_contamination(
             automaton = more.value
             for batch in small_batches(batches):
                 out = [(row, *hits(automaton, words_of(raw))) for row, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)))]
-                out = [o for o in out if o[1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int64()), pa.array([merged(o[1]) for o in out], kinds[1][1]), pa.array([sorted(o[2]) for o in out], kinds[2][1])],
-                    names=["_row", "spans", "items"])
+                out = [(row, merged(where), sorted(items)) for row, where, items in out if where]
+                kinds = (pa.int64(), KINDS["spans"], KINDS["items"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["_row", "spans", "items"])
 
-        found.select("_row", "_text").mapInArrow(scan_more, HITS).write.parquet(f"{path}/block={block}")
+        found.select("_row", f"_{place}").mapInArrow(scan_more, HITS).write.parquet(f"{path}/block={block}")
         more.destroy()
-    hit = docs.sparkSession.read.schema(HITS).parquet(path).groupBy("_row").agg(*[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("spans", "items")])
-    both = found.join(stored(hit, "hit"), "_row", "left")
+    hit = spark.read.schema(HITS).parquet(path).groupBy("_row").agg(*[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("spans", "items")])
+    both = found.join(stored(hit, "hit"), "_row", "left").select(*names, "_spans", "_items")
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             *kept, spans, items, more_spans, more_items = batch.columns
             spans = [merged([*a, *(b or ())]) for a, b in zip(spans.to_pylist(), more_spans.to_pylist())]
             items = [sorted({*a, *(b or ())}) for a, b in zip(items.to_pylist(), more_items.to_pylist())]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, kinds[1][1]), pa.array(items, kinds[2][1])], names=[*carry, *[k[0] for k in kinds]])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, KINDS["spans"]), pa.array(items, KINDS["items"])], names=names)
+
+    return both.mapInArrow(unite, schema)
+
 
-    whole = both.select(*carry, "n_words", "spans", "items", "_spans", "_items")
-    return whole.mapInArrow(unite, found.select(*carry, "n_words", "spans", "items").schema)
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, width: int = 13, carry: Sequence[str] = ("doc_id",), text: str = "text", item_id: str = "item_id",
+    item_text: str = "text", block_bytes: int = 1 << 20,
+) -> DataFrame:
+    """Hit word spans and items of every document.
+
+    Result: the ``carry`` columns, ``n_words`` long, ``spans`` array of [first, end) word positions (sorted, apart),
+    ``items`` array of item ids as strings, sorted; carried columns of these names give way. Null or empty texts have no words and no hits; items without words have no
+    window; repeated items count by their id; a null item id takes no part. An empty benchmark gives no hits.
+
+    The benchmark is taken in blocks of about ``block_bytes`` of text, one automaton per block (some 100 MB for a block of 1 MB), built
+    in the driver and broadcast. The first block is scanned as the documents are read; if there are more, what it found is stored with the
+    documents, each further block is a scan of its own that writes hits alone, and they are joined in the end. So a task holds one automaton, and
+    the plan does not grow with the benchmark. Texts are not shuffled unless the hits are too many to send around.
+    """
+    sent = [*carry] if text in carry else [*carry, text]
+    found = _scan(docs, benchmark, width, sent, text, item_id, item_text, block_bytes)
+    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(carry) if c not in KINDS], *KINDS)
 
 
 def merged(spans: Sequence[Sequence[int]]) -> list[list[int]]:
@@ -261,10 +267,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     With ``long_span``, the hit spans of at least so many words are cut from the texts of the documents that stay.
     Columns stay as they are.
     """
-    packed = docs.select(F.struct("*").alias("_doc"), F.col("text"))
-    kept = judged(find_contamination(packed, benchmark, width, carry=["_doc"]), share).where(~F.col("contaminated"))
-    text = F.col("_doc.text")
+    found = judged(_scan(docs, benchmark, width, docs.columns, "text", "item_id", "text", 1 << 20), share).where(~F.col("contaminated"))
+    kept = {c: F.col(f"_{i}") for i, c in enumerate(docs.columns)}
     if long_span is not None:
         long = F.filter("spans", lambda s: s[1] - s[0] >= long_span)
-        text = F.when(F.size(long) > 0, F.udf(remove_spans, "string")(text, long)).otherwise(text)
-    return kept.select(*[(text if c == "text" else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+        kept["text"] = F.when(F.size(long) > 0, F.udf(remove_spans, "string")(kept["text"], long)).otherwise(kept["text"])
+    return found.select(*[column.alias(c) for c, column in kept.items()])

@@ -172,4 +172,4 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert kept == Counter([1, None, 7, 8, 9, 10, 10])
         docs, none = after, empty
     without = spark.createDataFrame([(1, passage), (2, passage)], "doc_id long, text string")
-    assert corpus_pipeline.drop_repeated_passages(spark, without, FOLDER).collect() == [(1, ""), (2, "")]
+    assert sorted(map(tuple, corpus_pipeline.drop_repeated_passages(spark, without, FOLDER).collect())) == [(1, ""), (2, "")]
