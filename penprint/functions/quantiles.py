@@ -48,35 +48,43 @@ def feature_matrix(batch: pa.RecordBatch, place: int = 0) -> Iterator[tuple[int,
         yield start, values, known
 
 
-def _counted(rows: DataFrame, shift: int, prefixes: dict[int, np.ndarray] | None, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature, image without its last ``shift`` bits, and count of the values whose image without the last ``before`` bits is wanted."""
+def _runs(feature: np.ndarray, part: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal (feature, part), sorted."""
+    order = np.lexsort((part, feature))
+    feature, part, n = feature[order], part[order], n[order]
+    first = np.flatnonzero(np.r_[True, (feature[1:] != feature[:-1]) | (part[1:] != part[:-1])]) if len(part) else np.empty(0, np.int64)
+    return feature[first], part[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _counted(rows: DataFrame, shift: int, wanted: np.ndarray | None, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature, image without its last ``shift`` bits, and count of the values whose image without the last ``before`` bits is wanted.
+
+    ``wanted`` has a row of such leading bits for each feature; None wants all values.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             for _, values, known in feature_matrix(batch):
                 found = images(values)
-                for feature in range(values.shape[1]) if prefixes is None else prefixes:
-                    if feature >= values.shape[1]:
-                        continue
-                    own = found[known[:, feature], feature]
-                    if prefixes is not None:
-                        wanted = prefixes[feature]
-                        lead = own >> np.uint64(before)
-                        own = own[wanted[np.minimum(np.searchsorted(wanted, lead), len(wanted) - 1)] == lead]
-                    parts, counts = np.unique(own >> np.uint64(shift), return_counts=True)
-                    if feature in held:
-                        parts, place = np.unique(np.concatenate([held[feature][0], parts]), return_inverse=True)
-                        counts = np.bincount(place, np.concatenate([held[feature][1], counts])).astype(np.int64)
-                    held[feature] = parts, counts
-        for feature, (parts, counts) in held.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(parts), feature, np.int32)), pa.array(parts.view(np.int64)), pa.array(counts.astype(np.int64))], names=["feature", "part", "n"])
+                if wanted is not None:
+                    width = min(values.shape[1], len(wanted))
+                    found, known = found[:, :width], known[:, :width]
+                    lead = found >> np.uint64(before)
+                    known = known & np.logical_or.reduce([lead == wanted[:width, i] for i in range(wanted.shape[1])])
+                place = np.nonzero(known)
+                held.append(_runs(place[1].astype(np.int32), found[place] >> np.uint64(shift), np.ones(len(place[0]), np.int64)))
+                size += len(held[-1][0])
+                if size > 4 * CELLS:
+                    held = [_runs(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][0]) // 2  # so that many distinct values are not sorted again at every turn
+        if held:
+            feature, part, n = _runs(*(np.concatenate(x) for x in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(part.view(np.int64)), pa.array(n)], names=["feature", "part", "n"])
 
     table = rows.mapInArrow(count, "feature int, part long, n long").groupBy("feature", "part").agg(F.sum("n").alias("n")).toArrow()
     feature, part, n = (table[c].to_numpy() for c in ("feature", "part", "n"))
-    part = part.view(np.uint64)
-    order = np.lexsort((part, feature))
-    return feature[order], part[order], n[order]
+    return _runs(feature, part.view(np.uint64), n)
 
 
 def array_quantiles(df: DataFrame, features: Column, probabilities: Sequence[float]) -> np.ndarray:
@@ -115,7 +123,10 @@ def array_quantiles(df: DataFrame, features: Column, probabilities: Sequence[flo
         if not shift:
             break
         before, shift = shift, 0 if left <= WHOLE else shift - DIGITS
-        feature, part, n = _counted(rows, shift, {f: np.unique(known[f]) for f in known}, before)
+        wanted = np.full((width, ranks.shape[1]), np.uint64(2**64 - 1))  # no leading bits are so large: nothing is wanted
+        for f, prefixes in known.items():
+            wanted[f] = prefixes
+        feature, part, n = _counted(rows, shift, wanted, before)
     for f in known:
         low, high = doubles(known[f]).reshape(-1, 2).T
         share = place[f] - np.floor(place[f])

@@ -123,12 +123,13 @@ def mutual_information(df: DataFrame, label: str, features: str = "features", bi
             codes = batch.column(0).dictionary_encode()
             names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
             for start, values, known in feature_matrix(batch, 1):
-                own = code[start:start + len(values)]
-                for index in range(values.shape[1]):
-                    bin_ = np.where(known[:, index], np.searchsorted(edges[index], values[:, index]), 0)
-                    cells, counts = np.unique(own * bins + bin_, return_counts=True)
-                    for cell, n in zip(cells.tolist(), counts.tolist()):
-                        held[index, names[cell // bins], cell % bins] += n
+                width = min(values.shape[1], len(edges))
+                # As many edges as lie below a value; none below a missing one.
+                bin_ = sum(((edges[:width, k] < values[:, :width]) & known[:, :width] for k in range(bins - 1)), np.zeros((len(values), width), np.int64))
+                cell = (np.arange(width) * len(names) + code[start:start + len(values), None]) * bins + bin_
+                for cell_, n in zip(*(x.tolist() for x in np.unique(cell, return_counts=True))):
+                    place, bin_of = divmod(cell_, bins)
+                    held[place // len(names), names[place % len(names)], bin_of] += n
         index, label_, bin_ = zip(*held) if held else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(index, pa.int32()), pa.array(label_, kind), pa.array(bin_, pa.int32()), pa.array(list(held.values()), pa.int64())], names=["index", "_label", "_bin", "n"])
