@@ -1,6 +1,6 @@
 """How far fingerprints follow an edit: every text against itself with its end replaced, and against the text after it.
 
-Texts are taken in the falling order of their ids. Cut points of the ids, at most one for each partition, deal them into ranges; the first
+Texts are taken in the falling order of their ids. Cut points of the ids, a few for each partition, deal them into ranges; the first
 row of a range goes along with the range before as well, so that each task streams over its range and looks one row ahead.
 """
 
