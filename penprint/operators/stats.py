@@ -17,6 +17,7 @@ from penprint.functions.arrays import month_period, split_labels
 from penprint.functions.order import grouped_quantiles
 from penprint.functions.quantiles import array_quantiles
 from penprint.functions.text import clean
+from penprint.session import stored
 from penprint.spec import SPLIT, SPLITS
 
 
@@ -79,9 +80,12 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], exact: bool = True)
 
 
 def length_profile(df: DataFrame, text: str, language: str = "es", exact: bool = True, pipeline=None) -> DataFrame:
-    """``describe_numeric`` of the length in characters of the cleaned text."""
+    """``describe_numeric`` of the length in characters of the cleaned text.
+
+    The quantiles read the lengths several times: stored, so that no text is cleaned twice.
+    """
     lengths = clean(df, text, pipeline=pipeline, language=language).select(F.char_length(text).alias("length"))
-    return describe_numeric(lengths, ["length"], exact)
+    return describe_numeric(stored(lengths), ["length"], exact)
 
 
 def categorical_profile(df: DataFrame, columns: Sequence[str], split: str = SPLIT) -> DataFrame:
