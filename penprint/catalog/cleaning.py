@@ -159,7 +159,7 @@ def written(spark, sf):
         F.lit("@juan @ana Oye, q "), "p_name", F.lit(" xq EEUU el "), F.lpad((1 + F.col("p_size") % 28).cast("string"), 2, "0"), F.lit(" de mar: https://a.b/"),
         F.col("p_partkey").cast("string"), F.lit("?x=1 #"), F.initcap(F.replace("p_name", F.lit(" "), F.lit(""))), F.lit(" visto por @pedro,  jajaja"), F.repeat(F.lit("ja"), n % 3),
         F.lit(" goo"), F.repeat(F.lit("o"), n % 4), F.lit("l "), F.col("p_size").cast("string"), F.lit(" o 3,5 km - «así» \U0001F600 (a|b) . . fin !"), F.repeat(F.lit("!"), n % 3), F.lit(" …"))
-    return table(spark, sf, "part").select("p_partkey", said.alias("text"))
+    return texts(spark, sf, "part").select("p_partkey", said.alias("text"))
 
 
 CLEAN_SQL = """'Oye, que ' || p_name || ' porque Estados Unidos el [NUMERO] de marzo: #[HASHTAG]_' || upper(p_name[1]) || replace(p_name[2:], ' ', '') || ' visto por [USUARIO], jajaja '

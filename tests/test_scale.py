@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from penprint.catalog.cleaning import written
 from penprint.operators import stats
 
 
@@ -20,3 +21,11 @@ def test_lengths_are_cleaned_once(spark):
     counter = spark.sparkContext.accumulator(0)
     found = stats.length_profile(seen(texts, counter), "text").first()
     assert (found["count"], counter.value) == (50, 50)
+
+
+def test_written_texts_use_all_cores(spark, tmp_path):
+    parts = spark.range(40).select((F.col("id") + 1).alias("p_partkey"), F.lit("peel salmon").alias("p_name"), F.lit(7).alias("p_size"))
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = written(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows.count() == 40
