@@ -16,8 +16,8 @@ def words(text: Column) -> Column:
 
 
 def characters(text: Column) -> Column:
-    """Lower-case characters, runs of two or more blanks taken as one blank."""
-    return F.split(F.regexp_replace(F.lower(text), r"(?U)\s\s+", " "), "")
+    """Lower-case text whose characters are tokens, runs of two or more blanks taken as one blank."""
+    return F.regexp_replace(F.lower(text), r"(?U)\s\s+", " ")
 
 
 def vocabulary_tokens(text: Column) -> Column:
@@ -26,26 +26,6 @@ def vocabulary_tokens(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda token: token != "")
 
 
-def with_ngrams(df: DataFrame, tokens: Column, n: tuple[int, int], separator: str, name: str = "_grams") -> DataFrame:
-    """Add the array of all n-grams of an array of tokens, ``n`` giving the lowest and highest length.
-
-    The tokens are a column of their own first: an n-gram reads them by place
-    and must not extract them again.
-    """
-    df = df.withColumn("_tokens", tokens)
-    size = F.size("_tokens")
-    by_length = [
-        F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), _joined(k, separator))).otherwise(F.array().cast("array<string>"))
-        if k > 1 else F.col("_tokens")
-        for k in range(n[0], n[1] + 1)
-    ]
-    return df.withColumn(name, F.concat(*by_length)).drop("_tokens")
-
-
-def _joined(k: int, separator: str):
-    return lambda i: F.array_join(F.slice("_tokens", i, k), separator)
-
-
 def term_counts(df: DataFrame, keys: Sequence[str], array: str = "_grams") -> DataFrame:
     """One row per row and distinct term: the keys, ``term`` and ``tf``.
 

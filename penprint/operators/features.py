@@ -12,10 +12,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from penprint.functions import grams
 from penprint.functions import lexicon as lx
 from penprint.functions.order import first_per_group, global_rank, split_join
-from penprint.functions.tokens import characters, term_counts, vocabulary_tokens, with_ngrams, words
+from penprint.functions.tokens import characters, term_counts, vocabulary_tokens, words
 from penprint.operators.reduction import fit_sparse_svd
 from penprint.session import stored
 
@@ -38,16 +40,17 @@ class GramWeights:
         """
         tf = F.col("tf").cast("double")
         raw = (1 + F.ln(tf) if self.sublinear else tf) * F.col("idf")
-        # The vocabulary has at most ``size`` terms: what is not among them goes before a text's n-grams are sorted and counted.
-        terms = [r["term"] for r in self.table.select("term").collect()]
-        grams = gram_counts(df, [doc_id], text, self.kind, self.n, terms)
-        found = grams.join(F.broadcast(self.table), "term").select(doc_id, "index", "term", raw.alias("_raw"))
+        # The vocabulary has at most ``size`` terms: only these are counted.
+        held = self.table.select("term", "index").orderBy("index").collect()
+        counts = gram_counts(df, doc_id, text, self.kind, [r["term"] for r in held], [r["index"] for r in held])
+        found = counts.join(F.broadcast(self.table), "index").select(doc_id, "index", raw.alias("_raw"))
         cells = found.groupBy(doc_id).agg(
-            F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"), F.collect_list(F.struct("index", "term", "_raw")).alias("_cells")
+            F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"), F.collect_list(F.struct("index", "_raw")).alias("_cells")
         )
-        return cells.select(doc_id, "_norm", F.explode("_cells").alias("_c")).select(
-            doc_id, F.col("_c.index").alias("index"), F.col("_c.term").alias("term"), (F.col("_c._raw") / F.col("_norm")).alias("weight")
+        spread = cells.select(doc_id, "_norm", F.explode("_cells").alias("_c")).select(
+            doc_id, F.col("_c.index").alias("index"), (F.col("_c._raw") / F.col("_norm")).alias("weight")
         )
+        return spread.join(F.broadcast(self.table.select("index", "term")), "index").select(doc_id, "index", "term", "weight")
 
     def save(self, path: str) -> None:
         self.table.write.mode("overwrite").parquet(path)
@@ -56,27 +59,52 @@ class GramWeights:
         return GramWeights(spark.read.parquet(path), self.kind, self.n, self.size, self.sublinear)
 
 
-def gram_counts(df: DataFrame, keys: Sequence[str], text: str, kind: str, n: tuple[int, int], terms: Sequence[str] | None = None) -> DataFrame:
-    """Distinct n-grams of each row with their counts, all or those among a few ``terms``."""
-    tokens, separator = (words, " ") if kind == "word" else (characters, "")
-    rows = with_ngrams(df.select(*keys, text), tokens(F.coalesce(F.col(text), F.lit(""))), n, separator)
-    if terms is not None:
-        rows = rows.withColumn("_grams", F.filter("_grams", lambda g: g.isin(list(terms))))
-    return term_counts(rows, keys)
+def _tokens(df: DataFrame, keys: Sequence[str], text: str, kind: str) -> DataFrame:
+    """The keys and the tokens of each row: an array of words, or a text of which every character is one."""
+    return df.select(*keys, (words if kind == "word" else characters)(F.coalesce(F.col(text), F.lit(""))).alias("_tokens"))
+
+
+def gram_counts(df: DataFrame, doc_id: str, text: str, kind: str, terms: Sequence[str], index: Sequence[int]) -> DataFrame:
+    """Which of a few ``terms`` each row has, by their ``index``, and how often: id, ``index``, ``tf``."""
+    rows = _tokens(df.withColumnRenamed(doc_id, "_id"), ["_id"], text, kind)
+    places = F.array(*[F.lit(i).cast("int") for i in index]) if len(index) else F.array().cast("array<int>")
+    schema = StructType([rows.schema["_id"], *StructType.fromDDL("_places array<int>, _tf array<long>").fields])
+    found = rows.mapInArrow(lambda batches: grams.chosen_counts(batches, kind, terms, ("_id", "_places", "_tf")), schema)
+    cells = found.select(F.col("_id").alias(doc_id), F.explode(F.arrays_zip("_places", "_tf")).alias("_c"))
+    return cells.select(doc_id, F.get(places, F.col("_c._places")).alias("index"), F.col("_c._tf").alias("tf"))
+
+
+def _totals(df: DataFrame, text: str, kind: str, n: tuple[int, int], below: tuple[int, Sequence[str]] | None = None) -> DataFrame:
+    """``term``, ``tf`` and ``df`` of all n-grams. They are added up inside the tasks first."""
+    found = _tokens(df, [], text, kind).mapInArrow(lambda batches: grams.totals(batches, kind, n, below), "term string, tf long, df long")
+    return found.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+PARTS = 100_000  # shortest n-grams that are sent to the tasks at most
 
 
 def _fit_grams(
     df: DataFrame, text: str, kind: str, n: tuple[int, int], min_df: int, max_features: int, sublinear: bool,
     stop_words: DataFrame | None = None,
 ) -> GramWeights:
+    """The ``max_features`` most used n-grams.
+
+    No n-gram is used more often than a shorter one inside it. The shortest are counted first: where ``max_features`` of them are used at least so often,
+    a longer one can be among the most used only if all its shortest parts are used as often, and only these are counted.
+    """
+    def eligible(counts: DataFrame) -> DataFrame:
+        kept = counts if stop_words is None else counts.join(stop_words.select("term"), "term", "left_anti")
+        return kept.where(F.col("df") >= min_df)
+
     documents = df.agg(F.count("*")).scalar()
-    counts = gram_counts(df, [], text, kind, n)
-    if stop_words is not None:
-        counts = counts.join(stop_words.select("term"), "term", "left_anti")
-    kept = (
-        counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
-        .where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(max_features)
-    )
+    counts = stored(_totals(df, text, kind, (n[0], n[0])))
+    if n[1] > n[0]:
+        first = eligible(counts).select("tf").orderBy(F.desc("tf")).limit(max_features).collect()
+        least = first[-1]["tf"] if len(first) == max_features and first else 0
+        parts = [r["term"] for r in counts.where(F.col("tf") >= least).select("term").limit(PARTS + 1).collect()] if least else []
+        below = (n[0], parts) if least and len(parts) <= PARTS else None
+        counts = counts.unionByName(_totals(df, text, kind, (n[0] + 1, n[1]), below))
+    kept = eligible(counts).orderBy(F.desc("tf"), "term").limit(max_features)
     # A window without partitions, over at most max_features rows.
     index = F.row_number().over(Window.orderBy("term")) - 1
     idf = F.ln((1 + documents) / (1 + F.col("df"))) + 1
@@ -317,7 +345,11 @@ class LanguageProfiles:
 
 def fit_language_profiles(df: DataFrame, text: str, language: str, n: tuple[int, int] = (1, 3), per_language: int | None = None) -> LanguageProfiles:
     """Count all n-grams of labelled texts; ``per_language`` keeps only the most frequent ones of each language."""
-    counts = gram_counts(df.where(F.col(language).isNotNull()), [language], text, "char", n).groupBy(language, "term").agg(F.sum("tf").alias("n"))
+    rows = _tokens(df.where(F.col(language).isNotNull()).withColumnRenamed(language, "_language"), ["_language"], text, "char")
+    kinds = StructType([rows.schema["_language"], *StructType.fromDDL("term string, tf long").fields])
+    found = rows.mapInArrow(lambda batches: grams.group_totals(batches, "char", n, ("_language", "term", "tf")), kinds)
+    # Read for the languages, their totals and the shares.
+    counts = stored(found.groupBy(F.col("_language").alias(language), "term").agg(F.sum("tf").alias("n")))
     languages = [r[0] for r in counts.groupBy(language).agg(F.lit(1)).orderBy(language).select(language).collect()]
     shared = counts
     if per_language is not None:
@@ -337,16 +369,22 @@ def detect_language(
 ) -> DataFrame:
     """Most likely language of each document, null unless its probability exceeds the threshold.
 
-    Profiles are broadcast in blocks of about ``PROFILE_ROWS`` n-grams, one after another. What leaves a task is a sum for each document, block and language; no n-gram is shuffled.
+    Profiles are broadcast in blocks of about ``PROFILE_ROWS`` n-grams. What leaves a task is a sum for each document, block and language; no n-gram is shuffled.
     """
-    grams = gram_counts(df, [doc_id], text, "char", profiles.n)
+    sent = _tokens(df.withColumnRenamed(doc_id, "_id"), ["_id"], text, "char")
+    schema, n = StructType([sent.schema["_id"], *StructType.fromDDL("_s array<double>").fields]), profiles.n
     blocks = 1 + profiles.table.count() // PROFILE_ROWS
-    sums = reduce(DataFrame.unionAll, [
-        grams.join(F.broadcast(profiles.table.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i)), "term").groupBy(doc_id)
-        .agg(*[F.sum(F.col("tf") * F.get("logs", F.lit(k))).alias(f"_{k}") for k in range(len(profiles.languages))])
-        for i in range(blocks)])
-    if blocks > 1:
-        sums = sums.groupBy(doc_id).agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in range(len(profiles.languages))])
+    parts = []
+    for i in range(blocks):
+        block = profiles.table.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).toArrow()
+        if block.num_rows:
+            logs = block["logs"].combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1)
+            shared = df.sparkSession.sparkContext.broadcast((block["term"].combine_chunks(), logs))
+            parts.append(sent.mapInArrow(lambda batches, shared=shared: grams.scored(batches, "char", n, *shared.value, "_id"), schema))
+    if not parts:
+        return df.withColumn(name, F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
+    sums = reduce(DataFrame.unionAll, parts).groupBy(F.col("_id").alias(doc_id)).agg(
+        *[F.sum(F.get("_s", F.lit(k))).alias(f"_{k}") for k in range(len(profiles.languages))])
     sums = sums.select(doc_id, F.array(*[f"_{k}" for k in range(len(profiles.languages))]).alias("_s"))
     top = F.array_max("_s")
     confidence = 1 / F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.exp(s - top))
