@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from penprint.catalog.base import query, r6, table
 from penprint.operators import model, select, stats
-from penprint.session import checkpoint_folder
+from penprint.session import checkpoint_folder, spread
 
 NAMES = [f"{c}-{i:02d}" for c in "abcd" for i in range(16)]
 _X = """x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS index FROM embeddings)"""
@@ -242,20 +242,30 @@ def predictions_are_likeliest(spark, sf):
 @query("SELECT CAST(i AS INTEGER) AS index, step, true AS best FROM range(65) AS r(i), (SELECT unnest([-0.05, 0.05]::DOUBLE[]) AS step) s")
 def svm_optimum(spark, sf):
     """Whether a step along any weight (the intercept last) leaves the penalised hinge loss of a linear support vector machine where it is, or raises it; to three decimals."""
+    import numpy as np
+    import pyarrow as pa
     from pyspark.ml.functions import array_to_vector
 
-    df = vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("double")).coalesce(1)
+    df = vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("double"))
     rows = df.count()
-    fitted = model.linear_svm(label="y", rows=rows).fit(df.withColumn("features", array_to_vector("features"))).models[1]  # label 1 against the rest
+    # Few tasks for the fit's many passes, all cores for the one look at every step of every row.
+    train = model.in_partitions(df.withColumn("features", array_to_vector("features")), {"rows": rows, "inputs": len(NAMES)})
+    fitted = model.linear_svm(label="y", rows=rows).fit(train).models[1]  # label 1 against the rest
     weights = [float(w) for w in fitted.coefficients]
-    sign = 2 * F.col("y") - 1
-    margin = F.aggregate(F.zip_with("features", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(float(fitted.intercept)), lambda a, v: a + v)
-    cells = df.select(sign.alias("s"), margin.alias("m"), F.posexplode(F.concat("features", F.array(F.lit(1.0)))).alias("index", "x"))
-    steps = cells.withColumn("step", F.explode(F.array(F.lit(-0.05), F.lit(0.0), F.lit(0.05))))
-    loss = F.avg(F.greatest(F.lit(0.0), 1 - F.col("s") * (F.col("m") + F.col("step") * F.col("x"))))
+    line = np.array([*weights, float(fitted.intercept)])
+
+    def losses(batches):
+        for batch in batches:
+            x = np.c_[np.stack(batch.column("features").to_numpy(zero_copy_only=False)), np.ones(batch.num_rows)] if batch.num_rows else np.empty((0, len(line)))
+            sign = 2 * batch.column("y").to_numpy()[:, None] - 1
+            for step in (-0.05, 0.0, 0.05):
+                sums = np.maximum(0.0, 1 - sign * ((x @ line)[:, None] + step * x)).sum(0)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(line)), pa.int32()), pa.array(np.full(len(line), step)), pa.array(sums)], names=["index", "step", "loss"])
+
+    parts = spread(df.select("features", "y")).mapInArrow(losses, "index int, step double, loss double")
     own = F.coalesce(F.get(F.array(*map(F.lit, weights)), F.col("index")), F.lit(0.0))
     penalty = F.when(F.col("index") < len(weights), (2 * F.col("step") * own + F.col("step") * F.col("step")) / (2 * rows)).otherwise(0.0)
-    values = steps.groupBy("index", "step").agg(loss.alias("loss")).withColumn("value", F.col("loss") + penalty)
+    values = parts.groupBy("index", "step").agg((F.sum("loss") / rows).alias("loss")).withColumn("value", F.col("loss") + penalty)
     still = values.where("step = 0").select("index", F.col("value").alias("base"))
     return values.where("step != 0").join(still, "index").select("index", "step", (F.col("value") > F.col("base") - 0.0005).alias("best"))
 

@@ -202,7 +202,7 @@ def random_search(
     size = {"rows": train.count(), "inputs": len(first["features"]) if first else 0, "labels": len(indexer.labels) if indexer else 1}
     trials = sampled_trials(grid, draws, seed)
     families = _families(trials, builders)
-    fitted = _fit_families(df.sparkSession, families, builders, size, _in_partitions(train, size), at_once)
+    fitted = _fit_families(df.sparkSession, families, builders, size, in_partitions(train, size), at_once)
     begin = time.monotonic()
     scores = _regression_scores(fitted, trials, val) if regression else _classification_scores(fitted, trials, val, average)
     share = (time.monotonic() - begin) / len(trials)
@@ -217,7 +217,7 @@ def random_search(
         final = indexer.transform(both)
         size |= {"labels": len(indexer.labels)}
     estimator = _build(builders, best, size)
-    final = _in_partitions(final, size)
+    final = in_partitions(final, size)
     stages = [estimator.setPredictionCol("predicted").fit(final)] if regression else [
         estimator.fit(final), IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)]
     coded.unpersist()
@@ -255,7 +255,7 @@ def _families(trials: Sequence[dict], builders: Mapping) -> list[Family]:
     return out
 
 
-def _in_partitions(rows: DataFrame, size: Mapping) -> DataFrame:
+def in_partitions(rows: DataFrame, size: Mapping) -> DataFrame:
     """``rows`` in one partition for each 64 MB of features, if they lie in more."""
     return rows.coalesce(1 + size["rows"] * (size["inputs"] + 2) * 8 // (64 << 20))
 

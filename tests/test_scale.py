@@ -1,8 +1,11 @@
 """What a query reads, and on how many cores, stays in step with its input."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from penprint.catalog.cleaning import written
+from penprint.catalog.selection import svm_optimum
 from penprint.operators import stats
 
 
@@ -29,3 +32,13 @@ def test_written_texts_use_all_cores(spark, tmp_path):
     rows = written(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert rows.count() == 40
+
+
+def test_steps_of_the_svm_are_not_looked_at_in_one_task(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, [rng.random() + (j == i % 10) for j in range(64)], i % 10) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = svm_optimum(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Repartition 1," not in plan
+    assert sorted((r["index"], r["step"], r["best"]) for r in found.collect()) == [(i, s, True) for i in range(65) for s in (-0.05, 0.05)]
