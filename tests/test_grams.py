@@ -54,3 +54,14 @@ def test_longer_grams_of_rare_parts_are_not_counted(spark, kind, n):
     parts = [t for t in tf if tf[t] >= least and len(t.split(" ") if kind == "word" else t) == n[0]]
     longer = features._totals(rows, "text", kind, (n[0] + 1, n[1]), (n[0], parts))
     assert longer.count() < sum(len(t.split(" ") if kind == "word" else t) > n[0] for t in tf) / 2
+
+
+def test_language_of_a_text_in_blocks_of_profiles(spark, monkeypatch):
+    """However many blocks the profiles come in, the sums of a text are the same."""
+    rows = [(i, "ab ba ab" if i % 2 else "xy yx xy", "one" if i % 2 else "two") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = features.fit_language_profiles(df, "text", "lang")
+    whole = {r["doc_id"]: (r["language"], round(r["confidence"], 9)) for r in features.detect_language(df, "doc_id", "text", profiles).collect()}
+    monkeypatch.setattr(features, "PROFILE_ROWS", 10)
+    assert whole == {r["doc_id"]: (r["language"], round(r["confidence"], 9)) for r in features.detect_language(df, "doc_id", "text", profiles).collect()}
+    assert {i: v[0] for i, v in whole.items()} == {i: lang for i, _, lang in rows}
