@@ -105,7 +105,7 @@ def fit_vocabulary(spark, sf):
 def to_sequences(spark, sf):
     documents = texts(spark, sf)
     sequences = features.to_sequences(documents, "doc_id", "text", features.fit_vocabulary(documents, "text"))
-    used = F.filter("tokens", lambda i: i != 0)
+    used = F.array_remove("tokens", 0)
     return sequences.select("doc_id", (F.size("tokens") - F.size(used)).cast("long").alias("zeros"), F.array_join(used, ",").alias("seq"))
 
 

@@ -18,10 +18,10 @@ ROOM = 1 << 62
 BYTES = 2 << 20  # of texts looked at together
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, about ``BYTES`` at a time."""
+def pieces(batches: Iterator[pa.RecordBatch], size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows, about ``size`` bytes at a time."""
     for batch in batches:
-        rows = max(1, int(batch.num_rows * BYTES / max(batch.nbytes, 1)))
+        rows = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 
@@ -217,3 +217,29 @@ def scored(batches: Iterator[pa.RecordBatch], kind: str, n: tuple[int, int], kno
                 sums[:, i] += np.bincount(own, tf * logs[place, i], batch.num_rows)
         said = np.flatnonzero(hit)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(said)), pa.array(list(sums[said]), pa.list_(pa.float64()))], names=[name, "_s"])
+
+
+def placed(batches: Iterator[pa.RecordBatch], words: pa.Array, index: np.ndarray, other: int | None, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The key (first column) of each row, the place (from 0, in the upper half) and ``index`` of each of its tokens (second column) among ``words``, and the rest.
+
+    The rest, ``at`` and ``token``, is empty where ``other`` gives the index of all other tokens.
+    """
+    for batch in pieces(batches, 8 * BYTES):
+        lengths = np.diff(batch.column(1).offsets.to_numpy())
+        tokens = batch.column(1).flatten()
+        starts = np.cumsum(lengths, dtype=np.int64) - lengths
+        at = np.arange(len(tokens)) - np.repeat(starts, lengths)
+        coded = tokens.dictionary_encode()
+        distinct = pc.index_in(coded.dictionary, words).fill_null(-1).to_numpy(zero_copy_only=False)
+        place = distinct[coded.indices.to_numpy(zero_copy_only=False)] if len(tokens) else np.empty(0, np.int64)
+        known = place >= 0
+        number = np.full(len(tokens), other or 0, np.int64)
+        number[known] = index[place[known]]
+        told = np.ones(len(tokens), bool) if other is not None else known
+        count = np.r_[0, np.cumsum(told)]
+        ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+        mine = count[ends]
+        rest = pa.StructArray.from_arrays([pa.array(at[~told].astype(np.int32)), tokens.filter(pa.array(~told))], names=["at", "token"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.ListArray.from_arrays(pa.array(mine.astype(np.int32)), pa.array((at[told] << 32) + number[told])),
+             pa.ListArray.from_arrays(pa.array((ends - mine).astype(np.int32)), rest)], names=list(names))

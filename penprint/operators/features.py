@@ -12,11 +12,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from penprint.functions import grams
 from penprint.functions import lexicon as lx
-from penprint.functions.order import first_per_group, global_rank, split_join
+from penprint.functions.order import first_per_group, global_rank
 from penprint.functions.tokens import characters, term_counts, vocabulary_tokens, words
 from penprint.operators.reduction import fit_sparse_svd
 from penprint.session import stored
@@ -248,42 +248,47 @@ class Vocabulary:
 def fit_vocabulary(df: DataFrame, text: str, num_words: int | None = None) -> Vocabulary:
     """Index tokens by falling count, ties by token; also document counts and the longest sequence."""
     rows = df.select(vocabulary_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_grams"))
-    counts = (
-        term_counts(rows, []).groupBy(F.col("term").alias("token"))
-        .agg(F.sum("tf").alias("count"), F.count("*").alias("documents"))
-    )
+    found = rows.mapInArrow(lambda batches: grams.totals(batches, "word", (1, 1)), "term string, tf long, df long")
+    counts = found.groupBy(F.col("term").alias("token")).agg(F.sum("tf").alias("count"), F.sum("df").alias("documents"))
     ranked = global_rank(counts, [F.desc("count"), F.col("token")], "_rank")
     facts = rows.agg(F.count("*"), F.max(F.size("_grams"))).first()
     table = ranked.select("token", (F.col("_rank") + OUT_OF_VOCABULARY).alias("index"), "count", "documents")
     return Vocabulary(table, facts[0], facts[1] or 0, num_words)
 
 
+HELD_WORDS = 200_000  # most used words that are sent to every task
+
+
 def to_sequences(df: DataFrame, doc_id: str, text: str, vocabulary: Vocabulary, name: str = "tokens") -> DataFrame:
     """Token indexes of each document, zeros in front up to the training length, longer ones cut in front.
 
-    Only the tokens that will be kept are looked up. With ``num_words`` the lookup table is bounded and broadcast. With all words it is joined
-    by its size, and the occurrences of words that are frequent in the vocabulary are dealt over many tasks.
+    Only the tokens that will be kept are looked up, the ``HELD_WORDS`` most used ones of the vocabulary inside the tasks. Occurrences of the others are
+    joined by word and come back to their document; where there are none, nothing is joined. A place and its index are one long, the place in the upper half.
     """
     tokens = vocabulary_tokens(F.coalesce(F.col(text), F.lit("")))
     maxlen = vocabulary.maxlen
-    tail = df.select(doc_id, tokens.alias("_all")).select(
-        doc_id, F.when(F.size("_all") > maxlen, F.slice("_all", -maxlen, maxlen)).otherwise(F.col("_all")).alias("_kept")
+    tail = df.select(F.col(doc_id).alias("_id"), tokens.alias("_all")).select(
+        "_id", F.when(F.size("_all") > maxlen, F.slice("_all", -maxlen, maxlen)).otherwise(F.col("_all")).alias("_kept")
     )
     known = vocabulary.table.select("token", "index")
-    placed = tail.select(doc_id, F.posexplode_outer("_kept").alias("_at", "token"))
     if vocabulary.num_words is not None:
-        looked_up = placed.join(F.broadcast(known.where(F.col("index") < vocabulary.num_words)), "token", "left")
-    else:
-        words = stored(vocabulary.table.select("token", "index", "count"))
-        looked_up = split_join(placed, words.select("token", "index"), ["token"], words.select("token", "count"), "left")
-    found = (
-        looked_up.groupBy(doc_id)
-        .agg(F.array_sort(F.collect_list(F.when(
-            F.col("_at").isNotNull(), F.struct("_at", F.coalesce("index", F.lit(OUT_OF_VOCABULARY)).cast("int").alias("i"))
-        ))).alias("_found"))
-    )
+        known = known.where(F.col("index") < vocabulary.num_words)
+    used = F.col("index") <= HELD_WORDS + OUT_OF_VOCABULARY
+    held = known.where(used).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((held["token"].combine_chunks(), held["index"].to_numpy().astype(np.int64)))
+    others = known.where(~used)
+    whole = others.isEmpty()
+    longs = ArrayType(LongType(), False)
+    schema = StructType([tail.schema["_id"], StructField("_places", longs, False), *StructType.fromDDL("_others array<struct<at int, token string>>").fields])
+    placed = tail.mapInArrow(lambda batches: grams.placed(batches, *shared.value, OUT_OF_VOCABULARY if whole else None, ("_id", "_places", "_others")), schema)
+    if not whole:
+        placed = stored(placed)
+        rare = placed.select("_id", F.explode("_others").alias("_o")).select("_id", "_o.at", "_o.token").join(others, "token", "left")
+        found = F.shiftleft(F.col("at").cast("long"), 32) + F.coalesce("index", F.lit(OUT_OF_VOCABULARY)).cast("long")
+        placed = placed.select("_id", "_places").unionAll(rare.select("_id", F.array(F.coalesce(found, F.lit(0).cast("long"))).alias("_places")))
+    sequences = placed.groupBy(F.col("_id").alias(doc_id)).agg(F.sort_array(F.flatten(F.collect_list("_places"))).alias("_found"))
     padding = F.array_repeat(F.lit(0), F.lit(maxlen) - F.size("_found"))
-    return found.select(doc_id, F.concat(padding, F.col("_found.i")).alias(name))
+    return sequences.select(doc_id, F.concat(padding, F.transform("_found", lambda v: v.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))).alias(name))
 
 
 def embedding_lookup(vocabulary: DataFrame, embeddings: DataFrame, dim: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from penprint.catalog.cleaning import written
 from penprint.catalog.selection import svm_optimum
-from penprint.operators import stats
+from penprint.operators import features, stats
 
 
 def seen(df, counter):
@@ -42,3 +42,21 @@ def test_steps_of_the_svm_are_not_looked_at_in_one_task(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Repartition 1," not in plan
     assert sorted((r["index"], r["step"], r["best"]) for r in found.collect()) == [(i, s, True) for i in range(65) for s in (-0.05, 0.05)]
+
+
+def test_words_of_sequences_are_looked_up_inside_tasks(spark, monkeypatch):
+    texts = spark.createDataFrame(
+        [(1, "b a b"), (2, "a, c; b"), (3, None), (2, "d a zz yy xx ww vv"), (None, "a"), (4, "  ")], "id long, text string")
+    vocabulary = features.fit_vocabulary(texts.where("text is null or text not like '%zz%'"), "text")
+    numbered = {r["token"]: (r["index"], r["count"], r["documents"]) for r in vocabulary.table.collect()}
+    assert numbered == {"a": (2, 3, 3), "b": (3, 3, 2), "c": (4, 1, 1)} and (vocabulary.documents, vocabulary.maxlen) == (5, 3)
+    sequences = features.to_sequences(texts, "id", "text", vocabulary)
+    plan = sequences._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    # Rows of one id are one document, their tokens by place; the second of id 2 keeps its last three, which are unknown.
+    wanted = {1: [3, 2, 3], 2: [1, 2, 1, 4, 1, 3], 3: [0, 0, 0], 4: [0, 0, 0], None: [0, 0, 2]}
+    assert {r["id"]: r["tokens"] for r in sequences.collect()} == wanted
+    monkeypatch.setattr(features, "HELD_WORDS", 1)  # the others are joined
+    assert {r["id"]: r["tokens"] for r in features.to_sequences(texts, "id", "text", vocabulary).collect()} == wanted
+    bounded = features.Vocabulary(vocabulary.table, vocabulary.documents, vocabulary.maxlen, num_words=4)
+    assert {r["id"]: r["tokens"] for r in features.to_sequences(texts.where("id = 2 and text like 'a%'"), "id", "text", bounded).collect()} == {2: [2, 1, 3]}
