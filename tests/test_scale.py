@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from penprint.catalog.cleaning import written
 from penprint.catalog.selection import svm_optimum
-from penprint.operators import features, stats
+from penprint.operators import ensemble, features, stats
 
 
 def seen(df, counter):
@@ -60,3 +60,12 @@ def test_words_of_sequences_are_looked_up_inside_tasks(spark, monkeypatch):
     assert {r["id"]: r["tokens"] for r in features.to_sequences(texts, "id", "text", vocabulary).collect()} == wanted
     bounded = features.Vocabulary(vocabulary.table, vocabulary.documents, vocabulary.maxlen, num_words=4)
     assert {r["id"]: r["tokens"] for r in features.to_sequences(texts.where("id = 2 and text like 'a%'"), "id", "text", bounded).collect()} == {2: [2, 1, 3]}
+
+
+def test_documents_of_an_ensemble_are_dealt_by_their_rows(spark, monkeypatch):
+    cells = spark.range(4000).select((F.col("id") % 400).alias("id"), F.concat(F.lit("l"), (F.col("id") % 3).cast("string")).alias("label"), (F.col("id") % 7 / 7.0).alias("p"))
+    whole = {r["id"]: r["predicted"] for r in ensemble.ensemble_mean(cells, "id").collect()}
+    monkeypatch.setattr(ensemble, "DEALT", 100)
+    found = ensemble.ensemble_mean(cells, "id")
+    assert found.rdd.getNumPartitions() == 41
+    assert {r["id"]: r["predicted"] for r in found.collect()} == whole and len(whole) == 400
