@@ -19,7 +19,7 @@ ORPHAN_MARKS = r"(?U)\s+([?!])+"
 QUOTES = "\"“”'«»‘’"
 PUNCTUATION = r"[.|+()]+"
 GENDER = r"(?iuU)\b(\p{L}+)@s\b"
-LAUGH = r"(?iuU)\b(mua)?j[ja]+a?\b"
+LAUGH = r"(?iuU)(?=[mj])\b(mua)?j[ja]+a?\b"
 LAUGH_WORD = "jajaja"
 ELONGATION = r"(?d)(.)\1{2,}"
 MARK_RUN = r"([!¡?¿])\1+"

@@ -395,5 +395,6 @@ def detect_language(
     confidence = 1 / F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.exp(s - top))
     names = F.array(*[F.lit(v) for v in profiles.languages])
     best: Column = F.get(names, (F.array_position("_s", top) - 1).cast("int"))
-    found = sums.select(doc_id, F.when(confidence > threshold, best).alias(name), confidence.alias("confidence"))
+    # Small beside the texts, and read by whatever counts, keeps or reports languages: stored once.
+    found = stored(sums.select(doc_id, F.when(confidence > threshold, best).alias(name), confidence.alias("confidence")))
     return df.join(found, doc_id, "left")

@@ -69,3 +69,10 @@ def test_documents_of_an_ensemble_are_dealt_by_their_rows(spark, monkeypatch):
     found = ensemble.ensemble_mean(cells, "id")
     assert found.rdd.getNumPartitions() == 41
     assert {r["id"]: r["predicted"] for r in found.collect()} == whole and len(whole) == 400
+
+
+def test_languages_are_detected_once_however_often_they_are_read(spark):
+    texts = spark.createDataFrame([(1, "the dog and the cat", "en"), (2, "el perro y el gato", "es"), (3, "the cat", "en")], "id long, text string, lang string")
+    found = features.detect_language(texts, "id", "text", features.fit_language_profiles(texts, "text", "lang"), threshold=0.0)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: r["language"] for r in found.collect()} == {1: "en", 2: "es", 3: "en"}
