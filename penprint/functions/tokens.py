@@ -22,8 +22,8 @@ def characters(text: Column) -> Column:
 
 def vocabulary_tokens(text: Column) -> Column:
     """Lower-case pieces between blanks, listed punctuation read as blanks."""
-    spaced = F.translate(F.lower(text), lx.TOKEN_FILTER, " " * len(lx.TOKEN_FILTER))
-    return F.array_remove(F.split(spaced, " "), "")
+    between = "[" + "".join("\\" + mark for mark in " " + lx.TOKEN_FILTER) + "]+"
+    return F.array_remove(F.split(F.lower(text), between), "")
 
 
 def term_counts(df: DataFrame, keys: Sequence[str], array: str = "_grams") -> DataFrame:
