@@ -408,6 +408,20 @@ def test_search_of_nested_forests(spark):
     assert [r["accuracy"] for r in scores if r["params"] == {"fit_intercept": "False", "max_iter": "30"}] == [pytest.approx(right)]
 
 
+def test_forests_keep_the_node_of_each_row(spark):
+    """No job is sent the trees grown so far: node numbers are kept with the rows, nothing of them is left, and the trees are those of a fit without, in several groups of nodes."""
+    rows = _noisy(spark).repartition(2, "id").persist()
+    rows.count()
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    for build in (model.random_forest, model.forest_regression):
+        forest = build(trees=30, depth=None, seed=4).setMaxMemoryInMB(1)
+        assert forest.getCacheNodeIds()
+        kept, plain = (f.fit(rows).toDebugString.split("\n", 1)[1] for f in (forest, forest.copy().setCacheNodeIds(False)))
+        assert kept == plain and kept.count("Tree ") == 30
+        assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
+    rows.unpersist()
+
+
 def test_trees_deeper_than_spark_goes_are_an_error():
     with pytest.raises(ValueError):
         model.random_forest(depth=35)
