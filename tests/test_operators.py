@@ -14,7 +14,7 @@ from penprint.functions import lexicon as lx
 from penprint.functions import quantiles
 from penprint.functions.order import first_per_group, global_rank, grouped_quantiles, hash_rank, keys_at, order_key
 from penprint.operators import curate, ensemble, evaluate, features, merge, model, select, split, stats
-from penprint.operators.forest import vote_tables
+from penprint.operators.forest import Draws, GrownForest, fit_forest, vote_tables
 from penprint.operators.reduction import SparseReduction, fit_sparse_svd
 
 
@@ -422,6 +422,33 @@ def test_forests_keep_the_node_of_each_row(spark):
     rows.unpersist()
 
 
+def test_forests_grown_in_one_task_are_those_of_spark(spark, tmp_path):
+    """The same votes to the last bit for every setting, in several groups of nodes, with copies of rows and a constant feature; a saved forest says the same."""
+    rows = _noisy(spark)
+    rows = rows.unionAll(rows.where("id < 60")).withColumn("features", array_to_vector(F.concat(vector_to_array("features"), F.array(F.lit(1.0))))).coalesce(1).persist()
+    draws = Draws(spark)
+    for trees, depth, least, features, memory in ((70, None, 1, "sqrt", 1), (3, 4, 2, "all", 1), (40, 3, 4, "sqrt", 256), (5, None, 1, "log2", 256)):
+        forest = model.random_forest(trees=trees, depth=depth, min_leaf=least, max_features=features, seed=7).setMaxMemoryInMB(memory)
+        grown, plain = fit_forest(forest, rows, draws, True), forest.fit(rows)
+        assert isinstance(grown, GrownForest) and not isinstance(fit_forest(forest, rows, draws, False), GrownForest)
+        columns = ["id", "rawPrediction", "probability", "prediction"]
+        right = plain.transform(rows).select(columns).orderBy("id").collect()
+        assert grown.transform(rows).select(columns).orderBy("id").collect() == right
+    model.save_stage(grown, str(tmp_path / "forest"))
+    assert GrownForest.load(str(tmp_path / "forest")).transform(rows).select(columns).orderBy("id").collect() == right
+    # Splits of more rows than Spark looks at for them come from its own sample.
+    many = spark.range(12_000).select(F.expr("cast(id % 2 as double)").alias("label_index"), array_to_vector(F.array(F.expr("hash(id) % 5000 + 0.0D"), F.expr("cast(id % 7 as double)"))).alias("features")).coalesce(1)
+    forest = model.random_forest(trees=2, depth=5, seed=3)
+    assert [m.transform(many).groupBy("rawPrediction").count().orderBy(F.col("rawPrediction").cast("string")).collect() for m in (fit_forest(forest, many, draws, True),)] == [
+        forest.fit(many).transform(many).groupBy("rawPrediction").count().orderBy(F.col("rawPrediction").cast("string")).collect()]
+    search = model.random_search(rows.withColumn("side", F.concat(F.lit("s"), F.col("label_index").cast("int").cast("string"))).drop("label_index"), "side", {"rf": {"trees": [4, 9], "depth": [2, None]}}, refit_with_val=True)
+    assert isinstance(search.fitted[0][0], GrownForest) and isinstance(search.model.stages[0], GrownForest)
+    model.save_stage(search.model, str(tmp_path / "search"))
+    said = [model.predict(m, rows, ["id"]).orderBy("id").collect() for m in (search.model, model.load_stage(str(tmp_path / "search")))]
+    assert said[0] == said[1]
+    rows.unpersist()
+
+
 def test_trees_deeper_than_spark_goes_are_an_error():
     with pytest.raises(ValueError):
         model.random_forest(depth=35)
